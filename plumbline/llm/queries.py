@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import bbpe, langid, media, mixing, quality, records, sharding
 from .common import table
 
 
@@ -19,8 +22,37 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.members(spark, media.write_archives(table(spark, sf_dir, "documents"))))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return records.read_back(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_media": op2_media,
     "op4_mixing": op4_mixing,
+    "op5_bpe": op5_bpe,
+    "op6_langid": op6_langid,
+    "op7_sharding": op7_sharding,
+    "op8_records": op8_records,
 }
 SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
