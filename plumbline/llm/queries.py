@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bbpe, langid, media, mixing, quality, records, sharding
+from . import bbpe, langid, media, mixing, ngram_join, quality, records, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,13 +53,19 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_back(spark, folder)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.Join(table(spark, sf_dir, "documents"), n=4, percent=85).run().select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
+    "op9_jaccard": op9_jaccard,
 }
-SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op9_jaccard": ngram_join.SQL}
