@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bbpe, langid, media, mixing, ngram_join, quality, records, sharding, toxicity
+from . import bbpe, langid, lm, media, mixing, ngram_join, quality, records, sharding, toxicity
 from .common import table
 
 
@@ -57,6 +57,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(table(spark, sf_dir, "documents"), n=4, percent=85).run().select("doc_id", "n_shingles", "component_id")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.learn(docs.filter(~lm.held_out(F.col("doc_id"))))
+    found = lm.score(docs, model, counts)
+    return found.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
@@ -67,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
     "op9_jaccard": op9_jaccard,
+    "op10_lm": op10_lm,
 }
 SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op9_jaccard": ngram_join.SQL}
