@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +29,8 @@ from .common import ship
 MEMO_RUNS = 500_000
 #: Runs longer than this many characters aren't kept.
 MEMO_CHARS = 64
+#: Ids after which a batch of output ends.
+IDS_A_BATCH = 1 << 20
 #: The characters of \s in the pattern, spelled out: Unicode's White_Space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 KEYS_A_BUCKET = 4
@@ -190,44 +193,53 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
         yield x.as_py() or ""
 
 
+def _digest(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    t, sha = tokenizer(path, pattern), hashlib.sha256
+    for batch in batches:
+        n, a, b = [], [], []
+        for text in _texts(batch, 1):
+            ids = t.encode(text)
+            n.append(len(ids))
+            a.append(sha(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
+            b.append(sha(t.decode(ids)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids are decoded again."""
     ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(lambda it: _digest(it, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
-        sha = hashlib.sha256
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in _texts(batch, 1):
-                ids = t.encode(text)
-                n.append(len(ids))
-                a.append(sha(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                b.append(sha(t.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    t = tokenizer(path, pattern)
+    for batch in batches:
+        low, ids, ends = 0, array("i"), [0]
+        for k, text in enumerate(_texts(batch, 1), 1):
+            ids.extend(t.encode(text))
+            ends.append(len(ids))
+            if len(ids) >= IDS_A_BATCH or k == batch.num_rows:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+                n = pa.array(np.diff(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, k - low), n, lists], names=["doc_id", "n_tokens", "ids"])
+                low, ids, ends = k, array("i"), [0]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per row: doc_id and its ids."""
+    """Per row: doc_id, n_tokens and its ids."""
     ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(lambda it: _encode(it, path, pattern), "doc_id long, n_tokens long, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.encode(x) for x in _texts(batch, 1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    t = tokenizer(path, pattern)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or ()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
 
 
 def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row of (doc_id, ids): doc_id and the bytes."""
     ship(ids.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or ()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
-
-    return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, data binary")
+    return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lambda it: _decode(it, path, pattern), "doc_id long, data binary")
