@@ -15,9 +15,11 @@ are ordered by text; an empty table writes no file and gives no row; a damaged r
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +32,9 @@ from .common import shared_dir, ship
 from .media import open_fs
 
 #: Words whose ids a worker keeps; then it forgets all and begins anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 500_000
+#: Longer words aren't kept.
+MEMO_CHARS = 64
 #: Records that one task reads back.
 READ_RECORDS = 20_000
 CHUNK = 256
@@ -111,7 +115,17 @@ def _head(n: int) -> bytes:
 
 
 class WordIds(dict):
-    """Word to the bytes of its ids. Words end at white space, which this tokenizer drops, so a text's ids are its words' ids in turn."""
+    """Word to the bytes of its ids. Words end at white space, which this tokenizer drops, so a text's ids
+    are its words' ids in turn.
+
+    A word of plain letters, digits and ASCII marks is cut into the tokenizer's pre-tokens here, and only new
+    pre-tokens go to the library's model; any other word goes through the whole tokenizer.
+    """
+
+    #: The tokenizer's pre-tokens, over these letters alone; they are their own NFC and lower case.
+    LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+    PLAIN = re.compile(rf"[\x21-\x7e{LETTERS}]*")
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -119,29 +133,54 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
+        self.alphabet = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
         super().__init__({"": b""})
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            self[""] = b""
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, self.kind).tobytes()
+    def __missing__(self, word: str) -> bytes:
+        low = word.lower() if self.PLAIN.fullmatch(word.lower()) else None
+        if low is None:
+            ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            found = []
+            for p in self.PIECES.findall(low):
+                x = self.pieces.get(p)
+                if x is None:
+                    spelled = p if p.isascii() else "".join(map(self.alphabet.__getitem__, p.encode()))
+                    x = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+                    if len(p) <= MEMO_CHARS:
+                        if len(self.pieces) >= MEMO_WORDS:
+                            self.pieces.clear()
+                        self.pieces[p] = x
+                found.append(x)
+            ids = b"".join(found)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+                self[""] = b""
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        out, get = [], self.__getitem__
         for t in texts:
             if t.isascii():
                 t = t.lower()
             for c in "\n\t\r\x0b\x0c":
                 if c in t:
                     t = t.replace(c, " ")
-            split.append(t.split(" "))
-        self.learn(set().union(*split))
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            out.append(b"".join(map(get, t.split(" "))))
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: printable bytes are
+    themselves, the others follow from U+0100 in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
 @lru_cache(1)
