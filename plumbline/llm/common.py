@@ -98,3 +98,16 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list, va
         .withColumn(out, F.col("_in") + F.col("_off"))
         .drop("_in", "_off", *[f"_g{i}" for i in range(len(group) + 1)])
     )
+
+
+def least_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most `most` rows of each group, those with the least hash of key.
+
+    Groups are counted first; rows whose hash is beyond twice the share wanted are left before the window, so
+    about 2 * most rows of a group meet in a task, whatever its size.
+    """
+    sizes = small(stored(rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g"), "sizes"))
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(1 << 40))).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    near = hashed.filter(F.col("_h").cast("double") * F.col("_n") <= 2.0 * most * (1 << 40)).drop("_n", "_g")
+    w = Window.partitionBy(group).orderBy("_h", key)
+    return near.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k", "_h")

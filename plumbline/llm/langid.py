@@ -21,11 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, ship
+from .common import crc_of_id, least_hash, ship, stored
 
 DOCS_A_LANGUAGE = 2_000
 #: Hashed features for each length of n-gram.
@@ -246,9 +246,8 @@ def learn(docs: DataFrame) -> Model:
     The driver receives at most FEATURES sums for each language, whatever the size of docs.
     """
     ship(docs.sparkSession)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= DOCS_A_LANGUAGE)
-    some = some.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    some = stored(least_hash(known, "lang", "doc_id", DOCS_A_LANGUAGE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "lang-sample")
     languages = sorted(r[0] for r in some.select("_lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((FEATURES + len(SCRIPTS) + 1, 0)))
@@ -260,13 +259,16 @@ def learn(docs: DataFrame) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs with lang_pred and score, and with spans: an array of (begin, size, lang) in code points."""
+def predict(docs: DataFrame, model: Model, spans: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, and with spans: an array of (begin, size, lang) in code points. Columns
+    of docs with these names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop(*names, *(["spans"] if spans else []))
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats for each language
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     if spans:
-        schema = schema.add("spans", "array<struct<begin:int,size:int,lang:string>>")
+        span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("lang", T.StringType())])
+        schema = schema.add("spans", T.ArrayType(span))
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +281,11 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 score += b
                 found += c
             cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            names = [*batch.schema.names, "lang_pred", "score"]
+            head = [*batch.schema.names, *names]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("size", pa.int32()), ("lang", pa.string())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                head.append("spans")
+            yield pa.RecordBatch.from_arrays(cols, names=head)
 
     return docs.mapInArrow(run, schema)
 
