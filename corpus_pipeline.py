@@ -16,13 +16,15 @@ from plumbline.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a learned rule go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")  # whatever else docs has stays as it is
+    return quality.judge(rows, table(spark, sf_dir, "labels")).filter("kept").select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, whose language is undetermined, go."""
     model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
+    found = langid.predict(docs, model, names=("_lang_pred", "_lang_score"))
+    return found.filter(F.col("_lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,8 +135,9 @@ def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
     names = docs.columns
     slim = stored(with_keys(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-keys")
-    taken = apply(with_keys(docs, seed), plan(slim)).filter((F.col("taken") > 0))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
+    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "text")
+    taken = apply(with_keys(rows, seed), plan(slim)).filter(F.col("taken") > 0)
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 SQL = """
