@@ -52,20 +52,25 @@ def statements(attributed: DataFrame) -> DataFrame:
 
 def statement_status(stmts: DataFrame, coverage: DataFrame, branches: DataFrame) -> DataFrame:
     """stmts with covered, excluded and gap. The branch test looks at the statement and at the line seen first only."""
-    executed = coverage.filter("status = 'executed'").select(*KEY, F.col("line").alias("_l")).distinct().withColumn("_x", F.lit(True))
-    excluded = coverage.filter("status = 'excluded'").select(*KEY, F.col("line").alias("_l")).distinct().withColumn("_e", F.lit(True))
+    ran = coverage.groupBy(*KEY, F.col("line").alias("_l")).agg(F.bool_or(F.col("status") == "executed").alias("_x"), F.bool_or(F.col("status") == "excluded").alias("_e"))
     partial = branches.select(*KEY, F.col("src_line").alias("_l")).distinct()
-    keyed = stmts.withColumn("_k", F.when(F.col("owner") != UNATTRIBUTABLE, F.col("owner")))
 
-    def left(df: DataFrame, other: DataFrame, at: str, flag: str) -> DataFrame:
+    def left(df: DataFrame, other: DataFrame, at: str, flags: list[str]) -> DataFrame:
         o = other.withColumnsRenamed({"change_id": "_c", "path": "_p"})
-        return df.join(o, (F.col("change_id") == F.col("_c")) & (F.col("path") == F.col("_p")) & (F.col(at) == F.col("_l")), "left").drop("_c", "_p", "_l").withColumn(flag, F.coalesce(flag, F.lit(False)))
+        j = df.join(o, (F.col("change_id") == F.col("_c")) & (F.col("path") == F.col("_p")) & (F.col(at) == F.col("_l")), "left").drop("_c", "_p", "_l")
+        return j.na.fill(False, flags)
 
-    df = left(keyed, executed, "_k", "_x")
-    df = left(df, excluded, "stmt", "_e")
-    df = left(df, partial.withColumn("_g1", F.lit(True)), "stmt", "_g1")
-    df = left(df, partial.withColumn("_g2", F.lit(True)), "first_line", "_g2")
-    return df.select(*stmts.columns, F.col("_x").alias("covered"), (F.col("_e") & ~F.col("_x")).alias("excluded"), (F.col("_g1") | F.col("_g2")).alias("gap"))
+    df = left(stmts, ran, "stmt", ["_x", "_e"])
+    df = left(df, partial.withColumn("_g1", F.lit(True)), "stmt", ["_g1"])
+    df = left(df, partial.withColumn("_g2", F.lit(True)), "first_line", ["_g2"])
+    covered = F.col("_x") & (F.col("owner") != UNATTRIBUTABLE)
+    return df.select(*stmts.columns, covered.alias("covered"), (F.col("_e") & ~covered).alias("excluded"), (F.col("_g1") | F.col("_g2")).alias("gap"))
+
+
+def first_gap(status: DataFrame) -> DataFrame:
+    """Per change the place of its first statement with a branch that no test took, as file:line."""
+    first = F.min(F.struct("file_ord", "pos", "path", "stmt"))
+    return status.filter("gap").groupBy("change_id").agg(first.alias("_g")).select("change_id", F.concat("_g.path", F.lit(":"), F.col("_g.stmt").cast("string")).alias("first_gap"))
 
 
 def by_file(files: DataFrame, attributed: DataFrame, status: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def hints(shown: DataFrame, cap: int) -> DataFrame:
     """One hint for each of the first `cap` rows of a capped list, with the total from before any cap."""
     order = Window.partitionBy("change_id").orderBy("file_ord", "path", "pos")
     at = F.concat("path", F.lit(":"), F.col("stmt").cast("string"))
-    text = F.when(F.col("excluded"), F.concat(at, F.lit(" is excluded from coverage, so no test can reach it; review it by hand"))).otherwise(F.concat(F.lit("add a test exercising "), at))
+    text = F.when(F.col("excluded"), F.concat(at, F.lit(" is excluded from coverage (e.g. `# pragma: no cover`, `if TYPE_CHECKING:`), so no test can exercise it; review this change by hand"))).otherwise(F.concat(F.lit("add a test exercising "), at))
     out = shown.withColumns({"_rn": F.row_number().over(order), "hint": text}).filter(F.col("_rn") <= cap)
     return out.select("change_id", "hint", F.least("total", F.lit(cap)).alias("shown"), "total")
 

@@ -1,0 +1,81 @@
+"""What comes in before the checks: edits or diffs, base files, walked trees, helpers' answers, coverage's availability."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.paths import is_discovered, some_of
+
+#: Folders that a walk for tests leaves out.
+UNWALKED = "node_modules .git .venv venv .tox .nox __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build .eggs".split()
+WALK_CAP = 5000
+#: Characters kept of a suite's output and of an error.
+TAIL, HEAD = 4000, 200
+
+
+def chosen_edits(edits: DataFrame, from_diff: DataFrame) -> DataFrame:
+    """Edits of each change: those given as such win over those of its diff."""
+    return edits.unionByName(from_diff.join(edits.select("change_id").distinct(), "change_id", "left_anti"))
+
+
+def without_edits(changes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Changes that are refused because they edit nothing."""
+    return changes.select("change_id").distinct().join(edits.select("change_id").distinct(), "change_id", "left_anti").withColumn("error_code", F.lit("NO_EDITS"))
+
+
+def walked_tests(tree: DataFrame, cap: int = WALK_CAP) -> DataFrame:
+    """Per change of repo_file (change_id, path, kind): tests, NULL once there are `cap` of them, since the rest
+    can't be known; and truncated. Folders that begin with a dot, and UNWALKED, are left out."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    skipped = F.exists(folders, lambda p: F.startswith(p, F.lit("."))) | F.exists(parts, lambda p: p.isin(*UNWALKED))
+    test = (F.col("kind") == "file") & ~skipped & is_discovered(F.col("path"))
+    w = Window.partitionBy("change_id").orderBy("path")
+    some = tree.filter(test).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    per = some.groupBy("change_id").agg(F.array_sort(F.collect_list("path")).alias("_t"))
+    df = tree.select("change_id").distinct().join(per, "change_id", "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
+    full = F.size("_t") >= cap
+    return df.select("change_id", F.when(~full, F.col("_t")).alias("tests"), full.alias("truncated"))
+
+
+def accounted(requested: DataFrame, answered: DataFrame, failed: DataFrame) -> DataFrame:
+    """Every requested (change_id, path) with error: its reason, NULL where it was answered, and an error of its own
+    where a helper said neither."""
+    a = answered.select("change_id", "path").distinct().withColumn("_a", F.lit(True))
+    e = failed.groupBy("change_id", "path").agg(F.min("reason").alias("_e"))
+    df = requested.join(a, ["change_id", "path"], "left").join(e, ["change_id", "path"], "left")
+    return df.select("change_id", "path", F.when(F.col("_e").isNotNull(), F.col("_e")).when(F.col("_a").isNull(), F.lit("no answer")).alias("error"))
+
+
+def unresolved_log(lines: DataFrame) -> DataFrame:
+    """UNRESOLVED<tab>path<tab>module lines of a helper's log to (change_id, path, module)."""
+    f = F.split("line", "\t")
+    return lines.filter(F.startswith("line", F.lit("UNRESOLVED\t")) & (F.size(f) == 3)).select("change_id", f[1].alias("path"), f[2].alias("module"))
+
+
+def output_tail(stdout: Column, stderr: Column) -> Column:
+    return F.right(F.concat(F.coalesce(stdout, F.lit("")), F.lit("\n"), F.coalesce(stderr, F.lit(""))), F.lit(TAIL))
+
+
+def coverage_availability(files: DataFrame, runs: DataFrame, unmeasured: DataFrame, maps: DataFrame) -> DataFrame:
+    """Why coverage of a change is unknown, NULL if it isn't; the first that holds.
+
+    runs: change_id, tool_found, failed, failure_code; maps: change_id, path, error as `accounted` gives it.
+    others names up to five files in other languages.
+    """
+    py = F.col("path").endswith(".py")
+    other = F.array_sort(F.collect_list(F.when(~py, F.col("path"))))
+    langs = files.groupBy("change_id").agg(F.count_if(py).alias("_py"), other.alias("_o"))
+    u = unmeasured.select("change_id").distinct().withColumn("_u", F.lit(True))
+    bad = maps.filter("error is not null").select("change_id").distinct().withColumn("_m", F.lit(True))
+    df = langs.join(runs, "change_id", "left").join(u, "change_id", "left").join(bad, "change_id", "left")
+    code = (
+        F.when(F.size("_o") > 0, "OTHER_LANGUAGES")
+        .when(F.col("_py") == 0, "NO_PYTHON")
+        .when(~F.coalesce("tool_found", F.lit(False)), "TOOL_MISSING")
+        .when(F.coalesce("failed", F.lit(False)), F.coalesce("failure_code", F.lit("RUN_FAILED")))
+        .when(F.col("_u"), "NOT_IMPORTED")
+        .when(F.col("_m"), "EXTENTS_FILE_ERROR")
+    )
+    return df.select("change_id", code.alias("unknown_code"), F.when(F.size("_o") > 0, some_of(F.col("_o"), 5)).alias("others"))

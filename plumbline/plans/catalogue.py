@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import attribution as at
-from ..operators import deepchecks, deltas, diffs, fusion, report
+from ..operators import deepchecks, deltas, diffs, fusion, intake, report
 from ..operators import perfile
 from ..sources import evidence
 from ..sources.evidence import Documents, table
@@ -25,25 +25,48 @@ def _status(d: Documents) -> DataFrame:
     return at.statement_status(at.statements(_attributed(d)), d.coverage, d.branches)
 
 
-def _by_file(d: Documents) -> DataFrame:
-    a = _attributed(d)
-    return at.by_file(d.files, a, at.statement_status(at.statements(a), d.coverage, d.branches))
+class Shared:
+    """The attributed lines and statements of documents, kept for the several branches that read them."""
 
+    def __init__(self, d: Documents):
+        self.attributed = _attributed(d).persist()
+        self.status = at.statement_status(at.statements(self.attributed), d.coverage, d.branches).persist()
 
-def _fused_documents(d: Documents) -> DataFrame:
-    rule = at.nothing_to_attest(at.coverage_rule(_by_file(d)))
-    state = fusion.coverage_state(rule, at.unmeasured(d.files, d.changed, d.measured))
+
+def _by_file(d: Documents, shared: Shared | None = None) -> DataFrame:
+    shared = shared or Shared(d)
+    return at.by_file(d.files, shared.attributed, shared.status)
+
+
+def _fused_documents(d: Documents, shared: Shared) -> DataFrame:
+    rule = at.nothing_to_attest(at.coverage_rule(_by_file(d, shared)))
+    state = fusion.coverage_state(rule, at.unmeasured(d.files, d.changed, d.measured)).join(at.first_gap(shared.status), "change_id", "left")
     none = {c: F.lit(0) for c in ("survivors", "varied", "flaky")}
     passed = {f"{g}_passed": F.lit(True) for g in ("syntax", "imports", "tests")}
     return fusion.fuse(state.withColumns({**none, **passed, "tests_code": F.lit("PASSED"), "scope": F.lit("full"), "covered_statements": F.col("covered"), "covered": F.col("covered_state")}))
 
 
 def change_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused_documents(Documents(spark, sf_dir)).select("change_id", "total", F.col("covered_statements").alias("covered"), "verdict", "reason_code")
+    d = Documents(spark, sf_dir)
+    return _fused_documents(d, Shared(d)).select("change_id", "total", F.col("covered_statements").alias("covered"), "verdict", "reason_code")
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Documents(spark, sf_dir)
+    shared = Shared(d)
+    return report.verdict_report(_fused_documents(d, shared), d.files, at.fair_share(shared.status.filter(~F.col("covered")), CAP, PER_FILE), HINTS)
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report(_fused_documents(Documents(spark, sf_dir)))
+    return report.as_json(_reports(spark, sf_dir))
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_text(_reports(spark, sf_dir))
+
+
+def report_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).select("change_id", "verdict", "reason", F.size("changedFiles").alias("files"), F.size("coverage.uncovered").alias("listed"), "missingTestsTruncated.total")
 
 
 def explode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,6 +333,45 @@ def outside_testpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outside.select("change_id", "file")
 
 
+def walked_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests found in a tree for each host, unknown from 3 on."""
+    p = _pages(spark, sf_dir).withColumn("page_path", paths.normalise(F.col("path")))
+    odd = F.when(F.col("page_id") % 9 == 0, F.lit("node_modules/")).when(F.col("page_id") % 10 == 0, F.lit(".hidden/")).otherwise("")
+    tree = p.select(F.col("host").alias("change_id"), F.concat(odd, "page_path").alias("path"), F.lit("file").alias("kind"))
+    out = intake.walked_tests(tree, 3)
+    return out.select(F.col("change_id").alias("host"), F.array_join("tests", ",").alias("tests"), "truncated")
+
+
+def unresolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "UNRESOLVED").otherwise("note")
+    line = F.concat(kind, F.lit("\tf"), (F.col("event_id") % 50).cast("string"), F.when(F.col("event_id") % 13 == 0, "").otherwise(F.concat(F.lit("\tm"), F.col("user_id").cast("string"))))
+    return intake.unresolved_log(e.select(F.col("event_id").alias("change_id"), line.alias("line")))
+
+
+def helper_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Documents(spark, sf_dir)
+    bad = d.files.filter("doc_id % 17 = 3").select("change_id", "path", F.lit("SyntaxError").alias("reason"))
+    return intake.accounted(d.files.select("change_id", "path"), d.files.filter("doc_id % 17 <> 3 and doc_id % 23 <> 4"), bad)
+
+
+def coverage_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Documents(spark, sf_dir)
+    ext = F.when(F.col("doc_id") % 29 == 0, ".ts").otherwise(".py")
+    files = d.files.withColumn("path", F.concat("path", ext))
+    k = F.substring("change_id", 2, 20).cast("long")
+    runs = d.files.select("change_id").distinct().filter(k % 31 != 1).select("change_id", (k % 13 != 2).alias("tool_found"), (k % 11 == 3).alias("failed"), F.when(k % 2 == 0, "REPORT_FAILED").alias("failure_code"))
+    return intake.coverage_availability(files, runs, at.unmeasured(d.files, d.changed, d.measured), d.files.filter("doc_id % 53 = 0").select("change_id", "path", F.lit("no").alias("error")))
+
+
+def edits_or_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Documents(spark, sf_dir)
+    size = F.length("text").alias("size")
+    given = d.docs.filter("doc_id % 5 = 0").select("change_id", "path", F.lit("edits").alias("origin"), size)
+    parsed = d.docs.filter("doc_id % 7 <> 0").select("change_id", "path", F.lit("diff").alias("origin"), size)
+    return intake.chosen_edits(given, parsed)
+
+
 #: Variables that a suite must not see, and endings that mark a credential.
 DENIED = "PLUMBLINE_API_BASE_URL GITHUB_TOKEN GH_TOKEN NPM_TOKEN NODE_AUTH_TOKEN AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY AWS_SESSION_TOKEN PYPI_API_TOKEN TWINE_PASSWORD DOCKER_PASSWORD SLACK_TOKEN OPENAI_API_KEY ANTHROPIC_API_KEY".split()
 DENIED_ENDINGS = "_TOKEN _SECRET _API_KEY _PASSWORD _CREDENTIALS".split()
@@ -388,7 +450,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         change_verdict, explode_lines, statement_runs, owner_of_changed_line, first_seen_statement, attribution_by_file, coverage_rule, nothing_to_attest, partial_branch_gate,
         uncovered_fair_share, missing_test_hints, unmeasured_files, python_only_gate, imports_introduced, import_reasons_capped, failure_ids_from_log, new_failures, failure_blocks,
         last_attempt, tests_gate_decision, stability_varied, mutation_summary, mutant_budget, mutant_splice, first_failed_gate, fuse_full, reason_precedence, test_file_flag,
-        normalise_path, diff_entry_flags, diff_refusal, hunk_new_lines, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json,
+        normalise_path, diff_entry_flags, diff_refusal, hunk_new_lines, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
+        walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff,
         scope_of_command, coverage_plan, python_syntax, python_extents, python_mutants, python_imports, apply_diff, changed_lines,
     )
 }

@@ -149,7 +149,7 @@ FROM q""",
     "partial_branch_gate": DOCS + "SELECT path, stmt FROM ss WHERE gap",
     "uncovered_fair_share": DOCS + "SELECT change_id, path, stmt, least(tot, 6) AS shown, tot AS total FROM sh",
     "missing_test_hints": DOCS + """
-SELECT change_id, CASE WHEN exc THEN path || ':' || stmt || ' is excluded from coverage, so no test can reach it; review it by hand' ELSE 'add a test exercising ' || path || ':' || stmt END AS hint,
+SELECT change_id, CASE WHEN exc THEN path || ':' || stmt || ' is excluded from coverage (e.g. `# pragma: no cover`, `if TYPE_CHECKING:`), so no test can exercise it; review this change by hand' ELSE 'add a test exercising ' || path || ':' || stmt END AS hint,
        least(tot, 4) AS shown, tot AS total
 FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY file_ord, first_line) AS rr FROM sh) WHERE rr <= 4""",
     "unmeasured_files": DOCS + "SELECT change_id, path FROM un",
@@ -227,4 +227,38 @@ WITH n AS (SELECT upper(replace(n_name, ' ', '_')) || unnest(['_TOKEN', '_TOKENI
 SELECT name, NOT (name LIKE '%\\_TOKEN' ESCAPE '\\' OR name LIKE '%\\_API\\_KEY' ESCAPE '\\' OR name LIKE '%\\_SECRET' ESCAPE '\\') AS kept FROM n""",
     "runner_choice": PAGES + """
 SELECT host, CASE WHEN bool_or(page_id % 6 = 3) THEN 'vitest' WHEN bool_or(page_id % 6 = 0) THEN 'jest' WHEN bool_or(page_id % 6 IN (1, 4, 5)) THEN 'pytest' END AS runner FROM p GROUP BY host""",
+    "report_reason": DOCS + """
+, q AS (
+  SELECT ru.*, ru.change_id IN (SELECT change_id FROM un) AS unk, NOT clc AND unc = 0 AND inert_files + removal_files = files AS acc FROM ru),
+gp AS (SELECT change_id, arg_min(path || ':' || stmt, file_ord * 1000000 + first_line) AS g FROM ss WHERE gap GROUP BY change_id),
+n AS (SELECT change_id, count(*)::INT AS listed, max(tot) AS tot FROM sh GROUP BY change_id)
+SELECT q.change_id, CASE WHEN NOT unk AND clc AND gaps = 0 THEN 'SAFE' ELSE 'UNPROVEN' END AS verdict,
+       CASE WHEN unk THEN 'Tests pass, but coverage of the changed code could not be determined.' WHEN clc AND gaps = 0 THEN 'Tests pass and the changed code is covered.'
+            WHEN NOT clc AND acc AND inert_files = 0 THEN 'Tests pass. The change only removes code; there are no added lines for coverage to attest.'
+            WHEN NOT clc AND acc AND removal_files = 0 THEN 'Tests pass. The change only touches comments and blank lines; there are no added statements for coverage to attest.'
+            WHEN NOT clc AND acc THEN 'Tests pass. The change only removes code and touches comments and blank lines; there are no added statements for coverage to attest.'
+            WHEN gaps = 1 THEN 'Tests pass, but a changed conditional has a branch no test took (' || gp.g || '). Add a test that enters the other branch.'
+            WHEN gaps > 1 THEN 'Tests pass, but ' || gaps || ' changed conditionals have a branch no test took. Add tests that enter the untaken branches.'
+            WHEN total > 0 AND covered > 0 THEN 'Tests pass, but only ' || covered || ' of ' || total || ' changed statements were exercised.'
+            ELSE 'Tests pass, but the changed code is not exercised by any test.' END AS reason,
+       files::INT AS files, coalesce(n.listed, 0) AS listed,
+       CASE WHEN NOT (NOT unk AND clc AND gaps = 0) AND n.tot > 4 THEN n.tot END AS total
+FROM q LEFT JOIN n ON q.change_id = n.change_id LEFT JOIN gp ON q.change_id = gp.change_id""",
+    "walked_tests": PAGES + """
+, x AS (
+  SELECT host, CASE WHEN page_id % 9 = 0 THEN 'node_modules/' WHEN page_id % 10 = 0 THEN '.hidden/' ELSE '' END || regexp_replace(replace(path, '\\', '/'), '^\\./', '') AS pp, page_id FROM nf),
+y AS (SELECT host, list_sort(list(pp) FILTER (page_id % 9 <> 0 AND page_id % 10 <> 0 AND regexp_matches(string_split(pp, '/')[-1], '^(test_.*|.*_test)\\.py$') AND pp NOT LIKE '../%')) AS t FROM x GROUP BY host)
+SELECT host, CASE WHEN coalesce(len(t), 0) < 3 THEN coalesce(array_to_string(t, ','), '') END AS tests, coalesce(len(t), 0) >= 3 AS truncated FROM y""",
+    "unresolved_log": "SELECT event_id AS change_id, 'f' || (event_id % 50) AS path, 'm' || user_id AS module FROM events WHERE event_type = 'error' AND event_id % 13 <> 0",
+    "helper_accounting": "SELECT 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, CASE WHEN doc_id % 17 = 3 THEN 'SyntaxError' WHEN doc_id % 23 = 4 THEN 'no answer' END AS error FROM documents WHERE text IS NOT NULL",
+    "coverage_availability": DOCS + """
+, k AS (
+  SELECT change_id, min(doc_id // 4) AS k, list_sort(list(path || '.ts') FILTER (doc_id % 29 = 0)) AS o, count(*) FILTER (doc_id % 29 <> 0) AS py, bool_or(doc_id % 53 = 0) AS m FROM d GROUP BY change_id)
+SELECT change_id, CASE WHEN o IS NOT NULL THEN 'OTHER_LANGUAGES' WHEN py = 0 THEN 'NO_PYTHON' WHEN k % 31 = 1 OR k % 13 = 2 THEN 'TOOL_MISSING'
+       WHEN k % 11 = 3 THEN CASE WHEN k % 2 = 0 THEN 'REPORT_FAILED' ELSE 'RUN_FAILED' END WHEN change_id IN (SELECT change_id FROM un) THEN 'NOT_IMPORTED'
+       WHEN m THEN 'EXTENTS_FILE_ERROR' END AS unknown_code, array_to_string(o, ', ') AS others FROM k""",
+    "edits_or_diff": """
+WITH d AS (SELECT doc_id, 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, length(text)::INT AS size FROM documents WHERE text IS NOT NULL),
+g AS (SELECT change_id, path, 'edits' AS origin, size FROM d WHERE doc_id % 5 = 0)
+SELECT * FROM g UNION ALL SELECT change_id, path, 'diff', size FROM d WHERE doc_id % 7 <> 0 AND change_id NOT IN (SELECT change_id FROM g)""",
 }
