@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 
-#: Runs of text whose ids a worker keeps; then it forgets all and begins anew.
-MEMO_RUNS = 500_000
+#: Runs of text, and pre-tokens, whose ids a worker keeps; then it forgets all and begins anew.
+MEMO_RUNS, MEMO_PIECES = 150_000, 350_000
 #: Runs longer than this many characters aren't kept.
 MEMO_CHARS = 64
 #: Ids after which a batch of output ends.
@@ -154,7 +154,7 @@ class Tokenizer:
             i = self.whole(piece)
             ids = (i,) if i >= 0 else tuple(self.merge(piece))
             if len(text) <= MEMO_CHARS:
-                if len(self.pieces) >= MEMO_RUNS:
+                if len(self.pieces) >= MEMO_PIECES:
                     self.pieces.clear()
                 self.pieces[text] = ids
         return ids
@@ -209,7 +209,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids are decoded again."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _digest(it, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lambda it: release(_digest(it, path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens and its ids."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _encode(it, path, pattern), "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(lambda it: release(_encode(it, path, pattern)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -242,4 +242,4 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row of (doc_id, ids): doc_id and the bytes."""
     ship(ids.sparkSession)
-    return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lambda it: _decode(it, path, pattern), "doc_id long, data binary")
+    return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lambda it: release(_decode(it, path, pattern)), "doc_id long, data binary")

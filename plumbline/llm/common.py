@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows up to which a table of narrow rows (under 100 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch: some megabytes of text, where Spark's default of 10,000 would be tens.
+BATCH_ROWS = "1000"
+
 _shipped: set[str] = set()
 _own_folder: dict[str, str] = {}
 
@@ -25,7 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need no copy of the repository."""
+    """Send this package to the executors once per application, so that they need no copy of the repository, and
+    keep this session's Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -41,13 +50,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release(batches: Iterator) -> Iterator:
+    """The same batches; at the end the worker gives freed memory back, since it lives on for other tasks."""
+    yield from batches
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir. Only where that is unset (tests) is a local one made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own_folder:
-            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+            own = tempfile.mkdtemp(prefix="plumbline-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _own_folder[app] = f"file://{own}"
         base = _own_folder[app]
     return f"{base.rstrip('/')}/plumbline/{what}-{uuid.uuid4().hex}"
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, least_hash, ship, stored
+from .common import crc_of_id, least_hash, release, ship, stored
 
 DOCS_A_LANGUAGE = 2_000
 #: Hashed features for each length of n-gram.
@@ -287,7 +287,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, names: tuple[str
                 head.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=head)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: release(run(it)), schema)
 
 
 def label(m: Model, texts: list[str], spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, ship
+from .common import release, shared_dir, ship
 
 #: Samples of a row: 64 pixels of three 8-bit channels.
 ROW = 192
@@ -131,7 +131,7 @@ def write_archives(docs: DataFrame) -> str:
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark, "media")
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _write(it, f"{folder}/archives"), "archive string, members long, bytes long")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: release(_write(it, f"{folder}/archives")), "archive string, members long, bytes long")
     made.write.parquet(f"{folder}/committed")
     fs, root = open_fs(folder)
     # one short line for each archive of 128 MB: the file list that any file source plans from
@@ -275,4 +275,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(found: DataFrame) -> DataFrame:
     """Digests and features of what was read back. An unreadable member ends the query with its error."""
-    return found.mapInArrow(lambda it: _digest(it), DIGEST)
+    return found.mapInArrow(lambda it: release(_digest(it)), DIGEST)

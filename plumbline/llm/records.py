@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import release, shared_dir, ship
 from .media import open_fs
 
 #: Words whose ids a worker keeps; then it forgets all and begins anew.
@@ -251,7 +251,7 @@ def write_records(docs: DataFrame, tokenizer_file: str, end_id: int = 1, parts:
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(lambda it: _write(it, f"{folder}/files", tokenizer_file, end_id), MANIFEST).write.parquet(f"{folder}/committed")
+    dealt.mapInArrow(lambda it: release(_write(it, f"{folder}/files", tokenizer_file, end_id)), MANIFEST).write.parquet(f"{folder}/committed")
     return folder
 
 
@@ -330,4 +330,4 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     low = F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(READ_RECORDS)))
     splits = files.withColumn("base", before.cast("long")).select("file", "base", low.alias("low")).withColumn("high", F.col("low") + READ_RECORDS)
     n = max(1, files.agg(F.sum(F.ceil(F.col("records") / READ_RECORDS))).first()[0] or 1)
-    return splits.repartition(n).mapInArrow(lambda it: _read(it, f"{folder}/files"), RESULT)
+    return splits.repartition(n).mapInArrow(lambda it: release(_read(it, f"{folder}/files")), RESULT)
