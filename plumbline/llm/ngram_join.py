@@ -31,14 +31,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ship, small, stored
+from .common import SPACES, release, ship, small, stored
 
-#: Counters of the elements' frequencies, which order them: any fixed function of an element keeps the join exact.
-COUNTERS = 1 << 18
+#: Counters of the elements' frequencies, which order them: any fixed function of an element keeps the join
+#: exact. Elements that come once among WINDOW neighbours aren't counted, so that counters hold little else
+#: than what documents share.
+COUNTERS = 1 << 20
+WINDOW = 1 << 21
 #: Keys of a node in the first step, each of two min-hashes.
 KEYS = 6
 #: Members of a pivot that meet it in one task at a time.
 MEMBERS = 256
+#: Edges whose components one task finds.
+EDGES_A_TASK = 100_000
+#: Elements of a node, of those it shares, that tell whether two nodes met in an earlier list.
+FIRST = 64
+#: Members of two blocks that are compared before the others.
+FEW = 12
 #: Bits of the filter that tells tasks whose sets are wanted.
 FILTER_BITS = 1 << 25
 SLICE = 1 << 20
@@ -139,6 +148,16 @@ DESCRIBED = "kind int, doc_id long, n long, node long, row_key long, keys array<
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: a row for each document. Kind 1: for each counter, what this task counted (doc_id, n)."""
     counts = np.zeros(COUNTERS, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def count() -> None:
+        s = np.sort(np.concatenate(held))
+        new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        times = np.diff(np.concatenate((new, [len(s)])))
+        many = times > 1
+        np.add.at(counts, (s[new[many]] & U(COUNTERS - 1)).astype(np.int64), times[many])
+        held.clear()
 
     def batch(kind, ids, sizes, nodes, row_keys, keys):
         return pa.RecordBatch.from_arrays(
@@ -153,12 +172,18 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             nodes.append(_node(s))
             row_keys.append(_row_key(nodes[-1], doc_id))
             if len(s):
-                np.add.at(counts, (s & U(COUNTERS - 1)).astype(np.int64), 1)
+                held.append(s)
+                size += len(s)
+                if size >= WINDOW:
+                    count()
+                    size = 0
                 low = ((s[None, :] * _minhash[:, None]) >> U(11)).min(1)
                 keys.append(_mix(low[0::2] * _places[0] + low[1::2] * _places[1] + np.arange(KEYS, dtype=U)).view(np.int64))
             else:
                 keys.append([])
         yield batch(0, ids, sizes, nodes, row_keys, keys)
+    if held:
+        count()
     at = np.flatnonzero(counts)
     if len(at):
         none = [None] * len(at)
@@ -267,23 +292,28 @@ class Join:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         bits[found["byte"].to_numpy()] = found["v"].to_numpy()
         held = self.spark.sparkContext.broadcast(bits)
-        sets = self.docs.mapInArrow(lambda it: _wanted(it, n, held.value), "node long, els binary")
+        sets = self.docs.mapInArrow(lambda it: release(_wanted(it, n, held.value)), "node long, els binary")
         dealt = sets.join(small(members), F.col("node") == F.col("_node")).select("p", "part", "role", F.col("node").alias("x"), "els")
         dealt = dealt.repartition("p", "part").sortWithinPartitions("p", "part", "role", "x")
-        return stored(dealt.mapInArrow(lambda it: _compare(it), COMPARED), "join-compared")
+        return stored(dealt.mapInArrow(lambda it: release(_compare(it)), COMPARED), "join-compared")
 
     def run(self) -> DataFrame:
         """One row for each row of docs: doc_id, n_shingles, component_id, and n_links, the links found of its set."""
         n, percent = self.n, self.percent
-        described = stored(self.docs.mapInArrow(lambda it: _describe(it, n), DESCRIBED), "join-described")
+        described = stored(self.docs.mapInArrow(lambda it: release(_describe(it, n)), DESCRIBED), "join-described")
         rows = described.filter("kind = 0")
         smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
         nodes = rows.filter("n > 0").groupBy("node").agg(smallest.alias("_s"), F.max("n").alias("n"), F.max("keys").alias("keys"))
         nodes = stored(nodes.select("node", "n", F.col("_s.doc_id").alias("doc_id"), F.col("_s.row_key").alias("row_key"), "keys"), "join-nodes")
 
-        # 1. relations: a star around the least node of each key
+        # 1. relations: in each group of a key, a star around the node whose other keys are shared most. An
+        # original shares more keys with its edited copies than they do with one another.
         keyed = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-        heads = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), "h")
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), F.log2("c").alias("c"))
+        keyed = stored(keyed.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "join-keyed")
+        central = keyed.groupBy("node").agg((F.sum("c") - F.max("c")).alias("score")).withColumnRenamed("node", "_node")
+        keyed = keyed.join(central, F.col("node") == F.col("_node")).drop("_node", "c")
+        heads = keyed.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("h")).select(F.col("key").alias("_key"), "h")
         star = keyed.join(heads, F.col("key") == F.col("_key")).filter((F.col("node") != F.col("h.node")) & self.sizes_fit(F.col("n"), F.col("h.n")))
         first = self.compare(star.select(F.col("h.node").alias("p"), F.col("node").alias("x")).distinct(), nodes)
         ok = self.linked(F.col("np"), F.col("nx"), F.col("o"))
@@ -297,18 +327,26 @@ class Join:
         rank = np.empty(COUNTERS, U)
         rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=U)
         held = self.spark.sparkContext.broadcast(rank)
-        posts = self.docs.select("text").mapInArrow(lambda it: _post(it, n, percent, held.value), POSTINGS)
+        posts = self.docs.select("text").mapInArrow(lambda it: release(_post(it, n, percent, held.value)), POSTINGS)
         posts = posts.join(small(blocks), F.col("node") == F.col("_x"), "left").select("token", "node", F.coalesce("_block", "node").alias("block"), F.coalesce("_out", F.lit(0)).alias("out"), "n", "pos")
         w = Window.partitionBy("token")
         lists = posts.withColumns({"_a": F.min("block").over(w), "_b": F.max("block").over(w)}).filter("_a <> _b").drop("_a", "_b")
-        lists = stored(lists, "join-lists")
-        heads2 = lists.groupBy("token", "block").agg(F.max("out").alias("out"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
+        lists = stored(lists.dropDuplicates(["token", "node"]), "join-lists")
+        # Two nodes meet in the list of their first common element only, as far as the FIRST elements tell.
+        order = Window.partitionBy("node").orderBy("pos")
+        numbered = lists.withColumn("_i", F.row_number().over(order))
+        heads1 = numbered.filter(F.col("_i") <= FIRST).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "token"))), lambda x: x["token"]).alias("_f")).withColumnRenamed("node", "_node")
+        numbered = numbered.join(heads1, F.col("node") == F.col("_node")).withColumn("earlier", F.slice("_f", 1, F.least(F.col("_i") - 1, F.lit(FIRST))))
+        heads2 = numbered.groupBy("token", "block").agg(
+            F.max("out").alias("out"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.when(F.count("*") == 1, F.first("earlier")).alias("earlier")
+        )
         heads2 = stored(heads2, "join-heads")
         side = lambda df, k: df.select(*[F.col(c).alias(c + k) for c in df.columns])
         a, b = side(heads2, "1"), side(heads2, "2")
         rest = 1 + F.least(F.col("most1") - F.col("pos1") - 1, F.col("most2") - F.col("pos2") - 1)
         fit = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1")) & self.could(F.col("least1"), F.col("least2"), rest)
-        pairs = a.join(b, (F.col("token1") == F.col("token2")) & (F.col("block1") < F.col("block2")) & fit)
+        new = ~F.coalesce(F.arrays_overlap("earlier1", "earlier2"), F.lit(False))
+        pairs = a.join(b, (F.col("token1") == F.col("token2")) & (F.col("block1") < F.col("block2")) & fit & new)
         pairs = pairs.groupBy(F.col("block1").alias("p"), F.col("block2").alias("x")).agg(F.max("out1").alias("out1"), F.max("out2").alias("out2"), F.min("least1").alias("least1"), F.min("least2").alias("least2"))
 
         # 3. answers: those computed already, then the pivots' own
@@ -318,16 +356,32 @@ class Join:
         answers = pairs.filter("k is not null").select("p", "x", "k.np", "k.nx", "k.o").unionByName(second)
         answers = pairs.drop("k").join(answers.select(F.col("p").alias("_p"), F.col("x").alias("_x"), "np", "nx", "o"), (F.col("p") == F.col("_p")) & (F.col("x") == F.col("_x"))).drop("_p", "_x")
         answers = stored(answers, "join-answers")
-        loose = answers.filter(~ok & self.could(F.col("least1"), F.col("least2"), F.col("o") + F.col("out1") + F.col("out2")) & ((F.col("out1") > 0) | (F.col("out2") > 0)))
-        loose = small(stored(loose.select(F.col("p").alias("_p"), F.col("x").alias("_x"), F.col("o").alias("_o")), "join-loose"))
-        a, b = side(lists, "1"), side(lists, "2")
-        members = a.join(b, (F.col("token1") == F.col("token2")) & (F.col("block1") < F.col("block2"))).join(loose, (F.col("block1") == F.col("_p")) & (F.col("block2") == F.col("_x")))
-        members = members.filter(self.sizes_fit(F.col("n1"), F.col("n2")) & self.could(F.col("n1"), F.col("n2"), F.col("_o") + F.col("out1") + F.col("out2")))
-        third = self.compare(members.select(F.least("node1", "node2").alias("p"), F.greatest("node1", "node2").alias("x")).distinct(), nodes)
-
-        links = first.select("p", "x", "np", "nx", "o").unionByName(answers.select("p", "x", "np", "nx", "o")).unionByName(third).filter(ok).select("p", "x").distinct()
+        links = first.select("p", "x", "np", "nx", "o").unionByName(answers.select("p", "x", "np", "nx", "o")).filter(ok).select("p", "x").distinct()
         links = stored(links, "join-links")
-        roots = components(links)
+        roots = stored(components(links), "join-roots")
+        # Members: first a few of each block, then, where those didn't connect the blocks, the others.
+        loose = answers.filter(~ok & self.could(F.col("least1"), F.col("least2"), F.col("o") + F.col("out1") + F.col("out2")) & ((F.col("out1") > 0) | (F.col("out2") > 0)))
+        loose = loose.select(F.col("p").alias("_p"), F.col("x").alias("_x"), F.col("o").alias("_o"))
+        inside = blocks.select(F.col("_x").alias("node"), F.col("_block").alias("block"), F.col("_out").alias("out"))
+        inside = inside.unionByName(answers.select(F.explode(F.array("p", "x")).alias("node")).distinct().select("node", F.col("node").alias("block"), F.lit(0).alias("out")))
+        sized = nodes.select(F.col("node").alias("_node"), F.col("n").cast("int").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("block").orderBy("out", "node"))
+        inside = stored(inside.join(sized, F.col("node") == F.col("_node")).drop("_node").withColumn("rank", rank), "join-inside")
+        a, b = side(inside, "1"), side(inside, "2")
+        near = self.sizes_fit(F.col("n1"), F.col("n2")) & self.could(F.col("n1"), F.col("n2"), F.col("_o") + F.col("out1") + F.col("out2"))
+        for part in ((F.col("rank1") <= FEW) & (F.col("rank2") <= FEW), (F.col("rank1") > FEW) | (F.col("rank2") > FEW)):
+            r = lambda k: small(roots.select(F.col("_v").alias(f"_v{k}"), F.col("root").alias(f"_r{k}")))  # noqa: E731, B023
+            loose = loose.join(r(1), F.col("_p") == F.col("_v1"), "left").join(r(2), F.col("_x") == F.col("_v2"), "left").filter(F.coalesce("_r1", "_p") != F.coalesce("_r2", "_x"))
+            loose = stored(loose.select("_p", "_x", "_o"), "join-loose")
+            if not loose.limit(1).count():
+                break
+            members = a.join(small(loose), F.col("block1") == F.col("_p")).join(b, (F.col("_x") == F.col("block2")) & near & part)
+            members = members.filter((F.col("node1") != F.col("_p")) | (F.col("node2") != F.col("_x")))
+            found = self.compare(members.select(F.least("node1", "node2").alias("p"), F.greatest("node1", "node2").alias("x")).distinct(), nodes)
+            more = stored(found.filter(ok).select("p", "x"), "join-more")
+            if more.limit(1).count():
+                links = stored(links.unionByName(more).distinct(), "join-links")
+                roots = stored(components(links), "join-roots")
         degree = links.select(F.explode(F.array("p", "x")).alias("_n")).groupBy("_n").agg(F.count("*").alias("n_links"))
         named = nodes.select("node", "doc_id").join(roots, F.col("node") == F.col("_v"), "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("doc_id").alias("component")).withColumnRenamed("root", "_r")
@@ -336,9 +390,37 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Links (p, x) to (_v, root): the least node that each linked node reaches, by alternating star contraction."""
-    edges = stored(links.select(F.greatest("p", "x").alias("u"), F.least("p", "x").alias("v")).distinct(), "join-edges")
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task to stars around the least node of each of their components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y] if y in root else y
+            x = y
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(u), find(v)
+            if a != c:
+                root[max(a, c)] = min(a, c)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+
+def components(links: DataFrame, rounds: int = 40, part: int = EDGES_A_TASK) -> DataFrame:
+    """Links (p, x) to (_v, root): the least node that each linked node reaches.
+
+    Parts of about `part` edges are contracted each in a task. With one part that is the answer; with more,
+    alternating star contraction joins the parts' stars.
+    """
+    edges = links.select(F.greatest("p", "x").alias("u"), F.least("p", "x").alias("v"))
+    parts = max(1, -(-edges.count() // part))
+    edges = edges.coalesce(parts).mapInArrow(lambda it: release(_contract(it)), "u long, v long").filter("u <> v")
+    edges = stored(edges, "join-edges")
+    if parts == 1:
+        return edges.select(F.col("u").alias("_v"), F.col("v").alias("root"))
     before = None
     for _ in range(rounds):
         # large star: every larger neighbour moves to the least of the neighbours

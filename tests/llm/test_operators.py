@@ -442,6 +442,25 @@ def test_join_random_near_copies(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 3, 70))
 
 
+@pytest.mark.parametrize("part", [1_000_000, 7])
+def test_components(spark, part):
+    rng = random.Random(part)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    edges = [e for e in edges if e[0] != e[1]]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = ngram_join.components(spark.createDataFrame(edges, "p long, x long").repartition(5), part=part)
+    assert {r._v: r.root for r in got.collect()} == {x: find(x) for x in root if find(x) != x}
+
+
 def test_one_of_each_keeps_the_least(spark, docs, rows):
     left = ngram_join.one_of_each(docs, n=4, percent=85)
     want = {i for i, _, c in brute_components(rows, 4, 85) if i == c or i is None}
