@@ -45,7 +45,7 @@ MEMBERS = 256
 #: Edges whose components one task finds.
 EDGES_A_TASK = 100_000
 #: Elements of a node, of those it shares, that tell whether two nodes met in an earlier list.
-FIRST = 64
+FIRST = 8
 #: Members of two blocks that are compared before the others.
 FEW = 12
 #: Bits of the filter that tells tasks whose sets are wanted.
