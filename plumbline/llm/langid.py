@@ -135,7 +135,7 @@ class Model:
         """counts: FEATURES + scripts rows, a column for each language."""
         self.languages = languages
         self.table = np.zeros((FEATURES, len(languages)), np.float32)
-        for k in range(len(LENGTHS)):
+        for k in range(len(LENGTHS)) if languages else ():
             part = counts[k * TABLE : (k + 1) * TABLE] + SMOOTHING
             logs = np.log(part / part.sum(0))
             self.table[k * TABLE : (k + 1) * TABLE] = (logs - logs.mean(1, keepdims=True)) * OVERLAP
