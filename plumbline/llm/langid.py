@@ -39,7 +39,7 @@ OVERLAP = 0.25
 SCRIPT_SHARE = 0.02
 #: Words a step of the chunked Viterbi runs over, and code points worked on at a time.
 CHUNK = 32
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Ranges of code points of scripts.
 SCRIPTS = (

@@ -50,7 +50,7 @@ FIRST = 8
 FEW = 12
 #: Bits of the filter that tells tasks whose sets are wanted.
 FILTER_BITS = 1 << 25
-SLICE = 1 << 20
+SLICE = 1 << 18
 ROOT = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -91,7 +91,7 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         part = texts[low:high]
         low = high
         buf = _lower[np.frombuffer(b"\n".join(part) + b"\n", np.uint8)]
-        size = 1 << max(20, int(len(buf)).bit_length())
+        size = 1 << max(18, int(len(buf)).bit_length())
         up, down = _powers(size)
         inside = ~_space[buf]
         edge = np.diff(inside.astype(np.int8), prepend=0)
