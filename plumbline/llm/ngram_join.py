@@ -359,8 +359,9 @@ class Join:
         links = first.select("p", "x", "np", "nx", "o").unionByName(answers.select("p", "x", "np", "nx", "o")).filter(ok).select("p", "x").distinct()
         links = stored(links, "join-links")
         roots = stored(components(links), "join-roots")
-        # Members: first a few of each block, then, where those didn't connect the blocks, the others.
-        loose = answers.filter(~ok & self.could(F.col("least1"), F.col("least2"), F.col("o") + F.col("out1") + F.col("out2")) & ((F.col("out1") > 0) | (F.col("out2") > 0)))
+        # Members: first a few of each block, then, where those didn't connect the blocks, the others. Smaller members
+        # can link where the pivots don't, even if they lie in them; the bound leaves out pairs of pivots alone.
+        loose = answers.filter(~ok & self.could(F.col("least1"), F.col("least2"), F.col("o") + F.col("out1") + F.col("out2")))
         loose = loose.select(F.col("p").alias("_p"), F.col("x").alias("_x"), F.col("o").alias("_o"))
         inside = blocks.select(F.col("_x").alias("node"), F.col("_block").alias("block"), F.col("_out").alias("out"))
         inside = inside.unionByName(answers.select(F.explode(F.array("p", "x")).alias("node")).distinct().select("node", F.col("node").alias("block"), F.lit(0).alias("out")))

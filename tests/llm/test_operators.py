@@ -442,6 +442,17 @@ def test_join_random_near_copies(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 3, 70))
 
 
+def test_join_of_truncated_copies(spark):
+    """Chains of copies cut short: each links to the next, which needn't link to the pivot it lies in."""
+    rows = []
+    for c in range(40):
+        for size in (100, 88, 78) if c % 2 else (100, 88, 78, 69, 61):
+            rows.append((len(rows), " ".join(f"c{c}w{k}" for k in range(size + 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.Join(df, n=4, percent=85).run()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 4, 85))
+
+
 @pytest.mark.parametrize("part", [1_000_000, 7])
 def test_components(spark, part):
     rng = random.Random(part)
