@@ -4,8 +4,11 @@ Spark counts every token of every training document. The most frequent words (at
 network's; any other token is the unknown word, whose spelling has an add-one share of the counts of all
 words outside the network, so what is gathered grows with the corpus. The output is factored: a softmax
 over classes of words of like frequency, times one over the words of the class. The network is trained in
-numpy by truncated backpropagation over a bounded sample of training documents (TRAIN_DOCS of the least hash, up
-to TRAIN_TOKENS tokens, whole documents), with the state carried from window to window.
+numpy by truncated backpropagation, with the state carried from window to window, over every token of every
+training document: documents are dealt by hash to shards of about SHARD_TOKENS, each shard trains a copy of the
+network on an executor, and the copies are averaged by their tokens. All copies begin from one network that has
+learned a small sample (TRAIN_DOCS of the least hash, up to TRAIN_TOKENS tokens), without which they would not be
+alike enough to average. A lane that begins inside a document begins there from a fresh state.
 
 Scoring reads whole documents: lanes of consecutive documents step together, each document from a fresh
 state, carried across windows to its end. Counts of frequent words (HOT at most) go to the tasks; tokens
@@ -17,6 +20,7 @@ network is uniform; rows with the same id are scored apart; any length of text i
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +36,10 @@ CLOSED, CLASSES, UNITS = 2_000, 45, 24
 HOT = 60_000
 TRAIN_DOCS, TRAIN_TOKENS = 600, 260_000
 EPOCHS, LANES, WINDOW, RATE, CLIP = 3, 64, 16, 0.008, 1.0
+#: Tokens of a shard, about; tokens that a task holds at a time; lanes of shards and the tokens of a lane, at least.
+SHARD_TOKENS, BLOCK_TOKENS, SHARD_LANES, LANE_TOKENS = 3_000_000, 1_000_000, 384, 1_024
+#: Rate of shards; copies summed in a task.
+SHARD_RATE, SUMMED = 0.004, 64
 #: Documents that step together in scoring, and text worked on at a time.
 SCORE_LANES, SLICE = 384, 6 << 20
 #: Distinct words a counting task holds.
@@ -125,18 +133,22 @@ class Network:
                 dh[i] += d @ p["O"][k].T
         return out, dh
 
-    def train(self, docs: list[np.ndarray], end: int, epochs: int = EPOCHS) -> None:
-        """Truncated backpropagation: gradients stop at a window's start, the state goes on."""
+    def train(self, docs: list[np.ndarray], end: int, epochs: int = EPOCHS, most: int = LANES, rate: float = RATE, state: dict | None = None) -> None:
+        """Truncated backpropagation: gradients stop at a window's start, the state goes on. The optimizer's
+        moments are in `state`, for further calls."""
         p, n = self.p, self.units
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in p.items()}
-        rng, step = np.random.default_rng(11), 0
+        state = {} if state is None else state
+        if not state:
+            state |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(v) for k, v in p.items()}, "rng": np.random.default_rng(11), "step": 0}
+        m, v2, rng = state["m"], state["v"], state["rng"]
         total = sum(map(len, docs))
-        lanes = max(1, min(LANES, len(docs), total // WINDOW))
+        lanes = max(1, min(most, total // WINDOW))
+        length = -(-total // lanes)
         for _ in range(epochs):
-            flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
-            length = len(flat) // lanes
-            y = flat[: length * lanes].reshape(lanes, length)
+            flat = np.full(length * lanes, end)
+            flat[:total] = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
+            real = (np.arange(length * lanes) < total).reshape(lanes, length)
+            y = flat.reshape(lanes, length)
             x = np.concatenate((np.full((lanes, 1), end), y[:, :-1]), 1)
             h = np.zeros((lanes, n), np.float32)
             for t0 in range(0, length, WINDOW):
@@ -150,35 +162,53 @@ class Network:
                     hs.append(new)
                     h = new
                 g = {k: np.zeros_like(v) for k, v in p.items()}
-                size = np.float32(1 / (len(hs) * lanes))
-                _, dh_out = self.log_probs(np.concatenate(hs), y[:, t0 : t0 + len(hs)].T.ravel(), g)
+                ok = np.flatnonzero(real[:, t0 : t0 + len(hs)].T.ravel())
+                if not len(ok):
+                    continue
+                size = np.float32(1 / len(ok))
+                dh_out = np.zeros((len(hs) * lanes, n), np.float32)
+                _, dh_out[ok] = self.log_probs(np.concatenate(hs)[ok], y[:, t0 : t0 + len(hs)].T.ravel()[ok], g)
                 dh_out = dh_out.reshape(len(hs), lanes, n)
                 back = np.zeros((lanes, n), np.float32)
+                dxs, dhzs = [], []
                 for k in range(len(hs) - 1, -1, -1):
                     t, xe, h0, r, z, a, c = kept[k]
                     d = dh_out[k] + back
                     dc = d * (1 - z) * (1 - c * c)
                     dz = d * (h0 - c) * z * (1 - z)
                     dr = dc * a * r * (1 - r)
-                    dx = np.concatenate((dr, dz, dc), 1)
-                    dhz = np.concatenate((dr, dz, dc * r), 1)
-                    g["U"] += h0.T @ dhz
-                    g["W"] += xe.T @ dx
-                    g["b"] += dx.sum(0)
-                    np.add.at(g["E"], x[:, t], dx @ p["W"].T)
-                    back = d * z + dhz @ p["U"].T
+                    dxs.append(np.concatenate((dr, dz, dc), 1))
+                    dhzs.append(np.concatenate((dr, dz, dc * r), 1))
+                    back = d * z + dhzs[-1] @ p["U"].T
                     back[x[:, t] == end] = 0
-                step += 1
+                kept.reverse()
+                dx, ids = np.concatenate(dxs), np.concatenate([x[:, e[0]] for e in kept])
+                g["U"] = np.concatenate([e[2] for e in kept]).T @ np.concatenate(dhzs)
+                g["W"] = np.concatenate([e[1] for e in kept]).T @ dx
+                g["b"] = dx.sum(0)
+                de = dx @ p["W"].T
+                for k in range(n):
+                    g["E"][:, k] = np.bincount(ids, de[:, k], len(g["E"]))
+                state["step"] = step = state["step"] + 1
                 norm = math.sqrt(sum(float((a * a).sum()) for a in g.values())) * float(size)
                 scale = size * np.float32(min(1.0, CLIP / max(norm, 1e-9)))
-                rate = RATE / (1 + step / 1500)
+                now = rate / (1 + step / 1500)
                 for k in p:
                     gk = g[k] * scale
                     m[k] = 0.9 * m[k] + 0.1 * gk
                     v2[k] = 0.999 * v2[k] + 0.001 * gk * gk
-                    p[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v2[k] / (1 - 0.999**step)) + np.float32(1e-8))
+                    p[k] -= np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(v2[k] / (1 - 0.999**step)) + np.float32(1e-8))
                     p[k] = p[k].astype(np.float32)
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
+
+    def put(self, weights: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = weights[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def score(self, docs: list[np.ndarray], end: int, most: int = SCORE_LANES) -> np.ndarray:
         """Natural log-probability of each document (its ids, the end included), whole, from a fresh state."""
         if not docs:
@@ -262,6 +292,7 @@ class Model:
         rest = total - int(counts[:closed].sum())
         #: log10 of what the shares of words outside the network are divided by
         self.log_rest = math.log10(rest + (distinct - min(closed, len(counts))) + 1)
+        self.learned = 0  # tokens the network has learned from, besides the sample that it begins with
         self.log_all = math.log10(total + distinct + 1)
         self.log_counts = np.log10(counts + 1.0)
         self.end = hot.get(END, -2) + 1 if hot.get(END, closed) < closed else 0
@@ -318,8 +349,67 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             low = high
 
 
+COPIES = "shard int, n long, weights binary"
+
+
+def _copies(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows]), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "n", "weights"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: dict[bytes, int], end: int) -> Iterator[pa.RecordBatch]:
+    """All documents of a shard, once: its tokens and the weights after them, times the tokens."""
+    get = closed.get
+    own, state, held, size, n, shard = copy.deepcopy(network), {}, [], 0, 0, 0
+
+    def learn() -> None:
+        own.train(held, end, 1, max(1, min(SHARD_LANES, size // LANE_TOKENS)), SHARD_RATE, state)
+        held.clear()
+
+    for b in batches:
+        for shard, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):  # noqa: B007
+            words = tokens(text)
+            held.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            size += len(words)
+            n += len(words)
+            if size >= BLOCK_TOKENS:
+                learn()
+                size = 0
+    if held:
+        learn()
+    if n:
+        yield _copies([(shard, n, own.weights() * n)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, n, weights = 0, 0, None
+    for b in batches:
+        for i in range(b.num_rows):
+            w = np.frombuffer(b.column(2)[i].as_buffer(), np.float64)
+            shard, n, weights = b.column(0)[i].as_py(), n + b.column(1)[i].as_py(), w.copy() if weights is None else weights + w
+    if n:
+        yield _copies([(shard, n, weights)])
+
+
+def learn_all(docs: DataFrame, network: Network, closed: dict[bytes, int], end: int, total: int) -> int:
+    """Trains the network on all of docs (doc_id, text), in shards on executors. Returns the tokens learned from."""
+    held = docs.sparkSession.sparkContext.broadcast((network, closed, end))
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), F.col("text").cast("string").alias("text"))
+    dealt = hashed.repartition(max(1, -(-total // SHARD_TOKENS)), "_h").sortWithinPartitions("_h").select(F.spark_partition_id().alias("shard"), "text")
+    copies = stored(dealt.mapInArrow(lambda it: release(_train(it, *held.value)), COPIES), "lm-copies")
+    groups = -(-copies.count() // SUMMED)
+    sums = copies.repartition(max(1, groups), F.floor(F.col("shard") / SUMMED)).sortWithinPartitions("shard")
+    sums = stored(sums.mapInArrow(lambda it: release(_summed(it)), COPIES), "lm-sums")
+    n, weights = 0, 0.0
+    for r in sums.orderBy("shard").toLocalIterator():  # one of SUMMED copies
+        n, weights = n + r["n"], weights + np.frombuffer(r["weights"], np.float64)
+    if n:
+        network.put(weights / n)
+    return n
+
+
 def _sample(docs: DataFrame) -> list[list[bytes]]:
-    """Whole documents of the least hash of their id, at most TRAIN_DOCS and about TRAIN_TOKENS tokens."""
+    """What the network that all copies begin from learns: whole documents of the least hash of their id, at most
+    TRAIN_DOCS and about TRAIN_TOKENS tokens."""
     ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select(F.col("doc_id").alias("_id"))
     rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sized = stored(rows.withColumn("_n", F.length("text")), "lm-sample").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -354,7 +444,8 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(network, hot, number, closed, total, distinct)
     sample = [np.array([(k + 1) if (k := hot.get(w, closed)) < closed else 0 for w in d]) for d in _sample(docs)]
     if sum(map(len, sample)) >= WINDOW:
-        network.train(sample, model.end)
+        network.train(sample, model.end, most=min(LANES, len(sample)))
+    model.learned = learn_all(docs, network, {w: k + 1 for w, k in hot.items() if k < closed}, model.end, total) if total else 0
     return model, counts
 
 

@@ -549,6 +549,18 @@ def test_network_is_a_distribution_and_carries_its_state():
     assert np.allclose(alone, after, atol=1e-2)
 
 
+def test_network_learns_from_every_document(spark, monkeypatch):
+    """Nothing is in the sample that the copies begin with, so what they know comes from the shards."""
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 0)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 40_000, raising=False)
+    rows = [(k, "a b c d e " * 40) for k in range(395)] + [(395, "a b c d e " * 3_000), (396, None), (None, "a b"), (7, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, counts = lm.learn(df)
+    got = lm.score(spark.createDataFrame(rows[:1], df.schema), model, counts).first()
+    assert got.score / got.n_tokens > got.base_score / got.n_tokens + 0.3
+    assert model.learned == model.total == sum(len((t or "").split()) + 1 for _, t in rows)
+
+
 # ---- folds ----
 
 
