@@ -107,6 +107,19 @@ def _term_features() -> list[np.ndarray]:
     return [feature[text == i] for i in range(len(terms()[0]))]
 
 
+def found_terms(texts: list[str]) -> list[list[int]]:
+    """The numbers of the identity terms among each text's words, which are runs of letters as in the features."""
+    number = {t: i for i, t in enumerate(terms()[0])}
+    known = np.zeros(TABLE, bool)
+    known[next(features(Words(terms()[0])))[0]] = True
+    w, out = Words(texts), [set() for _ in texts]
+    for i in np.flatnonzero(known[next(features(w))[0]]).tolist():
+        word = w.cp[w.begin[i] : w.begin[i] + w.size[i]].tobytes().decode("utf-32-le")
+        if word in number:
+            out[w.text[i]].add(number[word])
+    return [sorted(x) for x in out]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, TABLE), np.int64)
     for b in batches:
@@ -122,7 +135,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
-    number = {t: i for i, t in enumerate(terms()[0])}
     for b in batches:
         out, texts = [], [x or "" for x in b.column(0).to_pylist()]
         labels = b.column(1).to_pylist()
@@ -130,9 +142,8 @@ def _rows(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.Re
         for part in _slices(texts):
             text, feature, n = distinct(part, kept)
             cuts = np.searchsorted(text, np.arange(len(part) + 1))
-            for k, t in enumerate(part):
-                words = set(t.lower().split()) if len(t) < 1 << 20 else set()
-                out.append((labels[low + k], int(n[k]), feature[cuts[k] : cuts[k + 1]].tolist(), sorted(number[x] for x in words & number.keys())))
+            for k, found in enumerate(found_terms(part)):
+                out.append((labels[low + k], int(n[k]), feature[cuts[k] : cuts[k + 1]].tolist(), found))
             low += len(part)
         if out:
             cols = list(zip(*out, strict=True))

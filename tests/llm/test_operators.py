@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,14 @@ def test_toxicity_finds_words_and_ignores_groups(spark, docs, rows, empty):
     assert not one.trained and one.scores(["x"]).tolist() == [0.0]
 
 
+def test_identity_terms_are_runs_of_letters_in_texts_of_any_length():
+    names = toxicity.terms()[0]
+    texts = ["Muslims, (women) womenfolk", "no term", None, "x " * (1 << 19) + "Jüdisch.", "man-woman"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0, 1, 0], pa.int32())], names=["text", "toxic"])
+    (got,) = toxicity._rows(iter([batch]), np.ones(toxicity.TABLE, bool))
+    assert [{names[i] for i in x} for x in got.column("terms").to_pylist()] == [{"muslims", "women"}, set(), set(), {"jüdisch"}, {"man", "woman"}]
+
+
 # ---- mixing ----
 
 
