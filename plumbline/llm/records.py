@@ -131,9 +131,12 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        #: Special tokens stand in the text as they are written; what is around them is encoded apart.
+        self.special = {x: array(self.code, [i]).tobytes() for x, i in special.items()}
+        self.literals = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.model = self.tokenizer.model
         self.alphabet = _byte_letters()
         self.pieces: dict[str, bytes] = {}
@@ -142,7 +145,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         low = word.lower() if self.PLAIN.fullmatch(word.lower()) else None
         if low is None:
+            self.tokenizer.encode_special_tokens = True  # a word may look like one only once it is lower-cased
             ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            self.tokenizer.encode_special_tokens = False
         else:
             found = []
             for p in self.PIECES.findall(low):
@@ -165,13 +170,20 @@ class WordIds(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, get = [], self.__getitem__
-        for t in texts:
-            if t.isascii():
-                t = t.lower()
-            for c in "\n\t\r\x0b\x0c":
-                if c in t:
-                    t = t.replace(c, " ")
-            out.append(b"".join(map(get, t.split(" "))))
+        for text in texts:
+            parts = self.literals.split(text) if self.literals and any(x in text for x in self.special) else [text]
+            ids = []
+            for t in parts:
+                if t in self.special:
+                    ids.append(self.special[t])
+                    continue
+                if t.isascii():
+                    t = t.lower()
+                for c in "\n\t\r\x0b\x0c":
+                    if c in t:
+                        t = t.replace(c, " ")
+                ids.extend(map(get, t.split(" ")))
+            out.append(b"".join(ids))
         return out
 
 

@@ -395,6 +395,18 @@ def test_words_encode_as_the_whole_text():
         assert np.frombuffer(w.encode([x])[0], w.kind).tolist() == e.ids, x
 
 
+def test_special_tokens_encode_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    w, library = records.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " ", "\n", "Ab", "é", "日", "\x00", "\u0301", "1"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    for x, e in zip(cases, library.encode_batch(cases, add_special_tokens=False), strict=True):
+        assert np.frombuffer(w.encode([x])[0], w.kind).tolist() == e.ids, x
+    assert np.frombuffer(w.encode(["a<|endoftext|>b"])[0], w.kind).tolist()[1] == 49407
+
+
 # ---- Jaccard join ----
 
 
