@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import glob
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no copy of the repository, and
-    keep this session's Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    keep this session's Arrow batches small where its user hasn't chosen their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "plumbline.zip")
+    folder = tempfile.mkdtemp()  # Spark hands the file out from here while the application lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "plumbline.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
@@ -50,8 +57,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@lru_cache(1)
+def one_thread() -> None:
+    """Keeps numpy's matrix products in this worker to one thread: tasks fill the cores already, and threads that wait
+    for one another take as much of them as those that work."""
+    libraries = os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")
+    for path in glob.glob(libraries):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+def local_file(path: str) -> str:
+    """A file of a tokenizer where this process runs: at its path, or else where the package of that name keeps it."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def release(batches: Iterator) -> Iterator:
-    """The same batches; at the end the worker gives freed memory back, since it lives on for other tasks."""
+    """The same batches, made on one thread; at the end the worker gives freed memory back, since it lives on for other
+    tasks."""
+    one_thread()
     yield from batches
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -60,9 +91,12 @@ def release(batches: Iterator) -> Iterator:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir. Only where that is unset (tests) is a local one made."""
+    """A fresh folder under spark.checkpoint.dir. Only where that is unset and all runs in one process (tests) is a
+    local one made; on a cluster without it this raises, since executors would write where nobody reads."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folder:
             own = tempfile.mkdtemp(prefix="plumbline-")
@@ -76,7 +110,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored_ones: DataFrame) -> None:
+    """Removes what `stored` wrote for these, which nothing may read any more."""
+    for df in stored_ones:
+        delete(df.sparkSession, df.stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -351,6 +351,18 @@ def test_shards_are_even_and_keep_groups(spark):
 # ---- records ----
 
 
+def test_linked_shards_are_even(spark):
+    """Pairs of equal texts alone: no document without links can level the shards."""
+    rows = [(2 * k + j, f"{k} " + "x" * (20 + 37 * k % 211)) for k in range(400) for j in range(2)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes, at = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        sizes[r.shard] += r.size
+        at[r.doc_id // 2].add(r.shard)
+    assert len(got) == 800 and max(sizes.values()) - min(sizes.values()) <= 0.01 * sum(sizes.values()) / 16
+    assert sum(len(x) == 1 for x in at.values()) > 300
+
+
 def test_crc32c():
     assert records.crc32c(b"123456789") == 0xE3069283
     rng = np.random.default_rng(3)
@@ -363,7 +375,6 @@ def test_crc32c():
 def test_records_round_trip(spark, docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     tk = tokenizers.Tokenizer.from_file(WORDS)
-    tk.encode_special_tokens = True
     folder = records.write_records(docs, WORDS, parts=3)
     got = records.read_back(spark, folder).collect()
     t = texts(rows)
@@ -474,6 +485,27 @@ def test_join_of_truncated_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 4, 85))
 
 
+@pytest.mark.parametrize("few", [1, 6])
+def test_join_of_large_groups(spark, monkeypatch, few):
+    """Groups of copies by exchanged, dropped, added and cut words, longer than lists that are paired as they are."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 7)
+    rng, rows = random.Random(few), []
+    for c in range(6):
+        base = [f"c{c}w{k}" for k in range(rng.choice((30, 60, 90)))]
+        for _ in range(70):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 5))):
+                at, kind = rng.randrange(len(w)), rng.choice(("x", "drop", "add", "cut") if c % 2 else ("x",))
+                w[at : at + (kind != "add")] = [] if kind in ("drop", "cut") else [f"x{rng.randint(0, 500)}"]
+                w = w[: -rng.randint(1, 4)] if kind == "cut" else w
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.Join(df, n=4, percent=85).run()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 4, 85))
+
+
 @pytest.mark.parametrize("part", [1_000_000, 7])
 def test_components(spark, part):
     rng = random.Random(part)
@@ -495,18 +527,27 @@ def test_components(spark, part):
 
 def test_one_of_each_keeps_the_least(spark, docs, rows):
     left = ngram_join.one_of_each(docs, n=4, percent=85)
-    want = {i for i, _, c in brute_components(rows, 4, 85) if i == c or i is None}
+    want = {i for i, _, c in brute_components(rows, 4, 85) if i == c}
     assert {r.doc_id for r in left.collect()} == want and left.columns == docs.columns
     assert left.filter("doc_id = 3").count() == 1
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    """A row goes for its own text, not for its id; repeated rows and null ids are treated alike."""
+    u, v, z = (" ".join(f"{c}{k}" for k in range(20)) for c in "uvz")
+    rows = [(1, u), (5, u), (5, z), (5, z), (7, ""), (7, ""), (8, None), (None, v), (None, v), (None, u)]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted((tuple(r) for r in left.collect()), key=key) == sorted([(1, u), (5, z), (7, ""), (7, ""), (8, None), (None, v)], key=key)
+
+
 def test_sets_equal_words():
     rng = random.Random(3)
     cases = ["".join(rng.choice(" \n\x0b\x1cABcé") for _ in range(rng.randint(0, 25))) for _ in range(300)]
     for t, s in zip(cases, ngram_join.shingle_sets([t.encode() for t in cases], 2), strict=True):
         w = t.encode().lower().split()
         assert len(s) == len({tuple(w)} if len(w) == 1 else {tuple(w[k : k + 2]) for k in range(len(w) - 1)})
-        assert (ngram_join.unpack(ngram_join.pack(s)) == s >> np.uint64(16)).all()
+        assert (ngram_join.unpack(ngram_join.pack(s)) == s >> np.uint64(8) << np.uint64(8)).all()
 
 
 # ---- language model ----
