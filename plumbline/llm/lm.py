@@ -7,7 +7,7 @@ over classes of words of like frequency, times one over the words of the class.
 numpy by truncated backpropagation, with the state carried from window to window, over every token of every
 training document: documents are dealt by hash to shards of about SHARD_TOKENS, each shard trains a copy of the
 network on an executor, and the copies are averaged by their tokens. All copies begin from one network that has
-learned a small sample (TRAIN_DOCS of the least hash, up to TRAIN_TOKENS tokens), without which they would not be
+learned a small sample (TRAIN_DOCS documents of the least hash, up to TRAIN_TOKENS tokens), without which they would not be
 alike enough to average. A lane that begins inside a document begins there from a fresh state.
 
 Scoring reads whole documents: lanes of consecutive documents step together, each document from a fresh
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, release, ship, small, stored
 
 CLOSED, CLASSES, UNITS = 2_000, 45, 24
-HOT = 60_000
+HOT = 150_000
 TRAIN_DOCS, TRAIN_TOKENS = 600, 260_000
 EPOCHS, LANES, WINDOW, RATE, CLIP = 3, 64, 16, 0.008, 1.0
 #: Tokens of a shard, about; tokens that a task holds at a time; lanes of shards and the tokens of a lane, at least.
@@ -54,10 +54,6 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
     """Gated recurrent units over word ids 0 (unknown) to `words` - 1, with a class-factored softmax."""
 
@@ -90,47 +86,73 @@ class Network:
     def cell(self, xz: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.units
         hz = h @ self.p["U"]
-        g = _sigmoid(xz[:, : 2 * n] + hz[:, : 2 * n])
-        r, z, a = g[:, :n], g[:, n:], hz[:, 2 * n :]
-        c = np.tanh(xz[:, 2 * n :] + r * a)
-        return c + z * (h - c), r, z, a, c
+        g = xz[:, : 2 * n] + hz[:, : 2 * n]
+        g *= np.float32(0.5)
+        np.tanh(g, out=g)
+        g += 1
+        g *= np.float32(0.5)
+        a = hz[:, 2 * n :]
+        c = g[:, :n] * a
+        c += xz[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= g[:, n:]
+        new += c
+        return new, g, a, c
+
+    def steep(self) -> bool:
+        """Whether a softmax could leave the range of its numbers. No state is beyond 1, so weights bound all scores."""
+        p = self.p
+        bound = max(np.abs(p["C"]).sum(0).max() + np.abs(p["cb"]).max(), np.abs(p["O"]).sum(1).max() + np.abs(p["ob"][p["ob"] > -1e8]).max())
+        return bool(bound > 60)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target, and with grads (added to) the loss's gradient by h."""
         p, at = self.p, self.place[y]
         cls, pos = at // self.per, at % self.per
-        z = h @ p["C"] + p["cb"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1, keepdims=True)
-        rows = np.arange(len(h))
-        out = z[rows, cls] - np.log(s[:, 0])
+        steep = self.steep()
+
+        def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            """Log-probability of the targets, and the gradient by the scores."""
+            z = h @ w
+            z += b
+            if steep:
+                z -= z.max(1, keepdims=True)
+            rows = np.arange(len(z))
+            out = z[rows, target]
+            np.exp(z, out=z)
+            s = z @ np.ones(z.shape[1], np.float32)
+            out -= np.log(s)
+            if grads is None:
+                return out, None
+            z /= s[:, None]
+            z[rows, target] -= 1
+            return out, z
+
+        out, d = softmax(h, p["C"], p["cb"], cls)
         dh = None
         if grads is not None:
-            d = e / s
-            d[rows, cls] -= 1
             grads["C"] += h.T @ d
-            grads["cb"] += d.sum(0)
+            grads["cb"] += np.ones(len(d), np.float32) @ d
             dh = d @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # of 16 bits, which numpy sorts by radix
+        cuts = np.cumsum(np.bincount(cls, minlength=self.classes)).tolist()
+        cuts.insert(0, 0)
+        sorted_h, sorted_pos = h[order], pos[order]
+        more, back = np.zeros(len(h), np.float32), None if grads is None else np.empty_like(h)
         for k in range(self.classes):
-            i = order[cuts[k] : cuts[k + 1]]
-            if not len(i):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
                 continue
-            hi = h[i]
-            z = hi @ p["O"][k] + p["ob"][k]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            s = e.sum(1, keepdims=True)
-            row = np.arange(len(i))
-            out[i] += z[row, pos[i]] - np.log(s[:, 0])
+            hi = sorted_h[a:b]
+            more[a:b], d = softmax(hi, p["O"][k], p["ob"][k], sorted_pos[a:b])
             if grads is not None:
-                d = e / s
-                d[row, pos[i]] -= 1
                 grads["O"][k] += hi.T @ d
-                grads["ob"][k] += d.sum(0)
-                dh[i] += d @ p["O"][k].T
+                grads["ob"][k] += np.ones(b - a, np.float32) @ d
+                np.matmul(d, p["O"][k].T, out=back[a:b])
+        out[order] += more
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def train(self, docs: list[np.ndarray], end: int, epochs: int = EPOCHS, most: int = LANES, rate: float = RATE, state: dict | None = None) -> None:
@@ -145,60 +167,89 @@ class Network:
         lanes = max(1, min(most, total // WINDOW))
         length = -(-total // lanes)
         for _ in range(epochs):
-            flat = np.full(length * lanes, end)
+            flat = np.full(length * lanes, end, np.int32)
             flat[:total] = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
             real = (np.arange(length * lanes) < total).reshape(lanes, length)
             y = flat.reshape(lanes, length)
             x = np.concatenate((np.full((lanes, 1), end), y[:, :-1]), 1)
             h = np.zeros((lanes, n), np.float32)
+            kept = [np.empty((WINDOW, lanes, k * n), np.float32) for k in (1, 1, 1, 1, 2, 1, 1, 1, 3, 3)]
             for t0 in range(0, length, WINDOW):
-                steps = range(t0, min(t0 + WINDOW, length))
-                kept, hs = [], []
-                for t in steps:
-                    h = np.where((x[:, t] == end)[:, None], np.float32(0), h)
-                    xe = p["E"][x[:, t]]
-                    new, r, z, a, c = self.cell(xe @ p["W"] + p["b"], h)
-                    kept.append((t, xe, h, r, z, a, c))
-                    hs.append(new)
-                    h = new
+                ids = np.ascontiguousarray(x[:, t0 : t0 + WINDOW].T)
+                steps = len(ids)
+                go_on = (ids != end)[:, :, None].astype(np.float32)  # a document begins from a fresh state
+                xz = (p["E"] @ p["W"] + p["b"])[ids]  # there are fewer words than places
+                before, hs, cs, ass, gs, by_c, by_z, by_r, dx, dhz = (b[:steps] for b in kept)
+                for t in range(steps):
+                    np.multiply(h, go_on[t], out=before[t])
+                    hs[t], gs[t], ass[t], cs[t] = self.cell(xz[t], before[t])
+                    h = hs[t]
                 g = {k: np.zeros_like(v) for k, v in p.items()}
-                ok = np.flatnonzero(real[:, t0 : t0 + len(hs)].T.ravel())
+                ok = np.flatnonzero(real[:, t0 : t0 + steps].T.ravel())
                 if not len(ok):
                     continue
                 size = np.float32(1 / len(ok))
-                dh_out = np.zeros((len(hs) * lanes, n), np.float32)
-                _, dh_out[ok] = self.log_probs(np.concatenate(hs)[ok], y[:, t0 : t0 + len(hs)].T.ravel()[ok], g)
-                dh_out = dh_out.reshape(len(hs), lanes, n)
+                targets = y[:, t0 : t0 + steps].T.ravel()
+                if len(ok) == len(targets):
+                    _, dh_out = self.log_probs(hs.reshape(-1, n), targets, g)
+                else:
+                    dh_out = np.zeros((steps * lanes, n), np.float32)
+                    _, dh_out[ok] = self.log_probs(hs.reshape(-1, n)[ok], targets[ok], g)
+                dh_out = dh_out.reshape(steps, lanes, n)
+                # what a step's gradient is multiplied by, for the candidate, the update gate and the reset gate
+                r, z = gs[:, :, :n], gs[:, :, n:]
+                np.subtract(1, z, out=by_c)
+                np.subtract(before, cs, out=by_z)
+                by_z *= z
+                by_z *= by_c
+                cs *= cs
+                np.subtract(1, cs, out=cs)
+                by_c *= cs
+                np.subtract(1, r, out=by_r)
+                by_r *= r
+                by_r *= ass
                 back = np.zeros((lanes, n), np.float32)
-                dxs, dhzs = [], []
-                for k in range(len(hs) - 1, -1, -1):
-                    t, xe, h0, r, z, a, c = kept[k]
-                    d = dh_out[k] + back
-                    dc = d * (1 - z) * (1 - c * c)
-                    dz = d * (h0 - c) * z * (1 - z)
-                    dr = dc * a * r * (1 - r)
-                    dxs.append(np.concatenate((dr, dz, dc), 1))
-                    dhzs.append(np.concatenate((dr, dz, dc * r), 1))
-                    back = d * z + dhzs[-1] @ p["U"].T
-                    back[x[:, t] == end] = 0
-                kept.reverse()
-                dx, ids = np.concatenate(dxs), np.concatenate([x[:, e[0]] for e in kept])
-                g["U"] = np.concatenate([e[2] for e in kept]).T @ np.concatenate(dhzs)
-                g["W"] = np.concatenate([e[1] for e in kept]).T @ dx
-                g["b"] = dx.sum(0)
-                de = dx @ p["W"].T
-                for k in range(n):
-                    g["E"][:, k] = np.bincount(ids, de[:, k], len(g["E"]))
+                up = np.ascontiguousarray(p["U"].T)
+                for t in range(steps - 1, -1, -1):
+                    d = dh_out[t]
+                    d += back
+                    dc = np.multiply(d, by_c[t], out=dx[t, :, 2 * n :])
+                    np.multiply(d, by_z[t], out=dx[t, :, n : 2 * n])
+                    np.multiply(dc, by_r[t], out=dx[t, :, :n])
+                    dhz[t, :, : 2 * n] = dx[t, :, : 2 * n]
+                    np.multiply(dc, r[t], out=dhz[t, :, 2 * n :])
+                    back = dhz[t] @ up
+                    d *= z[t]
+                    back += d
+                    back *= go_on[t]
+                dx, dhz = dx.reshape(-1, 3 * n), dhz.reshape(-1, 3 * n)
+                g["U"] = before.reshape(-1, n).T @ dhz
+                order = np.argsort(ids.ravel().astype(np.uint16 if self.words <= 1 << 16 else np.int64), kind="stable")
+                sorted_ids = ids.ravel()[order]
+                cuts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+                words, by_word = sorted_ids[cuts], np.add.reduceat(dx[order], cuts, axis=0)
+                g["W"] = p["E"][words].T @ by_word
+                g["b"] = by_word.sum(0)
+                g["E"][words] = by_word @ p["W"].T
                 state["step"] = step = state["step"] + 1
-                norm = math.sqrt(sum(float((a * a).sum()) for a in g.values())) * float(size)
+                norm = math.sqrt(sum(float(np.vdot(a, a)) for a in g.values())) * float(size)
                 scale = size * np.float32(min(1.0, CLIP / max(norm, 1e-9)))
                 now = rate / (1 + step / 1500)
                 for k in p:
-                    gk = g[k] * scale
-                    m[k] = 0.9 * m[k] + 0.1 * gk
-                    v2[k] = 0.999 * v2[k] + 0.001 * gk * gk
-                    p[k] -= np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(v2[k] / (1 - 0.999**step)) + np.float32(1e-8))
-                    p[k] = p[k].astype(np.float32)
+                    gk = g[k]
+                    gk *= scale
+                    m[k] *= np.float32(0.9)
+                    m[k] += np.float32(0.1) * gk
+                    gk *= gk
+                    gk *= np.float32(0.001)
+                    v2[k] *= np.float32(0.999)
+                    v2[k] += gk
+                    np.multiply(v2[k], np.float32(1 / (1 - 0.999**step)), out=gk)
+                    np.sqrt(gk, out=gk)
+                    gk += np.float32(1e-8)
+                    np.divide(m[k], gk, out=gk)
+                    gk *= np.float32(now / (1 - 0.9**step))
+                    p[k] -= gk
 
     def weights(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
@@ -284,6 +335,11 @@ class Hot(dict):
         return -1
 
 
+class Unknown(dict):
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Model:
     """The network; hot: word to number (below `closed` also the network's, less 1); counts by number; totals."""
 
@@ -306,47 +362,55 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     For each distinct other word of it a row with the word and its tokens."""
     hot = Hot(model.hot)
     get = hot.__getitem__
+    for uids, doc_ids, texts in _slices(batches):
+        docs, n, known, base, more = [], [], [], [], []
+        cold_uid, cold_word, cold_n = [], [], []
+        for uid, text in zip(uids, texts, strict=True):
+            words = tokens(text)
+            number = np.fromiter(map(get, words), np.int32, len(words))
+            cold = np.flatnonzero(number < 0)
+            for w, c in Counter(map(words.__getitem__, cold.tolist())).items():
+                cold_uid.append(uid)
+                cold_word.append(w)
+                cold_n.append(c)
+            warm = number[number >= 0]
+            logs = model.log_counts[warm]
+            n.append(len(words))
+            known.append(len(warm))
+            base.append(float(logs.sum()) - len(words) * model.log_all)
+            open_ = warm >= model.closed
+            more.append(float(logs[open_].sum()) - (int(open_.sum()) + len(cold)) * model.log_rest)
+            docs.append(np.where((number >= 0) & (number < model.closed), number + 1, 0))
+        score = model.network.score(docs, model.end) / math.log(10) + np.array(more)
+        rows, others = [None] * len(texts), [None] * len(cold_uid)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(uids + cold_uid, pa.int64()),
+                pa.array(doc_ids + others, pa.int64()),
+                pa.array(rows + cold_word, pa.binary()).cast(pa.string()),
+                pa.array(n + cold_n, pa.int64()),
+                pa.array(known + others, pa.int64()),
+                pa.array(base + others, pa.float64()),
+                pa.array(score.tolist() + others, pa.float64()),
+            ],
+            names=[c.split(" ")[0] for c in SCORED.split(", ")],
+        )
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes]]]:
+    """(uids, ids, texts) of about SLICE bytes of text, whatever the batches are, so that lanes are many."""
+    out: tuple[list, list, list[bytes]] = ([], [], [])
+    held = 0
     for b in batches:
-        uids, doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2))
-        low = 0
-        while low < len(texts):
-            high, held = low, 0
-            while high < len(texts) and (high == low or held + len(texts[high]) < SLICE):
-                held += len(texts[high])
-                high += 1
-            docs, n, known, base, more = [], [], [], [], []
-            cold_uid, cold_word, cold_n = [], [], []
-            for k in range(low, high):
-                words = tokens(texts[k])
-                number = np.fromiter(map(get, words), np.int32, len(words))
-                cold = np.flatnonzero(number < 0)
-                for w, c in Counter(map(words.__getitem__, cold.tolist())).items():
-                    cold_uid.append(uids[k])
-                    cold_word.append(w)
-                    cold_n.append(c)
-                warm = number[number >= 0]
-                logs = model.log_counts[warm]
-                n.append(len(words))
-                known.append(len(warm))
-                base.append(float(logs.sum()) - len(words) * model.log_all)
-                open_ = warm >= model.closed
-                more.append(float(logs[open_].sum()) - (int(open_.sum()) + len(cold)) * model.log_rest)
-                docs.append(np.where((number >= 0) & (number < model.closed), number + 1, 0))
-            score = model.network.score(docs, model.end) / math.log(10) + np.array(more)
-            none = [None] * (high - low)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(uids[low:high] + cold_uid, pa.int64()),
-                    pa.array(doc_ids[low:high] + [None] * len(cold_uid), pa.int64()),
-                    pa.array(none + cold_word, pa.binary()).cast(pa.string()),
-                    pa.array(n + cold_n, pa.int64()),
-                    pa.array(known + [None] * len(cold_uid), pa.int64()),
-                    pa.array(base + [None] * len(cold_uid), pa.float64()),
-                    pa.array(score.tolist() + [None] * len(cold_uid), pa.float64()),
-                ],
-                names=[c.split(" ")[0] for c in SCORED.split(", ")],
-            )
-            low = high
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+            held += len(row[2])
+            if held >= SLICE:
+                yield out
+                out, held = ([], [], []), 0
+    if out[0]:
+        yield out
 
 
 COPIES = "shard int, n long, weights binary"
@@ -358,7 +422,7 @@ def _copies(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: dict[bytes, int], end: int) -> Iterator[pa.RecordBatch]:
     """All documents of a shard, once: its tokens and the weights after them, times the tokens."""
-    get = closed.get
+    get = Unknown(closed).__getitem__
     own, state, held, size, n, shard = copy.deepcopy(network), {}, [], 0, 0, 0
 
     def learn() -> None:
@@ -368,7 +432,7 @@ def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: dict[byt
     for b in batches:
         for shard, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):  # noqa: B007
             words = tokens(text)
-            held.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            held.append(np.fromiter(map(get, words), np.int32, len(words)))
             size += len(words)
             n += len(words)
             if size >= BLOCK_TOKENS:
@@ -407,21 +471,20 @@ def learn_all(docs: DataFrame, network: Network, closed: dict[bytes, int], end:
     return n
 
 
-def _sample(docs: DataFrame) -> list[list[bytes]]:
-    """What the network that all copies begin from learns: whole documents of the least hash of their id, at most
-    TRAIN_DOCS and about TRAIN_TOKENS tokens."""
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select(F.col("doc_id").alias("_id"))
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sized = stored(rows.withColumn("_n", F.length("text")), "lm-sample").orderBy(F.xxhash64("doc_id"), "doc_id")
-    held, left = [], TRAIN_TOKENS * 6
-    want = []
-    for r in sized.select("doc_id", "_n").toLocalIterator():  # at most TRAIN_DOCS rows
+def _sample(docs: DataFrame, n: int) -> list[list[bytes]]:
+    """What the network that all copies begin from learns, of n docs: different documents of the least hash, at most
+    TRAIN_DOCS and about TRAIN_TOKENS tokens. About twice as many rows leave the scan, whatever n is; repeated rows are one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), text.alias("text")).withColumn("_at", F.pmod("_h", F.lit(1 << 40)))
+    near = hashed.filter((F.col("_at") * max(n, 1) <= 2.0 * TRAIN_DOCS * (1 << 40)) & (F.length("text") <= 6 * TRAIN_TOKENS))
+    one = stored(near.groupBy("_at", "_h").agg(F.first("text").alias("text"), F.first(F.length("text")).alias("_n")), "lm-sample")
+    want, left = [], 6 * TRAIN_TOKENS
+    for r in one.orderBy("_at", "_h").limit(TRAIN_DOCS).select("_h", "_n").collect():
         if r["_n"] <= left:
-            want.append(r["doc_id"])
+            want.append(r["_h"])
             left -= r["_n"]
-    for r in sized.filter(F.col("doc_id").isin(want)).toLocalIterator() if want else ():
-        held.append(tokens(r["text"].encode()))
-    return held
+    texts = {r["_h"]: r["text"] for r in one.filter(F.col("_h").isin(want)).collect()} if want else {}  # 6 * TRAIN_TOKENS characters
+    return [tokens(texts[h].encode()) for h in want]
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -442,7 +505,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     own = np.concatenate(([total - number[:closed].sum()], number[:closed])) if total else np.zeros(1)
     network = Network(own.astype(float))
     model = Model(network, hot, number, closed, total, distinct)
-    sample = [np.array([(k + 1) if (k := hot.get(w, closed)) < closed else 0 for w in d]) for d in _sample(docs)]
+    sample = [np.array([(k + 1) if (k := hot.get(w, closed)) < closed else 0 for w in d]) for d in _sample(docs, int(number[hot[END]]) if END in hot else 0)]
     if sum(map(len, sample)) >= WINDOW:
         network.train(sample, model.end, most=min(LANES, len(sample)))
     model.learned = learn_all(docs, network, {w: k + 1 for w, k in hot.items() if k < closed}, model.end, total) if total else 0
