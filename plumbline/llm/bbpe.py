@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship
+from .common import local_file, release, ship
 
 #: Runs of text, and pre-tokens, whose ids a worker keeps; then it forgets all and begins anew.
 MEMO_RUNS, MEMO_PIECES = 150_000, 350_000
@@ -39,7 +39,7 @@ MIX = 0x9E3779B97F4A7C15
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    with open(local_file(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 

@@ -6,11 +6,13 @@ vocabulary has at most 65,536 entries, else 4. An index file beside each record
 (magic, bytes an id, records) and then, as whole columns, the ids of documents, a null mask, the offsets
 and the token counts; `read_records` reads any records, in any order, by it.
 
-Documents are dealt by ranges of doc_id, each range sorted in its task and written as one file; the start
-of a file in the stream of all ids is a sum over the files before it, not over documents.
+Documents are dealt by ranges of doc_id, as many as their bytes need, each range sorted in its task and written as
+one file; the start of a file in the stream of all ids is a sum over the files before it, not over documents.
 
-Cases: a null or empty text is a record with the end id alone; null ids come first; rows with the same id
-are ordered by text; an empty table writes no file and gives no row; a damaged record raises.
+Cases: a null or empty text is a record with the end id alone; null ids come first; rows with the same id (or none)
+are ordered by a hash of the text and then by their place in the table, so that any number of them is spread over
+files; a text of any length is one record; other columns aren't read, whatever their names; an empty table writes
+no file and gives no row; a damaged record raises.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, ship
+from .common import local_file, release, shared_dir, ship
 from .media import open_fs
 
-#: Words whose ids a worker keeps; then it forgets all and begins anew.
-MEMO_WORDS = 500_000
+#: Words, and pre-tokens, whose ids a worker keeps, some 40 MB; then it forgets all and begins anew.
+MEMO_WORDS = 120_000
+#: Bytes of text of a file, about.
+FILE_BYTES = 24 << 20
 #: Longer words aren't kept.
 MEMO_CHARS = 64
 #: Records that one task reads back.
@@ -130,7 +134,7 @@ class WordIds(dict):
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = Tokenizer.from_file(local_file(tokenizer_file))
         special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -260,20 +264,27 @@ def write_records(docs: DataFrame, tokenizer_file: str, end_id: int = 1, parts:
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark, "records")
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n = parts or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    rows = rows.withColumns({"_h": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "_h", "_at"]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_h", "_at")
     dealt.mapInArrow(lambda it: release(_write(it, f"{folder}/files", tokenizer_file, end_id)), MANIFEST).write.parquet(f"{folder}/committed")
     return folder
 
 
-def load_index(fs, path: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(kind of an id, document ids, null mask, offsets, token counts) of a record file."""
-    with fs.open_input_stream(path) as f:
-        magic, size, n = INDEX_HEAD.unpack(f.read(INDEX_HEAD.size))
-        if magic != INDEX_MAGIC:
-            raise ValueError(f"{path}: not an index")
-        columns = [np.frombuffer(f.read(n * k.itemsize), k) for k in map(np.dtype, ("<i8", "?", "<u8", "<u8"))]
+def load_index(f, low: int = 0, high: int | None = None) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind of an id, document ids, null mask, offsets, token counts) of the records from low to high of the opened index
+    f of a record file. Only those entries are read."""
+    f.seek(0)
+    magic, size, n = INDEX_HEAD.unpack(f.read(INDEX_HEAD.size))
+    if magic != INDEX_MAGIC:
+        raise ValueError("not an index")
+    high, at, columns = n if high is None else min(high, n), INDEX_HEAD.size, []
+    for k in map(np.dtype, ("<i8", "?", "<u8", "<u8")):
+        f.seek(at + low * k.itemsize)
+        columns.append(np.frombuffer(f.read(max(0, high - low) * k.itemsize), k))
+        at += n * k.itemsize
     return np.dtype("<u2" if size == 2 else "<u4"), *columns
 
 
@@ -297,12 +308,12 @@ def _parse(data: bytes, kind: np.dtype, counts: np.ndarray) -> tuple[np.ndarray,
 def read_records(folder: str, file: str, which: list[int]) -> list[np.ndarray]:
     """The ids of the records numbered `which` of a file, in that order, each found by the index: a shuffled read."""
     fs, root = open_fs(folder)
-    kind, _, _, offsets, counts = load_index(fs, f"{root}/files/{file}.idx")
     out = []
-    with fs.open_input_file(f"{root}/files/{file}.rec") as f:
+    with fs.open_input_file(f"{root}/files/{file}.rec") as f, fs.open_input_file(f"{root}/files/{file}.idx") as index:
         for k in which:
-            f.seek(int(offsets[k]))
-            out.append(_parse(f.read(int(counts[k]) * kind.itemsize + 16), kind, counts[k : k + 1])[0])
+            kind, _, _, offsets, counts = load_index(index, k, k + 1)
+            f.seek(int(offsets[0]))
+            out.append(_parse(f.read(int(counts[0]) * kind.itemsize + 16), kind, counts)[0])
     return out
 
 
@@ -313,14 +324,15 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
     fs, root = open_fs(folder)
     for batch in batches:
         for r in batch.to_pylist():
-            kind, ids, nulls, offsets, counts = load_index(fs, f"{root}/{r['file']}.idx")
-            before = r["base"] + np.concatenate(([0], np.cumsum(counts.astype(np.int64))))
-            with fs.open_input_file(f"{root}/{r['file']}.rec") as f:
-                low = r["low"]
-                while low < min(r["high"], len(ids)):
+            with fs.open_input_file(f"{root}/{r['file']}.rec") as f, fs.open_input_file(f"{root}/{r['file']}.idx") as index:
+                kind, ids, nulls, offsets, counts = load_index(index, r["low"], r["high"])
+                # a record takes 16 bytes besides its ids, so offsets tell the ids before it
+                before = r["base"] + (offsets.astype(np.int64) - 16 * np.arange(r["low"], r["low"] + len(ids))) // kind.itemsize
+                low = 0
+                while low < len(ids):
                     # records up to 8 MB at a time, one at least
                     high = int(np.searchsorted(offsets, int(offsets[low]) + (8 << 20)))
-                    high = max(low + 1, min(high, r["high"], len(ids)))
+                    high = max(low + 1, min(high, len(ids)))
                     f.seek(int(offsets[low]))
                     got, ends = _parse(f.read(int(offsets[high - 1] - offsets[low]) + int(counts[high - 1]) * kind.itemsize + 16), kind, counts[low:high])
                     wide = memoryview(got.astype("<u4")).cast("B")
