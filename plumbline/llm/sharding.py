@@ -3,18 +3,23 @@
 Linked documents start in shards by hash. In turns, the nodes of one phase look at their neighbours' shards
 (a join and a partial aggregation) and propose to move to the one that holds most of their links; a shard
 accepts proposals in a fixed order while its quota lasts. Each round is written to the shared folder, which
-cuts the lineage. Documents without links come last: from large to small tiers they level the shards, each
-tier cut into intervals of a prefix sum.
+cuts the lineage. A shard that holds more linked documents than its quota then gives up those beyond it, in the
+order of their groups. These and the documents without links come last: from large to small tiers they level the
+shards, each tier cut into intervals of a prefix sum, and LAST documents at the very end, one by one.
 
 Groups of equal texts are linked as a star: every member to a node of size 0 for the group, so links are as
-many as documents. A group too large for one shard fills its quota and stays spread with the rest.
+many as documents. A group too large for one shard fills its quota and stays spread with the rest. Prefix sums run over
+BUCKETS parts of a shard or tier, whose offsets (BUCKETS rows at most) are all that meets in one task.
 
-Cases: a null text counts as an empty one (size 1); repeated rows are members of one group, each with its own
-slot; an empty table gives no rows; ties go to the smaller shard number.
+Cases: a null text counts as an empty one (size 1); a very long text may be a shard's greater part and is placed
+before smaller ones; repeated rows are members of one group, each with its own slot; an empty table gives no rows;
+ties go to the smaller shard number; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,9 @@ ROUNDS = 6
 BUCKETS = 4096
 #: Documents without links are dealt in tiers: over 1/8 of a shard, over 1/32, and so on.
 TIERS, TIER_STEP = 6, 4
+#: Documents without links, or given up, that are placed at the very end, one by one on the driver, each in the least
+#: full shard: they even out what the tiers' whole documents leave.
+LAST = 2_000
 
 
 def _level(loads: list[float], amount: float) -> list[float]:
@@ -56,16 +64,18 @@ def _sums(df: DataFrame, shards: int) -> list[float]:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, cap: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """nodes (node, size, phase 0 or 1) and links (a, b, w; both directions) to (node, size, shard).
+    """nodes (node, size, phase 0 or 1) and links (a, b, w, phase of a; both directions, between phases) to (node,
+    size, shard).
 
-    Nodes of one phase move at a time, so that neighbours of different phases don't swap places. No shard
-    takes moves beyond `cap`.
+    Nodes of one phase move at a time, so that neighbours don't swap places. No shard takes moves beyond `cap`. Where
+    nodes of phase 0 are hubs of many, their own votes are summed before the exchange, and their few shards go to the
+    tasks that hold their neighbours.
     """
     labels = stored(nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "shard-start")
     idle = 0
     for k in range(rounds):
-        now = labels.select(F.col("node").alias("b"), F.col("shard").alias("at"))
-        votes = links.join(now, "b").groupBy("a", "at").agg(F.sum("w").alias("w"))
+        now = labels.filter(F.col("phase") != k % 2).select(F.col("node").alias("b"), F.col("shard").alias("at"))
+        votes = links.filter(F.col("phase") == k % 2).join(small(now), "b").groupBy("a", "at").agg(F.sum("w").alias("w"))
         best = votes.groupBy("a").agg(F.max(F.struct(F.col("w"), (-F.col("at")).alias("s"))).alias("x"), F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("all"))
         moves = (
             labels.filter(F.col("phase") == k % 2)
@@ -74,9 +84,9 @@ def propagate(nodes: DataFrame, links: DataFrame, cap: float, shards: int = SHAR
             .filter((F.col("to") != F.col("shard")) & (F.col("x.w") > F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))))
             .select("node", "size", "to", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BUCKETS)).cast("int").alias("_bucket"))
         )
-        moves = stored(moves, "shard-moves")
         loads = _sums(labels, shards)
         room = F.element_at(F.array(*[F.lit(max(0.0, cap - x)) for x in loads]), F.col("to") + 1)
+        moves = stored(moves.filter(F.col("size") <= room), "shard-moves")  # what can't fit must not keep others out
         ordered = running_before(moves, ["to"], "_bucket", ["node"], "size", "before")
         taken = ordered.filter((F.col("before") + F.col("size") <= room) | (F.col("size") == 0)).select(F.col("node").alias("_n"), "to")
         taken = stored(taken, "shard-taken")
@@ -112,27 +122,43 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     members = linked.select(name("uid", 1).alias("node"), "size", F.lit(1).alias("phase"))
     hubs = linked.select(name("hub", 0).alias("node")).distinct().select("node", F.lit(0).cast("long").alias("size"), F.lit(0).alias("phase"))
     star = linked.select(name("uid", 1).alias("a"), name("hub", 0).alias("b"), "size").select("a", "b", F.col("size").alias("w"))
-    links = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    links = star.withColumn("phase", F.lit(1)).unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", F.lit(0).alias("phase")))
     placed = propagate(members.unionByName(hubs), links, cap, shards).filter("node.k = 1").select(F.col("node.i").alias("_uid"), "shard")
-    loads = _sums(placed.join(linked.select("uid", "size"), F.col("_uid") == F.col("uid")).select("shard", "size"), shards)
-
-    single = rows.filter(F.col("hub").isNull())
+    # parts of a shard go by group first and by document then, so that few groups are cut where the quota ends
+    part = F.pmod(F.xxhash64("hub"), F.lit(64)) * 64 + F.pmod(F.xxhash64("uid"), F.lit(64))
+    ordered = running_before(linked.join(placed, F.col("uid") == F.col("_uid")).withColumn("_bucket", part.cast("int")), ["shard"], "_bucket", ["uid"], "size", "before")
+    settled = stored(ordered.withColumn("stays", F.col("before") + F.col("size") <= cap).drop("before", "_bucket", "_uid"), "shard-settled")
+    loads = _sums(settled.filter("stays").select("shard", "size"), shards)
+
+    names = ["doc_id", "size", "text_crc32", "uid"]
+    single = rows.filter(F.col("hub").isNull()).select(*names).unionByName(settled.filter(~F.col("stays")).select(*names))
+    single = stored(single, "shard-free")
+    last = [(r["size"], r["uid"]) for r in single.select("uid", "size").orderBy(F.xxhash64("uid"), "uid").limit(LAST).collect()]
+    spark = docs.sparkSession
+    kept = F.broadcast(spark.createDataFrame([(u,) for _, u in last], "_uid long"))  # LAST rows
+    rest = single.join(kept, F.col("uid") == F.col("_uid"), "left_anti")
     tier = F.lit(TIERS - 1)
     for k in range(TIERS - 2, -1, -1):
         tier = F.when(F.col("size") > cap / 8 / TIER_STEP**k, k).otherwise(tier)
-    single = single.withColumns({"tier": tier, "_bucket": F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int")})
-    single = stored(running_before(single, ["tier"], "_bucket", ["uid"], "size", "before").drop("_bucket"), "shard-single")
-    amounts = {r[0]: float(r[1]) for r in single.groupBy("tier").agg(F.sum("size")).collect()}
+    rest = rest.withColumns({"tier": tier, "_bucket": F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int")})
+    rest = stored(running_before(rest, ["tier"], "_bucket", ["uid"], "size", "before").drop("_bucket"), "shard-single")
+    amounts = {r[0]: float(r[1]) for r in rest.groupBy("tier").agg(F.sum("size")).collect()}
     middle, choice = F.col("before") + F.col("size") / 2, F.lit(0)
     for k in sorted(amounts):
         here = _by_interval(middle, _level(loads, amounts[k]))
-        more = _sums(single.filter(F.col("tier") == k).withColumn("shard", here), shards)
+        more = _sums(rest.filter(F.col("tier") == k).withColumn("shard", here), shards)
         loads = [a + b for a, b in zip(loads, more, strict=True)]
         choice = F.when(F.col("tier") == k, here).otherwise(choice)
-    names = ["doc_id", "size", "text_crc32", "uid", "shard"]
-    both = single.withColumn("shard", choice.cast("int")).select(*names).unionByName(
-        linked.join(placed, F.col("uid") == F.col("_uid")).select(*names)
-    )
+    heap = [(load, s) for s, load in enumerate(loads)]
+    heapq.heapify(heap)
+    ends = []
+    for size, uid in sorted(last, reverse=True):
+        load, s = heapq.heappop(heap)
+        ends.append((uid, s))
+        heapq.heappush(heap, (load + size, s))
+    ends = F.broadcast(spark.createDataFrame(ends, "_uid long, shard int"))  # LAST rows
+    both = rest.withColumn("shard", choice.cast("int")).select(*names, "shard").unionByName(settled.filter("stays").select(*names, "shard"))
+    both = both.unionByName(single.join(ends, F.col("uid") == F.col("_uid")).select(*names, "shard"))
     both = both.withColumns({"_bucket": F.pmod(F.xxhash64("uid", F.lit("slot")), F.lit(BUCKETS)).cast("int"), "_one": F.lit(1)})
     both = running_before(stored(both, "shard-all"), ["shard"], "_bucket", ["uid"], "_one", "slot")
     return both.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
