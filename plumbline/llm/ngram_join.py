@@ -438,13 +438,16 @@ class Join:
         else:
             own = own.withColumn("out", F.lit(True))
         own = self.stored(own, "own")
+        if first:
+            left = own.drop("w")
         out, rest = F.col("out"), F.col("d") - F.col("pos")
         extremes = lambda when, k: [F.count_if(when).alias(f"c{k}"), F.min(F.when(when, F.col("d"))).alias(f"d{k}"), F.max(F.when(when, F.col("n"))).alias(f"n{k}"), F.max(F.when(when, rest)).alias(f"r{k}")]
         stats = own.groupBy("token").agg(*extremes(out, 0), *extremes(~out, 1)).filter("c0 > 0 and c0 + c1 > 1").withColumnRenamed("token", "_t")
         test = lambda k: self.could(F.col("n"), F.col("d"), rest, F.col(f"n{k}"), F.col(f"d{k}"), F.col(f"r{k}"))
         fits = F.when(out, ((F.col("c0") > 1) & test(0)) | ((F.col("c1") > 0) & test(1))).otherwise(test(0))
-        left = own.join(small(self.stored(stats, "stats")), F.col("token") == F.col("_t")).filter(fits).select(*own.columns)
-        left = self.stored(left, "left")
+        if not first:  # at first that is done where the lists are made
+            left = own.join(small(self.stored(stats, "stats")), F.col("token") == F.col("_t")).filter(fits).select(*own.columns)
+            left = self.stored(left, "left")
         head = F.max(F.struct((~F.col("linked")).alias("_f"), "score", "node", "n", "d", "pos", "root")).alias("head")
         k = F.count("*") - 1 if first else F.count_if(out)
         heads = left.groupBy("token").agg(F.count("*").alias("m"), k.alias("k"), head, F.min("root").alias("_a"), F.max("root").alias("_b"))
@@ -474,16 +477,18 @@ class Join:
 
         held = self.spark.sparkContext.broadcast(ranks(described.filter("kind = 1").select("uid", "th")))
         posts = self.docs.select("text").mapInArrow(lambda it: release(_post(it, n, percent, held.value)), POSTINGS)
-        w = Window.partitionBy("key")
-        posts = posts.withColumns({"_a": F.min("hi").over(w), "_b": F.max("hi").over(w)}).filter(f"_a <> _b or key % {1 << SALT_BITS} <> 0")
-        posts = self.stored(posts.select("key", "hi", "n", "pos").dropDuplicates(["key", "hi"]), "posts")
+        # a list is told from its extremes while all of it is in one task, which only hot ones aren't
+        w, rest = Window.partitionBy("key"), F.col("n") - F.col("pos")
+        extremes = {"_a": F.min("hi").over(w), "_b": F.max("hi").over(w), "_n": F.min("n").over(w), "_r": F.max(rest).over(w), "_m": F.count("*").over(w)}
+        fits = self.could(F.col("n"), F.col("n"), rest, F.col("_n"), F.col("_n"), F.col("_r"))
+        posts = posts.withColumns(extremes).filter((F.col("key") % (1 << SALT_BITS) != 0) | ((F.col("_a") != F.col("_b")) & fits))
+        posts = posts.select("key", "hi", "n", "pos", F.floor(F.log2("_m") * 1024).alias("w")).dropDuplicates(["key", "hi"])
+        posts = self.stored(posts, "posts")
         named = nodes.select(F.col("hi").alias("_hi"), F.col("n").alias("_n"), "node")
-        lists = posts.join(small(named), (F.col("hi") == F.col("_hi")) & (F.col("n") == F.col("_n")))
-        lists = self.stored(lists.select(F.shiftrightunsigned("key", SALT_BITS).alias("token"), "node", "n", F.col("n").alias("d"), "pos", F.lit(False).alias("linked"), F.lit(None).cast("long").alias("base")), "lists")
+        lists = posts.join(small(named, WANTED_ROWS), (F.col("hi") == F.col("_hi")) & (F.col("n") == F.col("_n")))
+        lists = self.stored(lists.select(F.shiftrightunsigned("key", SALT_BITS).alias("token"), "node", "n", F.col("n").alias("d"), "pos", F.lit(False).alias("linked"), F.lit(None).cast("long").alias("base"), "w"), "lists")
         # nodes that most lists hold, long ones counting more, are heads
-        length = lists.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("token").alias("_t"), F.floor(F.log2("m") * 1024).alias("w"))
-        score = lists.join(small(self.stored(length, "lengths")), F.col("token") == F.col("_t")).groupBy(F.col("node").alias("_s")).agg(F.sum("w").alias("score"))
-        score = self.stored(score, "score")
+        score = self.stored(lists.groupBy(F.col("node").alias("_s")).agg(F.sum("w").alias("score")), "score")
         # different sets whose names agree in their first half never meet in a list of these
         twins = nodes.groupBy("hi").agg(F.count("*").alias("c"), F.collect_set("node").alias("all")).filter("c > 1")
         pending = twins.select(F.array_min("all").alias("p"), F.explode("all").alias("x"), F.lit(False).alias("more")).filter("p <> x")
