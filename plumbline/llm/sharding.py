@@ -13,7 +13,7 @@ BUCKETS parts of a shard or tier, whose offsets (BUCKETS rows at most) are all t
 
 Cases: a null text counts as an empty one (size 1); a very long text may be a shard's greater part and is placed
 before smaller ones; repeated rows are members of one group, each with its own slot; an empty table gives no rows;
-ties go to the smaller shard number; other columns aren't read, whatever their names.
+ties between shards are broken by a hash of node and shard, which favours none; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import running_before, small, stored
 
 SHARDS = 16
 ROUNDS = 6
+#: Times the even size that a shard may hold of linked documents while they move.
+SLACK = 1.25
 BUCKETS = 4096
 #: Documents without links are dealt in tiers: over 1/8 of a shard, over 1/32, and so on.
 TIERS, TIER_STEP = 6, 4
@@ -76,11 +78,11 @@ def propagate(nodes: DataFrame, links: DataFrame, cap: float, shards: int = SHAR
     for k in range(rounds):
         now = labels.filter(F.col("phase") != k % 2).select(F.col("node").alias("b"), F.col("shard").alias("at"))
         votes = links.filter(F.col("phase") == k % 2).join(small(now), "b").groupBy("a", "at").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct(F.col("w"), (-F.col("at")).alias("s"))).alias("x"), F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("all"))
+        best = votes.groupBy("a").agg(F.max(F.struct(F.col("w"), F.xxhash64("a", "at").alias("h"), F.col("at").alias("s"))).alias("x"), F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("all"))
         moves = (
             labels.filter(F.col("phase") == k % 2)
             .join(best, F.col("node") == F.col("a"))
-            .withColumn("to", -F.col("x.s"))
+            .withColumn("to", F.col("x.s"))
             .filter((F.col("to") != F.col("shard")) & (F.col("x.w") > F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))))
             .select("node", "size", "to", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BUCKETS)).cast("int").alias("_bucket"))
         )
@@ -123,7 +125,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     hubs = linked.select(name("hub", 0).alias("node")).distinct().select("node", F.lit(0).cast("long").alias("size"), F.lit(0).alias("phase"))
     star = linked.select(name("uid", 1).alias("a"), name("hub", 0).alias("b"), "size").select("a", "b", F.col("size").alias("w"))
     links = star.withColumn("phase", F.lit(1)).unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", F.lit(0).alias("phase")))
-    placed = propagate(members.unionByName(hubs), links, cap, shards).filter("node.k = 1").select(F.col("node.i").alias("_uid"), "shard")
+    placed = propagate(members.unionByName(hubs), links, SLACK * cap, shards).filter("node.k = 1").select(F.col("node.i").alias("_uid"), "shard")
     # parts of a shard go by group first and by document then, so that few groups are cut where the quota ends
     part = F.pmod(F.xxhash64("hub"), F.lit(64)) * 64 + F.pmod(F.xxhash64("uid"), F.lit(64))
     ordered = running_before(linked.join(placed, F.col("uid") == F.col("_uid")).withColumn("_bucket", part.cast("int")), ["shard"], "_bucket", ["uid"], "size", "before")
