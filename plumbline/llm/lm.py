@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, release, ship, small, stored
 
 CLOSED, CLASSES, UNITS = 2_000, 45, 24
+#: Words whose counts tasks hold, some 20 MB; the others meet theirs in a join.
 HOT = 150_000
 TRAIN_DOCS, TRAIN_TOKENS = 600, 260_000
 EPOCHS, LANES, WINDOW, RATE, CLIP = 3, 64, 16, 0.008, 1.0
@@ -61,13 +62,13 @@ class Network:
         rng = np.random.default_rng(seed)
         n = len(counts)
         self.words, self.units = n, units
-        self.per = per = -(-n // classes)  # words of a class, by falling frequency
-        self.classes = k = -(-n // per)
-        order = np.argsort(-counts, kind="stable")
+        self.per = per = -(-n // classes)  # words of a class, by falling frequency; the unknown word has class 0 alone
+        self.classes = k = 1 + -(-(n - 1) // per)
+        order = np.concatenate(([0], 1 + np.argsort(-counts[1:], kind="stable")))
         self.place = np.empty(n, np.int64)
-        self.place[order] = np.arange(n)
+        self.place[order] = np.concatenate(([0], per + np.arange(n - 1)))
         held = np.zeros(k * per)
-        held[:n] = counts[order] + 1
+        held[self.place] = counts + 1
         held = held.reshape(k, per)
         r = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         with np.errstate(divide="ignore"):
@@ -83,22 +84,24 @@ class Network:
             "ob": np.maximum(word_bias, -1e9).astype(np.float32),
         }
 
-    def cell(self, xz: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def cell(self, xz: np.ndarray, h: np.ndarray, new=None, g=None, a=None, c=None) -> np.ndarray:
+        """The next state; into new, and the gates, the candidate's part from h and the candidate into g, a and c, if given."""
         n = self.units
         hz = h @ self.p["U"]
-        g = xz[:, : 2 * n] + hz[:, : 2 * n]
+        g = np.add(xz[:, : 2 * n], hz[:, : 2 * n], out=g)
         g *= np.float32(0.5)
         np.tanh(g, out=g)
         g += 1
         g *= np.float32(0.5)
-        a = hz[:, 2 * n :]
-        c = g[:, :n] * a
+        if a is not None:
+            a[...] = hz[:, 2 * n :]
+        c = np.multiply(g[:, :n], hz[:, 2 * n :], out=c)
         c += xz[:, 2 * n :]
         np.tanh(c, out=c)
-        new = h - c
+        new = np.subtract(h, c, out=new)
         new *= g[:, n:]
         new += c
-        return new, g, a, c
+        return new
 
     def steep(self) -> bool:
         """Whether a softmax could leave the range of its numbers. No state is beyond 1, so weights bound all scores."""
@@ -140,7 +143,9 @@ class Network:
         cuts.insert(0, 0)
         sorted_h, sorted_pos = h[order], pos[order]
         more, back = np.zeros(len(h), np.float32), None if grads is None else np.empty_like(h)
-        for k in range(self.classes):
+        if back is not None:
+            back[: cuts[1]] = 0  # within class 0 nothing is left to choose
+        for k in range(1, self.classes):
             a, b = cuts[k], cuts[k + 1]
             if a == b:
                 continue
@@ -182,8 +187,8 @@ class Network:
                 before, hs, cs, ass, gs, by_c, by_z, by_r, dx, dhz = (b[:steps] for b in kept)
                 for t in range(steps):
                     np.multiply(h, go_on[t], out=before[t])
-                    hs[t], gs[t], ass[t], cs[t] = self.cell(xz[t], before[t])
-                    h = hs[t]
+                    h = self.cell(xz[t], before[t], hs[t], gs[t], ass[t], cs[t])
+                h = h.copy()  # the buffers are filled anew
                 g = {k: np.zeros_like(v) for k, v in p.items()}
                 ok = np.flatnonzero(real[:, t0 : t0 + steps].T.ravel())
                 if not len(ok):
@@ -301,7 +306,7 @@ class Network:
                 a = int(alive[t])
                 xt = x[t, :a]
                 fresh = np.where((xt == end)[:, None], np.float32(0), h[:a])
-                h = self.cell(inputs[xt], fresh)[0]
+                h = self.cell(inputs[xt], fresh)
                 hs.append(h)
                 ys.append(y[t, :a])
                 os_.append(owner[t, :a])
@@ -498,9 +503,9 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     least = next((x for x, n in zip(steps, over, strict=True) if n <= HOT), steps[-1])
     if distinct <= HOT:
         least = 1
-    rows = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()  # HOT rows at most
-    hot = {r["word"].encode(): k for k, r in enumerate(rows)}
-    number = np.array([r["c"] for r in rows], np.int64)
+    rows = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()  # HOT rows at most
+    hot = {w.encode(): k for k, w in enumerate(rows["word"].to_pylist())}
+    number = rows["c"].to_numpy().astype(np.int64)
     closed = min(CLOSED - 1, len(rows))
     own = np.concatenate(([total - number[:closed].sum()], number[:closed])) if total else np.zeros(1)
     network = Network(own.astype(float))
