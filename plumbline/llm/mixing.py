@@ -6,8 +6,9 @@ size is S words takes floor(T / S) complete epochs of its documents, then the do
 prefix sum of words comes nearest to the rest of T.
 
 Cases: a null text has size 0 and is taken 0 words; a null source is a source of its own, last in order;
-an empty table gives an empty plan and result; rows with the same id share a key and are taken or left
-together; other columns of the input pass through untouched.
+an empty table gives an empty plan and result; rows of one id and weight share a key and come in order of
+size, and of rows equal in these too as many are taken as bring the sum nearest to the target; other columns of
+the input pass through untouched.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, small, stored, words
+from .common import n_words, running_before, small, stored, words
 
 #: Fixed weights, given to the sources by rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -95,14 +96,22 @@ def plan(keyed: DataFrame) -> DataFrame:
         .filter((F.col("_off") <= F.col("_need")) & (F.col("_off") + F.col("_s") > F.col("_need")))
         .select(F.col("_src"), F.col("_bucket").alias("_b"), "_off", "_need")
     )
-    last = Window.partitionBy("_src", "_b").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        keyed.select("doc_id", "source", "_size", "_key", "_bucket")
-        .join(small(stored(edge, "mix-edge")), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_before", F.col("_off") + F.coalesce(F.sum("_size").over(last), F.lit(0)))
-        .groupBy("_src", "_b")
-        .agg(F.max(F.when(F.col("_before") + F.col("_size") / 2.0 <= F.col("_need"), F.col("_key"))).alias("cut_key"))
+    # rows that share key, id and size are one row with a count, so a hot one meets in no task
+    equal = ["_src", "_b", "_off", "_need", "_key", "doc_id", "_size"]
+    at_edge = keyed.select("doc_id", "source", "_size", "_key", "_bucket").join(
+        small(stored(edge, "mix-edge")), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b"))
     )
+    last = Window.partitionBy("_src", "_b").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = at_edge.groupBy(*equal).agg(F.count("*").alias("_c"))
+    counted = counted.withColumn("_before", F.col("_off") + F.coalesce(F.sum(F.col("_size") * F.col("_c")).over(last), F.lit(0)))
+    fits = lambda k: F.col("_before") + k * F.col("_size") + F.col("_size") / 2.0 <= F.col("_need")
+    near = F.when(F.col("_size") > 0, F.floor((F.col("_need") - F.col("_before")) / F.col("_size") + 0.5)).otherwise(F.when(F.col("_before") <= F.col("_need"), F.col("_c")).otherwise(0))
+    counted = counted.withColumn("_m", F.greatest(F.least(near, F.col("_c")), F.lit(0)))
+    # the division may round; the comparison decides
+    exact = F.when(F.col("_size") == 0, F.col("_m")).when((F.col("_m") < F.col("_c")) & fits(F.col("_m")), F.col("_m") + 1).when((F.col("_m") > 0) & ~fits(F.col("_m") - 1), F.col("_m") - 1)
+    counted = counted.withColumn("_m", F.coalesce(exact, F.col("_m")))
+    edge_row = F.struct("_key", "doc_id", "_size", F.col("_m").alias("took"), F.col("_c").alias("of"))
+    cut = counted.groupBy("_src", "_b").agg(F.max(F.when(F.col("_m") > 0, edge_row)).alias("cut"))
     # without an edge (the need is the whole source, or nothing) no document is cut within a bucket
     return t.join(cut, F.col("source").eqNullSafe(F.col("_src")), "left").select(
         "source",
@@ -110,19 +119,30 @@ def plan(keyed: DataFrame) -> DataFrame:
         "target",
         "epochs",
         F.coalesce("_b", F.when(F.col("_need") > 0, F.lit(BUCKETS)).otherwise(-1)).alias("cut_bucket"),
-        F.coalesce("cut_key", F.lit(-1.0)).alias("cut_key"),
+        "cut",
     )
 
 
 def apply(keyed: DataFrame, planned: DataFrame) -> DataFrame:
-    """keyed with source_size, target and taken; a map-side join while the sources are few."""
-    p = small(stored(planned, "mix-plan")).withColumnRenamed("source", "_src")
-    chosen = (F.col("_bucket") < F.col("cut_bucket")) | ((F.col("_bucket") == F.col("cut_bucket")) & (F.col("_key") <= F.col("cut_key")))
-    return (
-        keyed.join(p, F.col("source").eqNullSafe(F.col("_src")))
-        .withColumn("_copies", F.least(F.col("epochs") + chosen.cast("long"), F.lit(MOST_EPOCHS)))
-        .withColumn("taken", F.col("_copies") * F.col("_size"))
-    )
+    """keyed with source_size, target and taken; a map-side join while the sources are few.
+
+    Only where some of several equal rows at a source's cut are taken are these stored, to be numbered; their
+    numbers are prefix counts over partitions, so no task holds more than one partition of them.
+    """
+    p = stored(planned, "mix-plan").withColumnRenamed("source", "_src")
+    mine, edge = F.struct("_key", "doc_id", "_size"), F.struct("cut._key", "cut.doc_id", "cut._size")
+    at_cut = (F.col("_bucket") == F.col("cut_bucket")) & F.col("cut").isNotNull()
+    rows = keyed.join(small(p), F.col("source").eqNullSafe(F.col("_src")))
+    chosen = (F.col("_bucket") < F.col("cut_bucket")) | (at_cut & (mine <= edge))
+    some = at_cut & (F.col("cut.took") < F.col("cut.of")) & mine.eqNullSafe(edge)
+    rows = rows.withColumns({"_chosen": F.coalesce(chosen, F.lit(False)), "_some": F.coalesce(some, F.lit(False))})
+    if p.filter("cut.took < cut.of").limit(1).count():
+        tied = stored(rows.filter("_some").withColumn("_n", F.monotonically_increasing_id()), "mix-ties")
+        tied = tied.withColumns({"_part": F.shiftright("_n", 33), "_one": F.lit(1).cast("long")})
+        tied = running_before(tied, ["_src"], "_part", [F.col("_n")], "_one", "_nth")
+        tied = tied.withColumn("_chosen", F.col("_nth") < F.col("cut.took")).select(*rows.columns)
+        rows = rows.filter("not _some").unionByName(tied)
+    return rows.withColumn("_copies", F.least(F.col("epochs") + F.col("_chosen").cast("long"), F.lit(MOST_EPOCHS))).withColumn("taken", F.col("_copies") * F.col("_size"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -172,7 +192,7 @@ need AS (
 pre AS (
   SELECT k.doc_id, k.size, n.source_size, n.target, n.epochs, k.k,
          greatest(n.target - n.epochs * n.source_size, 0.0) AS rest,
-         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef
   FROM keys k JOIN need n ON k.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target,
        (least(epochs + CASE WHEN rest > 0 AND bef + size / 2.0 <= rest THEN 1 ELSE 0 END, 3) * size)::BIGINT AS taken

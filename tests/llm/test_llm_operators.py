@@ -242,6 +242,41 @@ def test_mix(spark, docs, rows, empty):
     assert copies == +want_copies
 
 
+def by_sql(sql, rows):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[3] for r in rows], pa.string())}))
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_of_repeated_rows_equals_the_sql(spark, seed):
+    rng = random.Random(seed)
+    rows = [(7, " ".join(["w"] * 30), "en", "a")] * 100 + [(8, " ".join(["w"] * 10), "en", "b")] * 300
+    rows += [(rng.randrange(40), " ".join(["w"] * rng.choice((0, 1, 5, 9))), "en", rng.choice(("a", "b", "c", None))) for _ in range(200)]
+    rows += [(None, "w w w", "en", rng.choice(("a", "c"))) for _ in range(50)]
+    rng.shuffle(rows)
+    docs = table(spark, rows).repartition(5)
+    got = [(r.doc_id, r.size, r.source_size, r.taken) for r in mixing.mix(docs).collect()]
+    want = [(r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in by_sql(mixing.SQL, rows)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    words = collections.Counter()
+    for r in mixing.mixed_rows(docs).select("doc_id", "text").collect():
+        words[r.doc_id] += len(r.text.split())
+    taken = collections.Counter()
+    for i, _, _, t in got:
+        taken[i] += t
+    assert +words == +taken
+
+
+def test_one_repeated_row_meets_its_target(spark):
+    rows = [(7, " ".join(["w"] * 30), "en", "a")] * 100 + [(k, " ".join(["v"] * 30), "en", "b") for k in range(10, 30)]
+    got = mixing.mix(table(spark, rows)).filter("doc_id = 7").agg(F.sum("taken"), F.max("target")).first()
+    assert abs(got[0] - got[1]) <= 15
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_targets_equal_the_loop(spark, seed):
     rng = random.Random(seed)
@@ -323,6 +358,21 @@ def test_language_spans(spark, docs, rows, empty):
 # ---- sharding ----
 
 
+def test_languages_of_repeated_ids(spark):
+    rng = random.Random(3)
+    one = [(1, "the cat and the dog", "en", "a")] * 300 + [(1, "der hund und die katze", "de", "a")] * 300
+    one += [(k, " ".join(rng.choice(("the", "and", "cat")) for _ in range(9)), "en", "a") for k in range(2, 30)]
+    model = langid.learn(table(spark, one).select("doc_id", "text", "lang"))
+    assert model.languages == ["de", "en"]
+    found = langid.predict(table(spark, one).select("doc_id", "text"), model).select("text", "lang_pred").distinct().collect()
+    assert all(r.lang_pred == ("de" if "hund" in r.text else "en") for r in found)
+
+
+def test_lower_case_of_one_character_leaves_the_rest():
+    words = langid.Words(["\u0130THE CAT"])
+    assert bytes(words.cp[1:4].astype(np.uint8)) == b"the" and words.ends[0] == 9
+
+
 def test_shards(spark, docs, rows, empty):
     got = sharding.shard(docs).collect()
     assert len(got) == len(rows) and sharding.shard(empty).count() == 0
@@ -447,6 +497,13 @@ def brute_components(rows, n, percent):
     return [(i, len(sets[k]), least[find(k)] if sets[k] else i) for k, (i, *_) in enumerate(rows)]
 
 
+def test_join_equals_the_sql(spark, rows):
+    whole = [r for r in rows if r[0] is not None and r[0] not in (3, 75)]
+    got = ngram_join.Join(table(spark, whole), n=4, percent=85).run().select("doc_id", "n_shingles", "component_id").collect()
+    want = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in by_sql(ngram_join.SQL, whole)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_join_edge_cases(spark, docs, rows, empty):
     got = ngram_join.Join(docs, n=4, percent=85).run()
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()))) == sorted(map(str, brute_components(rows, 4, 85)))
