@@ -84,7 +84,8 @@ class Words:
 
     def __init__(self, texts: list[str]):
         letters, alphas, scripts = _kinds()
-        lowered = [x if len(x := t.lower()) == len(t) else t for t in texts]  # keeps offsets
+        # offsets are kept: a character whose lower case is longer stays as it is
+        lowered = [x if len(x := t.lower()) == len(t) else "".join(y if len(y := c.lower()) == 1 else c for c in t) for t in texts]
         self.ends = np.cumsum([len(t) + 1 for t in lowered])
         cp = np.frombuffer(("\n".join(lowered) + "\n\n").encode("utf-32-le", "replace"), "<u4")
         is_in = letters[cp]
@@ -246,13 +247,13 @@ def learn(docs: DataFrame) -> Model:
     The driver receives at most FEATURES sums for each language, whatever the size of docs.
     """
     ship(docs.sparkSession)
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
     some = stored(least_hash(known, "lang", "doc_id", DOCS_A_LANGUAGE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "lang-sample")
     languages = sorted(r[0] for r in some.select("_lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((FEATURES + len(SCRIPTS) + 1, 0)))
-    # DOCS_A_LANGUAGE rows of an id and a language for each language: bounded by the number of languages
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "_lang")
+    # at most DOCS_A_LANGUAGE ids for each language, each once: bounded by the number of languages
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(some), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "_lang")
     got = rows.mapInArrow(_counter({x: k for k, x in enumerate(languages)}), "f int, j int, n long").groupBy("f", "j").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((FEATURES + len(SCRIPTS) + 1, len(languages)))
     counts[got["f"].to_numpy(), got["j"].to_numpy()] = got["n"].to_numpy()
