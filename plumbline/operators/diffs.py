@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 REFUSALS = ("DELETE", "COPY", "RENAME", "SUBMODULE", "ZERO_CONTEXT", "BINARY_ONLY", "BINARY_MIXED", "NO_EDITS")
 
 
+#: Lines that git writes about an entry (fixed values); those with mode 160000 make it a submodule's.
+QUOTED = r'^diff --git "a/.+?" "b/(.+)"$'
+SAME = r"^diff --git a/(.+) b/\1$"
+PLAIN = r"^diff --git a/.+? b/(.+)$"
+GITLINK = r"^index [0-9a-f]+\.\.[0-9a-f]+ 160000$|^(?:new file |deleted file |old |new )?mode 160000$"
+SUBPROJECT = r"^[-+ ]Subproject commit [0-9a-f]{7,40}(-dirty)?$"
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """raw_diff (change_id, text) to change_id, n, line, from 1."""
     return diffs.select("change_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
@@ -18,7 +26,8 @@ def entries(lines: DataFrame) -> DataFrame:
     """lines with entry (0 before the first header), path, and h, the number of the hunk within its entry."""
     w = Window.partitionBy("change_id").orderBy("n")
     df = lines.withColumn("_head", F.startswith("line", F.lit("diff --git ")))
-    df = df.withColumns({"entry": F.count_if("_head").over(w), "_p": F.when(F.col("_head"), F.regexp_extract("line", r" b/(.*)$", 1))})
+    named = [F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")) for pattern in (QUOTED, SAME, PLAIN)]
+    df = df.withColumns({"entry": F.count_if("_head").over(w), "_p": F.when(F.col("_head"), F.coalesce(*named, F.lit("")))})
     df = df.withColumn("path", F.last("_p", ignorenulls=True).over(w))
     e = Window.partitionBy("change_id", "entry").orderBy("n")
     df = df.withColumn("_at", F.startswith("line", F.lit("@@ ")))
@@ -26,17 +35,25 @@ def entries(lines: DataFrame) -> DataFrame:
 
 
 def entry_flags(e: DataFrame) -> DataFrame:
-    """Signals of each entry from its lines above the first hunk."""
-    head = F.col("h") == 0
-    has = lambda pattern: F.bool_or(head & F.col("line").rlike(pattern))
-    return e.filter("entry > 0").groupBy("change_id", "entry", "path").agg(
-        has(r"^deleted file mode ").alias("deleted"),
-        has(r"^rename (from|to) ").alias("renamed"),
-        has(r"^copy (from|to) ").alias("copied"),
-        (has(r"^(new file mode|old mode|new mode|index \S+) ?160000|^index .* 160000") | F.bool_or(F.col("line").rlike("^[-+]Subproject commit "))).alias("submodule"),
-        has(r"^(Binary files .* differ|GIT binary patch)").alias("is_binary"),
+    """Signals of each entry. A rename or copy has both its lines, or names that differ above the first hunk; a submodule
+    has a commit line after its mode, since a file's content may hold such a line too."""
+    line = F.col("line")
+    has = lambda pattern: F.bool_or(line.rlike(pattern))
+    after = lambda first, then: F.coalesce(F.min(F.when(line.rlike(first), F.col("n"))) < F.max(F.when(line.rlike(then), F.col("n"))), F.lit(False))
+    name = lambda mark, side: F.max(F.when((F.col("h") == 0) & line.rlike(mark), F.regexp_extract("line", rf'^.{{4}}"?(?:{side}/)?([^\t]+?)"?(?:\t.*)?$', 1)))
+    old, new = name(r"^--- ", "a"), name(r"^\+\+\+ ", "b")
+    none = F.lit("/dev/null")
+    found = e.filter("entry > 0").groupBy("change_id", "entry", "path").agg(
+        (has(r"^deleted file mode") | F.coalesce((new == none) & (old != none), F.lit(False))).alias("deleted"),
+        after(r"^rename from .", r"^rename to ").alias("_moved"),
+        F.coalesce((old != none) & (new != none) & (old != new), F.lit(False)).alias("_renamed"),
+        after(r"^copy from .", r"^copy to ").alias("copied"),
+        after(GITLINK, SUBPROJECT).alias("submodule"),
+        has(r"^(Binary files |GIT binary patch)").alias("is_binary"),
         (F.max("h") > 0).alias("has_hunks"),
     )
+    renamed = (F.col("_moved") | (F.col("_renamed") & ~F.col("copied"))).alias("renamed")
+    return found.select("change_id", "entry", "path", "deleted", renamed, "copied", "submodule", "is_binary", "has_hunks")
 
 
 def hunks(e: DataFrame) -> DataFrame:

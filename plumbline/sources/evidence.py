@@ -68,14 +68,19 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 107 == 0, F.concat(F.lit("similarity index 90%\ncopy from old"), n, F.lit("\ncopy to "), p, F.lit("\n")))
         .when(n % 109 == 0, F.lit("index 1111111..2222222 160000\n"))
         .when(n % 113 == 0, F.concat(F.lit("Binary files a/"), p, F.lit(" and b/"), p, F.lit(" differ\n")))
+        .when(n % 127 == 0, F.concat(F.lit("rename from old"), n, F.lit("\n")))  # without its other half no rename
         .otherwise("")
     )
+    # commit lines make a submodule only under its mode
+    link = F.when((n % 109 == 0) | (n % 131 == 0), "Subproject commit ")
+    was, now, added = (F.coalesce(F.concat(link, F.lit(x)), F.lit(y)) for x, y in (("1111111", "two"), ("2222222", "TWO"), ("2222222", "added")))
     start = (n % 90 + 1).cast("string")
-    loose = F.concat(F.lit("@@ -"), start, F.lit(",0 +"), start, F.lit(",1 @@\n+added\n"))
-    body = F.concat(F.lit("@@ -"), start, F.lit(",3 +"), start, F.lit(",4 @@\n one\n-two\n+TWO\n+two and a half\n three\n"))
+    loose = F.concat(F.lit("@@ -"), start, F.lit(",0 +"), start, F.lit(",1 @@\n+"), added, F.lit("\n"))
+    body = F.concat(F.lit("@@ -"), start, F.lit(",3 +"), start, F.lit(",4 @@\n one\n-"), was, F.lit("\n+"), now, F.lit("\n+two and a half\n three\n"))
     more = F.concat(F.lit("@@ -200,1 +"), (n % 90 + 203).cast("string"), F.lit(",2 @@\n ten\n+eleven\n\\ No newline at end of file\n"))
-    head = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n"), kind)
+    header = F.when(n % 137 == 0, F.concat(F.lit('diff --git "a/'), p, F.lit('" "b/'), p, F.lit('"\n'))).otherwise(F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n")))
+    head = F.concat(header, kind)
     names = F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n"))
-    text = F.when(n % 113 == 0, head).when(n % 59 == 0, F.concat(head, names, loose)).when(n % 2 == 0, F.concat(head, names, body, more)).otherwise(F.concat(head, names, body))
+    text = F.when(n % 113 == 0, F.concat(head, F.when(n % 109 == 0, "-Subproject commit 1111111\n").otherwise(""))).when(n % 59 == 0, F.concat(head, names, loose)).when(n % 2 == 0, F.concat(head, names, body, more)).otherwise(F.concat(head, names, body))
     rows = d.select(F.concat(F.lit("c"), F.expr("doc_id div 4")).alias("change_id"), F.struct("doc_id", text.alias("t")).alias("e"))
     return rows.groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "").alias("text"))

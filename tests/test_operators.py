@@ -160,6 +160,26 @@ def test_diff_without_edits_and_new_files(spark):
     assert [tuple(r) for r in diffs.new_lines(e).collect()] == [("b", "x", 1)]
 
 
+def test_diff_entries_of_every_form(spark):
+    text = {
+        "quoted": ('diff --git "a/x\\303 y" "b/x\\303 y"\n--- "a/x\\303 y"\n+++ "b/x\\303 y"\n@@ -1,1 +1,1 @@\n-a\n+b\n', "x\\303 y", set()),
+        "spaces": ("diff --git a/p b/q r b/p b/q r\nindex 1..2 100644\n", "p b/q r", set()),
+        "content": ("diff --git a/x b/x\n@@ -1,1 +1,1 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\n", "x", set()),
+        "link": ("diff --git a/x b/x\nindex 1111111..2222222 160000\n@@ -1 +1 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\n", "x", {"submodule"}),
+        "mode": ("diff --git a/x b/x\nindex 1111111..2222222 160000\n", "x", set()),
+        "half": ("diff --git a/x b/x\nrename from y\n", "x", set()),
+        "moved": ("diff --git a/y b/x\nrename from y\nrename to x\n", "x", {"renamed"}),
+        "names": ("diff --git a/y b/x\n--- a/y\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n", "x", {"renamed"}),
+        "copy": ("diff --git a/y b/x\ncopy from y\ncopy to x\n--- a/y\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n", "x", {"copied"}),
+        "gone": ("diff --git a/x b/x\n--- a/x\n+++ /dev/null\n@@ -1 +0,0 @@\n-a\n", "x", {"deleted"}),
+        "removed": ("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,1 @@\n--- a/q\n a\n", "x", set()),
+    }
+    raw = spark.createDataFrame([(k, v[0]) for k, v in text.items()], "change_id string, text string")
+    rows = diffs.entry_flags(diffs.entries(diffs.diff_lines(raw))).collect()
+    flags = ("deleted", "renamed", "copied", "submodule", "is_binary")
+    assert {r.change_id: (r.path, {f for f in flags if r[f]}) for r in rows} == {k: v[1:] for k, v in text.items()}
+
+
 def test_stream_gives_the_batch_verdicts(spark, tmp_path):
     rows = [(k, *{**DEFAULT, **c[0]}.values()) for k, c in enumerate(FUSION)]
     schema = "id int, " + fusion.NEEDS
