@@ -180,9 +180,11 @@ def new_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    line = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("FAIL  t"), "turn")).when(F.col("turn") % 6 == 5, F.lit("Test Files  1 failed")).otherwise(F.split("text", "\n")[0])
-    rows = c.select("conv_id", "turn", line.alias("line"))
-    return deltas.failure_blocks(rows, ["conv_id"], "turn", F.startswith("line", F.lit("FAIL  ")), F.startswith("line", F.lit("Test Files")))
+    marks = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("FAIL  t"), "turn")).when(F.col("turn") % 6 == 5, F.lit("Test Files  1 failed"))
+    # a turn's mark is a line of its own before all lines of its text
+    lines = F.concat(F.array_compact(F.array(marks)), F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>")))
+    rows = c.select("conv_id", "turn", F.posexplode(lines).alias("n", "line")).select("conv_id", F.struct("turn", "n").alias("at"), "line")
+    return deltas.failure_blocks(rows, ["conv_id"], "at", F.startswith("line", F.lit("FAIL  ")), F.startswith("line", F.lit("Test Files")))
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,11 +163,14 @@ SELECT change_id, array_to_string(x[1:5], '; ') || CASE WHEN len(x) > 5 THEN ' a
     "failure_ids_from_log": LOGS + "SELECT DISTINCT suite, test_id FROM f",
     "new_failures": LOGS + "SELECT DISTINCT suite, test_id FROM f WHERE event_id % 3 <> 0 EXCEPT SELECT suite, test_id FROM f WHERE event_id % 3 = 0",
     "failure_blocks": """
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'FAIL  t' || turn WHEN turn % 6 = 5 THEN 'Test Files  1 failed' ELSE string_split(text, chr(10))[1] END AS line FROM conversations),
-b AS (SELECT *, line LIKE 'FAIL  %' AS h, sum((line LIKE 'FAIL  %' OR line LIKE 'Test Files%')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS blk FROM c),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, blk ORDER BY turn) AS i FROM b WHERE blk > 0),
+WITH m AS (
+  SELECT conv_id, turn, list_concat(CASE WHEN turn % 4 = 1 THEN ['FAIL  t' || turn] WHEN turn % 6 = 5 THEN ['Test Files  1 failed'] ELSE [] END,
+         CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END) AS ls FROM conversations),
+c AS (SELECT conv_id, turn * 1000000000 + generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM m),
+b AS (SELECT *, line LIKE 'FAIL  %' AS h, sum((line LIKE 'FAIL  %' OR line LIKE 'Test Files%')::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS blk FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, blk ORDER BY pos) AS i FROM b WHERE blk > 0),
 g AS (
-  SELECT conv_id, blk, max(line) FILTER (i = 1 AND h) AS header, coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (i BETWEEN 2 AND 11), '') AS message FROM n GROUP BY conv_id, blk)
+  SELECT conv_id, blk, max(line) FILTER (i = 1 AND h) AS header, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (i BETWEEN 2 AND 11), '') AS message FROM n GROUP BY conv_id, blk)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY blk)::INT AS block, header, message FROM g WHERE header IS NOT NULL""",
     "last_attempt": RUNS + """
 SELECT event_id // 4 AS suite, coalesce(min(event_id % 4) FILTER (code = 0), max(event_id % 4)) AS attempt, CASE WHEN min(code) = 0 THEN 'passed' ELSE 'failed' END AS outcome FROM e GROUP BY 1""",
