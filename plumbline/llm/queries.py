@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bbpe, langid, lm, media, mixing, ngram_join, quality, records, sharding, toxicity
+from . import alignment, bbpe, filter_audit, langid, lm, media, mixing, ngram_join, quality, records, sharding, simhash, toxicity
 from .common import table
 
 
@@ -64,6 +64,18 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
@@ -75,5 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_records": op8_records,
     "op9_jaccard": op9_jaccard,
     "op10_lm": op10_lm,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op9_jaccard": ngram_join.SQL}
+SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op9_jaccard": ngram_join.SQL, "op13_filter_audit": filter_audit.SQL}
