@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_discovered, some_of
 
 #: Folders that a walk for tests leaves out.
-UNWALKED = "node_modules .git .venv venv .tox .nox __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build .eggs".split()
+UNWALKED = ("node_modules", ".git", ".venv", "venv", ".tox", ".nox", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".eggs")
 WALK_CAP = 5000
 #: Characters kept of a suite's output and of an error.
 TAIL, HEAD = 4000, 200

@@ -375,8 +375,12 @@ def edits_or_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Variables that a suite must not see, and endings that mark a credential.
-DENIED = "PLUMBLINE_API_BASE_URL GITHUB_TOKEN GH_TOKEN NPM_TOKEN NODE_AUTH_TOKEN AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY AWS_SESSION_TOKEN PYPI_API_TOKEN TWINE_PASSWORD DOCKER_PASSWORD SLACK_TOKEN OPENAI_API_KEY ANTHROPIC_API_KEY".split()
-DENIED_ENDINGS = "_TOKEN _SECRET _API_KEY _PASSWORD _CREDENTIALS".split()
+DENIED = (
+    "GITHUB_TOKEN", "GH_TOKEN", "NPM_TOKEN", "NODE_AUTH_TOKEN", "AWS_ACCESS_KEY_ID",
+    "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN", "PYPI_API_TOKEN", "TWINE_PASSWORD", "DOCKER_PASSWORD",
+    "SLACK_TOKEN", "OPENAI_API_KEY", "ANTHROPIC_API_KEY",
+)
+DENIED_ENDINGS = ("_TOKEN", "_SECRET", "_API_KEY", "_PASSWORD", "_CREDENTIALS")
 
 
 def kept_variable(name: Column) -> Column:
