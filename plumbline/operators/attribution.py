@@ -6,6 +6,9 @@ the counts by file. A NULL after an outer join is always given its meaning at on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,56 @@ def runs_of(owners: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Each point (change_id, path, line) with the greatest start among the intervals (istart, iend) that hold it."""
-    j = points.join(intervals, KEY).filter(F.col("line").between(F.col("istart"), F.col("iend")))
-    return j.groupBy(*KEY, "line").agg(F.max("istart").alias("owner"))
+    """Each point (change_id, path, line) with the greatest start among the intervals (istart, iend) that hold it.
+
+    One sweep over a file's points and starts in order: intervals that began wait on a stack, and those on top that have ended
+    go for good. Rows grow with points and intervals, not with their product.
+    """
+    begins = intervals.select(*KEY, F.col("istart").alias("line"), F.col("iend").alias("iend"))
+    both = begins.unionByName(points.select(*KEY, "line", F.lit(None).cast("int").alias("iend")))
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    dealt = both.repartition(*KEY).sortWithinPartitions(*KEY, "line", F.col("iend").isNull())
+    return dealt.mapInArrow(_sweep, f"change_id {kinds['change_id']}, path {kinds['path']}, line {kinds['line']}, owner {kinds['line']}")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    file, open_, last = None, [], None
+    for b in batches:
+        rows, owners = [], []
+        for k, (c, p, line, end) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
+            if (c, p) != file:
+                file, open_, last = (c, p), [], None
+            if end is not None:
+                open_.append((line, end))
+            elif line != last:
+                last = line
+                while open_ and open_[-1][1] < line:
+                    open_.pop()
+                if open_:
+                    rows.append(k)
+                    owners.append(open_[-1][0])
+        kept = b.select(["change_id", "path", "line"]).take(pa.array(rows, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(owners, kept.column(2).type)], names=["change_id", "path", "line", "owner"])
 
 
 def attribute(changed: DataFrame, runs: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Each changed line with its owner: NULL in no run of a mapped file, UNATTRIBUTABLE without a map."""
-    r = runs.select(*KEY, "rfirst", "rlast", F.col("owner").alias("_owner"))
-    m = mapped.filter(F.col("error").isNull()).select(*KEY).distinct().withColumn("_mapped", F.lit(True))
-    on = (changed.change_id == r.change_id) & (changed.path == r.path) & changed.line.between(r.rfirst, r.rlast)
-    j = changed.join(r, on, "left").select(changed["*"], "_owner").join(m, KEY, "left")
-    return j.withColumn("owner", F.when(F.col("_mapped"), F.col("_owner")).otherwise(UNATTRIBUTABLE)).drop("_owner", "_mapped")
+    """Each changed line with its owner: NULL in no run of a mapped file, UNATTRIBUTABLE without a map.
+
+    Runs of a file don't overlap, so lines and runs are merged and ordered once, and each line takes the last run that
+    began, if that hasn't ended; what is known of the file's map comes before them. One exchange, no pairs of lines and runs.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = runs.schema["owner"].dataType
+    row = F.struct(*changed.columns)
+    run = "struct<rlast: long, owner: long>"
+    lines = changed.select(*KEY, F.col("line").cast("long").alias("_at"), F.lit(2).alias("_kind"), row.alias("_row"), none(run).alias("_run"))
+    starts = runs.select(*KEY, F.col("rfirst").cast("long").alias("_at"), F.lit(1).alias("_kind"), none(changed.select(row.alias("r")).schema["r"].dataType).alias("_row"), F.struct(F.col("rlast").cast("long"), F.col("owner").cast("long")).cast(run).alias("_run"))
+    maps = mapped.filter(F.col("error").isNull()).select(*KEY, none("long").alias("_at"), F.lit(0).alias("_kind"), none(changed.select(row.alias("r")).schema["r"].dataType).alias("_row"), none(run).alias("_run"))
+    so_far = Window.partitionBy(*KEY).orderBy(F.asc_nulls_first("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = lines.unionByName(starts).unionByName(maps).withColumns({"_mapped": F.bool_or(F.col("_kind") == 0).over(so_far), "_last": F.last("_run", ignorenulls=True).over(so_far)})
+    df = df.filter("_kind = 2")
+    own = F.when(F.col("_at") <= F.col("_last.rlast"), F.col("_last.owner").cast(kind))
+    return df.select("_row.*", F.when(F.col("_mapped"), own).otherwise(UNATTRIBUTABLE).alias("owner"))
 
 
 def statements(attributed: DataFrame) -> DataFrame:

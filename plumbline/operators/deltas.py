@@ -13,25 +13,41 @@ def introduced(refs: DataFrame, keys: list[str]) -> DataFrame:
     return refs.filter("side = 'shadow'").select(*keys).distinct().join(refs.filter("side = 'base'").select(*keys), keys, "left_anti")
 
 
-def unresolved(imports: DataFrame, resolvable: DataFrame) -> DataFrame:
-    """Distinct (.., top) of imports (.., module) whose top-level name the environment lacks."""
-    top = imports.withColumn("top", F.substring_index("module", ".", 1)).drop("module").distinct()
-    return top.join(resolvable.select("top"), "top", "left_anti")
-
-
 def reasons(introduced_rows: DataFrame, most: int) -> DataFrame:
     """Per change: the first reasons, then how many more."""
     text = F.concat("path", F.lit(": "), "module")
     return introduced_rows.groupBy("change_id").agg(F.sort_array(F.collect_set(text)).alias("_r")).select("change_id", some_of(F.col("_r"), most, "; ").alias("reason"), F.size("_r").alias("n"))
 
 
+# ---- fixed values: lines by which test runners report a failed test ----
+PYTEST_LINE = r"^(?:FAILED|ERROR)\s+(.+)\z"
+VITEST_LINE = r"^\s*(?:FAIL|×|✗)\s+(\S+\.(?:test|spec)\.[cm]?[jt]sx?)\s*(?:>\s*(.+))?\z"
+REPR = " - "
+# ---- end of fixed values ----
+_WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at both ends, a carriage return included."""
+    return F.regexp_replace(text, f"^{_WHITE}|{_WHITE}\\z", "")
+
+
 def failure_ids(lines: DataFrame, text: str = "line") -> DataFrame:
-    """lines with test_id where a line reports a failed or broken test; other lines go."""
-    rest = F.regexp_extract(F.col(text), r"^(?:FAILED|ERROR)\s+(.+)\z", 1)
-    found = F.trim(F.substring_index(rest, " - ", 1))
+    """lines with test_id where a line reports a failed or broken test, in either runner's form; other lines go."""
+    line = F.col(text)
+    rest = trimmed(F.regexp_extract(trimmed(line), PYTEST_LINE, 1))
+    node = trimmed(F.substring_index(rest, REPR, 1))
+    file, name = F.regexp_extract(line, VITEST_LINE, 1), trimmed(F.regexp_extract(line, VITEST_LINE, 2))
+    found = F.when(rest != "", node).when(name != "", F.concat(file, F.lit(" > "), name)).otherwise(file)
     return lines.withColumn("test_id", found).filter(F.col("test_id") != "")
 
 
+def run_failures(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, test_id) of test_run rows: what either channel of a run reports."""
+    both = F.concat(F.coalesce("stdout", F.lit("")), F.lit("\n"), F.coalesce("stderr", F.lit("")))
+    return failure_ids(runs.select(*keys, F.explode(F.split(both, "\n", -1)).alias("line"))).select(*keys, "test_id").distinct()
+
+
 def failure_blocks(lines: DataFrame, keys: list[str], order: str, header: Column, summary: Column, most: int = 10) -> DataFrame:
     """Islands that a header opens and the next header or summary closes: keys, block number, header and the
     first `most` lines joined. Summary islands and lines before the first header go."""

@@ -1,94 +1,178 @@
-"""Unified diff text as a table of lines: entries, signals, refusals, new line numbers."""
+"""Unified diff text as a table of lines: hunk bodies by their counts, entries, signals, refusals, new line numbers.
+
+A diff is one text, or several pieces that each begin at an entry's head (`at`); windows are over a piece, so a diff of
+any number of pieces is spread. Within a hunk the lines that its header counts are its body, whatever they look
+like; only what is left can open an entry: a `diff` line, or a pair of `---` and `+++` lines, which names the entry
+opened by the `diff` line before it or else opens one itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Refusals in the order in which they are reported.
-REFUSALS = ("DELETE", "COPY", "RENAME", "SUBMODULE", "ZERO_CONTEXT", "BINARY_ONLY", "BINARY_MIXED", "NO_EDITS")
+from ..functions.paths import strip_prefix
 
+#: Refusals of a whole change, and of its first entry that can't be taken, in the order in which they are reported.
+REFUSALS = ("MALFORMED", "DELETE", "COPY", "RENAME", "SUBMODULE", "NOT_UTF8", "ZERO_CONTEXT", "NOT_APPLIED", "BINARY_ONLY", "BINARY_MIXED", "NO_EDITS")
 
 #: Lines that git writes about an entry (fixed values); those with mode 160000 make it a submodule's.
-QUOTED = r'^diff --git "a/.+?" "b/(.+)"$'
-SAME = r"^diff --git a/(.+) b/\1$"
-PLAIN = r"^diff --git a/.+? b/(.+)$"
+HEADERS = (
+    r'^diff --git "a/.+?" "b/(.+)"$',
+    r'^diff --git \S.* "b/(.+)"$',
+    r'^diff --git "a/(.+)" b/\1$',
+    r"^diff --git a/(.+) b/\1$",
+    r"^diff --git a/.+? b/(.+)$",
+    r"^diff --git (.+) \1$",
+)
 GITLINK = r"^index [0-9a-f]+\.\.[0-9a-f]+ 160000$|^(?:new file |deleted file |old |new )?mode 160000$"
 SUBPROJECT = r"^[-+ ]Subproject commit [0-9a-f]{7,40}(-dirty)?$"
+HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+NOTHING = "/dev/null"
+
+PIECE = ["change_id", "at"]
+ENTRY = [*PIECE, "entry"]
+
+
+def whole() -> Column:
+    """`at` of a diff that is one piece."""
+    return F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("id"))
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """raw_diff (change_id, text) to change_id, n, line, from 1."""
-    return diffs.select("change_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    """raw_diff (change_id, text, and `at` where it comes in pieces) to change_id, at, n, line, from 1, and last."""
+    at = F.col("at") if "at" in diffs.columns else whole().alias("at")
+    lines = F.split("text", "\n", -1)
+    return diffs.select("change_id", at, F.size(lines).alias("_size"), F.posexplode(lines).alias("n", "line")).select("change_id", "at", (F.col("n") + 1).alias("n"), "line", (F.col("n") + 1 == F.col("_size")).alias("last"))
+
+
+def _begins(*marks: str) -> Column:
+    return F.substring("line", 1, 1).isin(*marks)
+
+
+def _count(group: int) -> Column:
+    """A number of a hunk's header; a count that is left out is 1."""
+    found = F.regexp_extract("line", HUNK, group)
+    return F.when(found == "", 1).otherwise(found.try_cast("long")).cast("long")
+
+
+def _name(of: Column) -> Column:
+    """The file of a `---` or `+++` line: up to a tab, quotes and one leading a/ or b/ off."""
+    plain = F.rtrim(F.regexp_replace(F.substring_index(F.substring(of, 5, 1 << 30), "\t", 1), r"\r$", ""))
+    return strip_prefix(F.regexp_replace(F.replace(plain, F.lit("\\\\"), F.lit("\\")), r'^"(.*)"$', "$1"))
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """lines with entry (0 before the first header), path, and h, the number of the hunk within its entry."""
-    w = Window.partitionBy("change_id").orderBy("n")
-    df = lines.withColumn("_head", F.startswith("line", F.lit("diff --git ")))
-    named = [F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")) for pattern in (QUOTED, SAME, PLAIN)]
-    df = df.withColumns({"entry": F.count_if("_head").over(w), "_p": F.when(F.col("_head"), F.coalesce(*named, F.lit("")))})
-    df = df.withColumn("path", F.last("_p", ignorenulls=True).over(w))
-    e = Window.partitionBy("change_id", "entry").orderBy("n")
-    df = df.withColumn("_at", F.startswith("line", F.lit("@@ ")))
-    return df.withColumn("h", F.count_if("_at").over(e)).drop("_p", "_head", "_at")
+    """lines with body (of a hunk), entry (0 before the first), h, the number of the hunk within its entry, the header's
+    numbers, old and new as the entry's lines name its file (null without such lines), and its path."""
+    piece = Window.partitionBy(*PIECE).orderBy("n")
+    df = lines.withColumn("_head", F.col("line").rlike(HUNK)).withColumn("_g", F.count_if("_head").over(piece))
+    hunk = Window.partitionBy(*PIECE, "_g").orderBy("n")
+    before = hunk.rowsBetween(Window.unboundedPreceding, -1)
+    blank = (F.col("line") == "") & ~F.col("last")
+    takes_old, takes_new = _begins(" ", "-") | blank, _begins(" ", "+") | blank
+    numbers = {"old_start": 1, "old_n": 2, "new_start": 3, "new_n": 4}
+    df = df.withColumns({c: F.first(F.when(F.col("_head"), _count(k)), ignorenulls=True).over(hunk) for c, k in numbers.items()})
+    seen = lambda takes: F.coalesce(F.count_if(takes).over(before), F.lit(0))
+    open_ = (seen(takes_old) < F.col("old_n")) | (seen(takes_new) < F.col("new_n"))
+    df = df.withColumn("_fits", ((takes_old | takes_new) & open_) | _begins("\\"))
+    ended = F.coalesce(F.bool_or(~F.col("_fits") & ~F.col("_head")).over(before), F.lit(False))
+    df = df.withColumn("body", (F.col("_g") > 0) & ~F.col("_head") & F.col("_fits") & ~ended)
+    diff = ~F.col("body") & F.startswith("line", F.lit("diff "))
+    pair = ~F.col("body") & F.startswith("line", F.lit("--- ")) & F.coalesce(F.startswith(F.lead("line").over(piece), F.lit("+++ ")), F.lit(False))
+    df = df.withColumn("_event", F.when(diff, "diff").when(pair, "pair").when(F.col("_head"), "hunk"))
+    last_event = F.last("_event", ignorenulls=True).over(piece.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("_event") == "diff") | ((F.col("_event") == "pair") & (F.coalesce(last_event, F.lit("")) != "diff"))
+    df = df.withColumns({"_opens": F.coalesce(opens, F.lit(False)), "_new": (F.lag("_event").over(piece) == "pair") & ~F.col("body")}).withColumn("entry", F.count_if("_opens").over(piece))
+    entry = Window.partitionBy(*ENTRY)
+    named = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in HEADERS])
+    one = lambda when, value: F.max(F.when(when, value)).over(entry)
+    df = df.withColumns(
+        {
+            "old": one(F.col("_event") == "pair", _name(F.col("line"))),
+            "new": one(F.col("_new"), _name(F.col("line"))),
+            "_git": one(F.col("_event") == "diff", named),
+            "h": F.count_if("_head").over(entry.orderBy("n")),
+        }
+    )
+    there = lambda c: F.nullif(F.col(c), F.lit(NOTHING))
+    path = F.coalesce(there("new"), there("old"), F.col("_git"), F.lit(""))
+    return df.select(*PIECE, "n", "line", "entry", "h", "body", *numbers, "old", "new", path.alias("path"))
 
 
 def entry_flags(e: DataFrame) -> DataFrame:
-    """Signals of each entry. A rename or copy has both its lines, or names that differ above the first hunk; a submodule
-    has a commit line after its mode, since a file's content may hold such a line too."""
-    line = F.col("line")
+    """Signals of each entry. A rename or copy has both its lines, or its two names differ; a submodule has a commit line
+    after its mode, since a file's content may hold such a line too."""
+    line, none = F.col("line"), F.lit(NOTHING)
     has = lambda pattern: F.bool_or(line.rlike(pattern))
     after = lambda first, then: F.coalesce(F.min(F.when(line.rlike(first), F.col("n"))) < F.max(F.when(line.rlike(then), F.col("n"))), F.lit(False))
-    name = lambda mark, side: F.max(F.when((F.col("h") == 0) & line.rlike(mark), F.regexp_extract("line", rf'^.{{4}}"?(?:{side}/)?([^\t]+?)"?(?:\t.*)?$', 1)))
-    old, new = name(r"^--- ", "a"), name(r"^\+\+\+ ", "b")
-    none = F.lit("/dev/null")
-    found = e.filter("entry > 0").groupBy("change_id", "entry", "path").agg(
-        (has(r"^deleted file mode") | F.coalesce((new == none) & (old != none), F.lit(False))).alias("deleted"),
+    named = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    old, new = F.col("old"), F.col("new")
+    found = e.filter("entry > 0").groupBy(*ENTRY, "path").agg(
+        (has(r"^deleted file mode") | named((new == none) & (old != none) & (old != ""))).alias("deleted"),
         after(r"^rename from .", r"^rename to ").alias("_moved"),
-        F.coalesce((old != none) & (new != none) & (old != new), F.lit(False)).alias("_renamed"),
+        named((old != none) & (new != none) & (old != "") & (new != "") & (old != new)).alias("_renamed"),
         after(r"^copy from .", r"^copy to ").alias("copied"),
         after(GITLINK, SUBPROJECT).alias("submodule"),
         has(r"^(Binary files |GIT binary patch)").alias("is_binary"),
         (F.max("h") > 0).alias("has_hunks"),
+        named(old == none).alias("from_nothing"),
     )
     renamed = (F.col("_moved") | (F.col("_renamed") & ~F.col("copied"))).alias("renamed")
-    return found.select("change_id", "entry", "path", "deleted", renamed, "copied", "submodule", "is_binary", "has_hunks")
+    return found.select(*ENTRY, "path", "deleted", renamed, "copied", "submodule", "is_binary", "has_hunks", "from_nothing")
 
 
 def hunks(e: DataFrame) -> DataFrame:
-    """One row for each hunk: new_start, and anchored, whether it has context or a removal."""
-    return e.filter("h > 0").groupBy("change_id", "entry", "path", "h").agg(
-        F.max(F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)).cast("int").alias("new_start"),
-        F.bool_or(F.col("line").rlike("^[ -]") & ~F.startswith("line", F.lit("@@"))).alias("anchored"),
-        F.bool_or(F.startswith("line", F.lit("+")) & ~F.startswith("line", F.lit("+++"))).alias("adds"),
+    """One row for each hunk: its start in the base, the lines it takes from there (replaced), anchored, whether it has context or a
+    removal, and malformed, whether its body isn't what its header counts."""
+    body = lambda *marks: F.col("body") & _begins(*marks)
+    blank = F.col("body") & (F.col("line") == "")
+    taken = F.array_sort(F.collect_list(F.when(body(" ", "-") | blank, F.struct("n", F.substring("line", 2, 1 << 30).alias("text")))))
+    return e.filter("h > 0 and entry > 0").groupBy(*ENTRY, "path", "h").agg(
+        F.max("old_start").alias("old_start"),
+        F.transform(taken, lambda x: x["text"]).alias("replaced"),
+        F.bool_or(body(" ", "-")).alias("anchored"),
+        ((F.count_if(body(" ", "-") | blank) != F.max("old_n")) | (F.count_if(body(" ", "+") | blank) != F.max("new_n"))).alias("malformed"),
     )
 
 
-def refusal(changes: DataFrame, flags: DataFrame, hunk_rows: DataFrame, new_files: DataFrame) -> DataFrame:
-    """Why each change's diff can't be taken, NULL if it can. new_files: paths that the base lacks, whose hunks need no anchor."""
-    loose = hunk_rows.filter(~F.col("anchored")).join(new_files, ["change_id", "path"], "left_anti").groupBy("change_id").agg(F.lit(True).alias("loose"))
+def entry_errors(flags: DataFrame, hunk_rows: DataFrame, base: DataFrame, places: DataFrame) -> DataFrame:
+    """ENTRY, path and error_code of entries with hunks that can't be taken. base: change_id, path, content, utf8, without a row
+    where there is no such file; places: of placement.placed."""
+    b = base.select(F.col("change_id").alias("_c"), F.col("path").alias("_p"), "utf8", (F.col("content") == "").alias("empty"))
+    per = hunk_rows.groupBy(*ENTRY, "path").agg(F.bool_or(~F.col("anchored")).alias("loose"))
+    df = per.join(flags.select(*ENTRY, "from_nothing"), ENTRY).join(places.select(*ENTRY, "applies"), ENTRY, "left")
+    df = df.join(b, (F.col("change_id") == F.col("_c")) & (F.col("path") == F.col("_p")), "left")
+    fresh = F.col("_p").isNull() | (F.col("from_nothing") & F.coalesce("empty", F.lit(False)))
+    code = F.when(~F.coalesce("utf8", F.lit(True)), "NOT_UTF8").when(F.col("loose") & ~fresh, "ZERO_CONTEXT").when(~F.coalesce("applies", F.lit(True)), "NOT_APPLIED")
+    return df.select(*ENTRY, "path", code.alias("error_code")).filter("error_code is not null")
+
+
+def refusal(changes: DataFrame, flags: DataFrame, hunk_rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """Why each change's diff can't be taken, NULL if it can. errors: of entry_errors; the first one counts."""
+    bad = hunk_rows.groupBy("change_id").agg(F.bool_or("malformed").alias("malformed"))
+    first = errors.groupBy("change_id").agg(F.min(F.struct("at", "entry", "error_code"))["error_code"].alias("_first"))
     any_ = lambda c: F.bool_or(c).alias(c)
     per = flags.groupBy("change_id").agg(*[any_(c) for c in ("deleted", "copied", "renamed", "submodule", "is_binary", "has_hunks")])
     on = lambda c: F.coalesce(c, F.lit(False))
     why = (
-        F.when(on("deleted"), "DELETE")
+        F.when(on("malformed"), "MALFORMED")
+        .when(on("deleted"), "DELETE")
         .when(on("copied"), "COPY")
         .when(on("renamed"), "RENAME")
         .when(on("submodule"), "SUBMODULE")
-        .when(on("loose"), "ZERO_CONTEXT")
+        .when(F.col("_first").isNotNull(), F.col("_first"))
         .when(on("is_binary") & ~on("has_hunks"), "BINARY_ONLY")
         .when(on("is_binary"), "BINARY_MIXED")
         .when(~on("has_hunks"), "NO_EDITS")
     )
-    return changes.select("change_id").join(per, "change_id", "left").join(loose, "change_id", "left").select("change_id", why.alias("error_code"))
+    all_ = changes.select("change_id").distinct()
+    return all_.join(per, "change_id", "left").join(bad, "change_id", "left").join(first, "change_id", "left").select("change_id", why.alias("error_code"))
 
 
 def new_lines(e: DataFrame) -> DataFrame:
     """Line numbers in the new file of the lines that hunks add."""
-    w = Window.partitionBy("change_id", "entry", "h").orderBy("n")
-    body = e.filter("h > 0").withColumn("_start", F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1))
-    body = body.withColumn("_start", F.first(F.when(F.col("_start") != "", F.col("_start").cast("int")), ignorenulls=True).over(w))
-    step = (F.startswith("line", F.lit("+")) | F.startswith("line", F.lit(" "))).cast("int")
-    body = body.withColumn("_before", F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return body.filter(F.startswith("line", F.lit("+"))).select("change_id", "path", (F.col("_start") + F.col("_before")).cast("int").alias("line"))
+    before = Window.partitionBy(*ENTRY, "h").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.col("body") & (_begins("+", " ") | (F.col("line") == ""))
+    body = e.filter("h > 0 and entry > 0").withColumn("_before", F.coalesce(F.count_if(kept).over(before), F.lit(0)))
+    return body.filter(F.col("body") & _begins("+")).select("change_id", "path", (F.col("new_start") + F.col("_before")).cast("int").alias("line"))

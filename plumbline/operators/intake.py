@@ -25,18 +25,26 @@ def without_edits(changes: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def walked_tests(tree: DataFrame, cap: int = WALK_CAP) -> DataFrame:
-    """Per change of repo_file (change_id, path, kind): tests, NULL once there are `cap` of them, since the rest
-    can't be known; and truncated. Folders that begin with a dot, and UNWALKED, are left out."""
+    """Per change of repo_file (change_id, path, kind): tests in the order of a walk, and truncated: whether anything came after
+    the `cap`th, when the rest can't be known and tests is NULL.
+
+    A walk visits a folder's entries by name and goes into each folder at once, which is the order of paths as lists of
+    names. Of a folder that is left out (UNWALKED, or beginning with a dot) the walk meets the folder itself, and nothing in it.
+    """
     parts = F.split("path", "/")
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    skipped = F.exists(folders, lambda p: F.startswith(p, F.lit("."))) | F.exists(parts, lambda p: p.isin(*UNWALKED))
-    test = (F.col("kind") == "file") & ~skipped & is_discovered(F.col("path"))
-    w = Window.partitionBy("change_id").orderBy("path")
-    some = tree.filter(test).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
-    per = some.groupBy("change_id").agg(F.array_sort(F.collect_list("path")).alias("_t"))
-    df = tree.select("change_id").distinct().join(per, "change_id", "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
-    full = F.size("_t") >= cap
-    return df.select("change_id", F.when(~full, F.col("_t")).alias("tests"), full.alias("truncated"))
+    last = F.size(parts) - 1
+    left_out = F.transform(parts, lambda p, i: p.isin(*UNWALKED) | (F.startswith(p, F.lit(".")) & ((i < last) | (F.col("kind") == "dir"))))
+    stop = F.array_position(left_out, True)
+    df = tree.select("change_id", "path", "kind", F.when(stop > 0, F.slice(parts, 1, stop.cast("int"))).otherwise(parts).alias("at"), (stop == 0).alias("_walked"))
+    test = (F.col("kind") == "file") & F.col("_walked") & is_discovered(F.col("path"))
+    w = Window.partitionBy("change_id").orderBy("at")
+    some = df.filter(test).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    per = some.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("_t"), F.max(F.when(F.col("_n") == cap, F.col("at"))).alias("_cap"))
+    ends = df.groupBy("change_id").agg(F.max("at").alias("_end"))
+    out = ends.join(per, "change_id", "left")
+    truncated = F.coalesce(F.col("_end") > F.col("_cap"), F.lit(False))
+    tests = F.coalesce(F.transform("_t", lambda x: x["path"]), F.array().cast("array<string>"))
+    return out.select("change_id", F.when(~truncated, tests).alias("tests"), truncated.alias("truncated"))
 
 
 def accounted(requested: DataFrame, answered: DataFrame, failed: DataFrame) -> DataFrame:

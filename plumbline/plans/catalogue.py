@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import attribution as at
-from ..operators import deepchecks, deltas, diffs, fusion, intake, report
+from ..operators import containment, deepchecks, deltas, diffs, fusion, intake, placement, report, resolution
 from ..operators import perfile
-from ..sources import evidence
+from ..sources import evidence, scratch
 from ..sources.evidence import Documents, table
 
 CAP, PER_FILE, HINTS = 6, 2, 4
@@ -26,11 +26,11 @@ def _status(d: Documents) -> DataFrame:
 
 
 class Shared:
-    """The attributed lines and statements of documents, kept for the several branches that read them."""
+    """The attributed lines and statements of documents, for the several branches that read them."""
 
     def __init__(self, d: Documents):
-        self.attributed = _attributed(d).persist()
-        self.status = at.statement_status(at.statements(self.attributed), d.coverage, d.branches).persist()
+        self.attributed = _attributed(d)
+        self.status = at.statement_status(at.statements(self.attributed), d.coverage, d.branches)
 
 
 def _by_file(d: Documents, shared: Shared | None = None) -> DataFrame:
@@ -161,21 +161,30 @@ def import_reasons_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.reasons(rows, 5)
 
 
-def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of suites, with what both channels say: in either runner's form, indented, with carriage returns."""
     e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
-    name = F.concat(F.lit("tests/s"), "user_id", F.lit(".py::t"), k)
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("FAILED "), name, F.lit(" - boom - again"))).when(F.col("event_type") == "signup", F.concat(F.lit("ERROR  "), name)).otherwise(F.concat(F.lit("PASSED "), name))
-    return e.select("event_id", F.col("user_id").alias("suite"), line.alias("line"))
+    k, user, n, kind = F.get_json_object("props", "$.k"), F.col("user_id").cast("string"), F.col("event_id"), F.col("event_type")
+    name = F.concat(F.lit("tests/s"), user, F.lit(".py::t"), k)
+    end = F.when(n % 4 == 0, "\r").otherwise("")
+    blanks = F.repeat(F.lit(" "), (n % 3).cast("int"))
+    vitest = F.when(n % 4 == 0, F.concat(F.lit("× src/s"), user, F.lit(".spec.mjs"), end)).otherwise(F.concat(F.lit(" FAIL  src/s"), user, F.lit(".test.ts > adds "), k, F.lit(" > t ")))
+    stdout = (
+        F.when(kind == "error", F.concat(blanks, F.lit("FAILED "), name, F.lit(" - boom - again"), end, F.lit("\n1 failed")))
+        .when(kind == "purchase", F.concat(vitest, F.lit("\n FAIL  src/util.ts > no test's name")))
+        .otherwise(F.concat(F.lit("PASSED "), name))
+    )
+    stderr = F.when(kind == "signup", F.concat(F.lit("\tERROR  "), name, end))
+    return e.select("event_id", F.col("user_id").alias("suite"), stdout.alias("stdout"), stderr.alias("stderr"))
 
 
 def failure_ids_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deltas.failure_ids(_log_lines(spark, sf_dir)).select("suite", "test_id").distinct()
+    return deltas.run_failures(_logged_runs(spark, sf_dir), ["suite"])
 
 
 def new_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("event_id") % 3 == 0, "base").otherwise("shadow")
-    return deltas.introduced(deltas.failure_ids(_log_lines(spark, sf_dir)).withColumn("side", side), ["suite", "test_id"])
+    return deltas.introduced(deltas.run_failures(_logged_runs(spark, sf_dir).withColumn("side", side), ["suite", "side"]), ["suite", "test_id"])
 
 
 def failure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,12 +215,16 @@ def tests_gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.tests_gate(runs, ids)
 
 
-def stability_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _attempts(spark, sf_dir).select(F.expr("event_id div 5").alias("suite"), (F.col("event_id") % 5).alias("run_no"), (F.col("event_type") == "signup").alias("timed_out"), "exit_code", "event_type", "user_id")
+def _stability(events: DataFrame) -> DataFrame:
+    e = events.select(F.expr("event_id div 5").alias("suite"), (F.col("event_id") % 5).alias("run_no"), (F.col("event_type") == "signup").alias("timed_out"), "exit_code", "event_type", "user_id")
     ids = e.filter("event_type = 'error'").select("suite", "run_no", F.concat(F.lit("t"), "user_id").alias("test_id"))
     return deepchecks.stability(e.select("suite", "run_no", "timed_out", "exit_code"), ids, ["suite"])
 
 
+def stability_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stability(_attempts(spark, sf_dir))
+
+
 def _mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "N", "constant").otherwise("operator")
     outcome = F.when(F.col("l_partkey") % 5 == 0, "inconclusive").when(F.col("l_linestatus") == "O", "killed").otherwise("survived")
@@ -270,6 +283,18 @@ def reason_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse_full(spark, sf_dir).groupBy("reason_code").agg(F.count("*").alias("n"))
 
 
+def gated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts with mutants and reruns, which are only read for changes that could still be safe."""
+    gates = fusion.masked_gates(_gates(spark, sf_dir).drop("survivors", "varied"))
+    safe = gates.filter(fusion.would_be_safe()).select(F.col("o_orderkey").alias("_safe"))
+    mutants = _mutants(spark, sf_dir).join(safe, F.col("l_orderkey") == F.col("_safe"), "left_semi")
+    tested = deepchecks.mutation_summary(deepchecks.chosen(mutants, ["l_orderkey"], ORDER, 1 << 30), ["l_orderkey"], 3).select(F.col("l_orderkey").alias("_m"), F.col("survived").alias("survivors"))
+    events = _attempts(spark, sf_dir).withColumn("suite", F.expr("event_id div 5")).join(safe, F.col("suite") == F.col("_safe"), "left_semi")
+    rerun = _stability(events).select(F.col("suite").alias("_s"), "varied")
+    df = gates.join(tested, F.col("o_orderkey") == F.col("_m"), "left").join(rerun, F.col("o_orderkey") == F.col("_s"), "left").na.fill(0, ["survivors", "varied"])
+    return fusion.fuse(df).select("o_orderkey", "verdict", "reason_code", "scope")
+
+
 def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse_full(spark, sf_dir).select("o_orderkey", fusion.exit_code().alias("exit_code"))
 
@@ -298,16 +323,31 @@ def diff_entry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = evidence.diffs(spark, sf_dir)
-    e = diffs.entries(diffs.diff_lines(raw))
-    new = e.filter("false").select("change_id", "path")
-    return diffs.refusal(raw, diffs.entry_flags(e), diffs.hunks(e), new)
+    raw, base, e = evidence.diffs(spark, sf_dir), evidence.bases(spark, sf_dir), _entries(spark, sf_dir)
+    flags, hunks = diffs.entry_flags(e), diffs.hunks(e)
+    return diffs.refusal(raw, flags, hunks, diffs.entry_errors(flags, hunks, base, placement.placed(hunks, base)))
+
+
+def hunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = placement.placed(diffs.hunks(_entries(spark, sf_dir)), evidence.bases(spark, sf_dir))
+    shown = F.array_join(F.transform("at_lines", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    return found.select("path", "applies", shown.alias("at_lines"))
 
 
 def hunk_new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.new_lines(_entries(spark, sf_dir)).select("path", "line")
 
 
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diffs of many changes as eight files, read back in pieces: the lines that each file's hunks add."""
+    k = F.substring("change_id", 2, 20).cast("long")
+    raw = evidence.diffs(spark, sf_dir).withColumns({"k": k, "bundle": k % 8}).filter(k % 53 != 0)  # those with a hunk cut short would take lines of the next
+    folder = scratch.folder(spark, "diffs")
+    raw.repartition("bundle").sortWithinPartitions("bundle", "k").select("bundle", F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("bundle").text(folder)
+    found = diffs.new_lines(diffs.entries(diffs.diff_lines(evidence.diff_files(spark, folder))))
+    return found.select(F.regexp_extract("change_id", r"bundle=(\d+)", 1).cast("int").alias("bundle"), "path", "line")
+
+
 def coverage_json_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage by rule, written as the reports of a tool and read back."""
     d = Documents(spark, sf_dir)
@@ -318,6 +358,26 @@ def coverage_json_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.coverage_sets(json)[0].select("path", "line", "status")
 
 
+def coverage_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in which some entries aren't of their shape: lines of the others, and those as unknown."""
+    d = Documents(spark, sf_dir)
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("line")))).alias(f"{s}_lines")
+    files = d.coverage.groupBy("change_id", "path").agg(of("executed"), of("missing"), of("excluded"))
+    n = F.substring("path", 2, 20).cast("long")
+    entry = (
+        F.when(n % 19 == 0, '"none"')
+        .when(n % 23 == 0, '{"executed_lines": "1-5", "missing_lines": []}')
+        .when(n % 29 == 0, '{"executed_lines": [1, "2"], "missing_lines": []}')
+        .when(n % 31 == 0, '{"missing_lines": [1]}')
+        .when(n % 37 == 0, '{"executed_lines": [1, null], "missing_lines": []}')
+        .when(n % 41 == 0, '{"executed_lines": [1], "missing_lines": [], "missing_branches": [1, 2]}')
+        .otherwise(F.to_json(F.struct("executed_lines", "missing_lines", "excluded_lines")))
+    )
+    json = files.groupBy("change_id").agg(F.concat(F.lit('{"meta": {"version": "7"}, "files": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), "path", F.lit('": '), entry)), ", "), F.lit("}}")).alias("json"))
+    lines, _, _, damaged = evidence.coverage_sets(json)
+    return lines.select("path", "line", "status").unionByName(damaged.select("path", F.lit(None).cast("int").alias("line"), F.lit("unknown").alias("status")))
+
+
 def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     keys = [F.lit("c").alias("change_id"), F.col("l_orderkey").cast("string").alias("path")]
@@ -335,6 +395,82 @@ def outside_testpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outside.select("change_id", "file")
 
 
+def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as repositories with chains of links, one out of the repository, one to nothing and a cycle; pages' files reached by them."""
+    p = _pages(spark, sf_dir).select(F.col("host").alias("tree"), "page_id", (F.col("page_id") % 7).cast("string").alias("d"), F.concat(F.lit("/r/"), "host").alias("root"))
+    k = F.col("page_id").cast("string")
+    trees = p.select("tree", "root").distinct()
+    made = {"l0": "d0", "l1": "l0", "l2": "../../etc", "l3": "l4", "l4": "l3", "l5": None, "l6": "gone", "l7": "l1/../d2"}
+    each = F.array(*[F.struct(F.lit(a).alias("at"), (F.concat("root", F.lit("/d1")) if b is None else F.lit(b)).alias("target")) for a, b in made.items()])
+    links = trees.select("tree", "root", F.explode(each).alias("x")).select("tree", F.concat("root", F.lit("/"), "x.at").alias("path"), "x.target")
+    folder = F.concat("root", F.lit("/d"), "d")
+    files = p.select("tree", F.explode(F.array(F.struct(folder.alias("path"), F.lit(True).alias("folder")), F.struct(F.concat(folder, F.lit("/p"), k).alias("path"), F.lit(False).alias("folder")))).alias("x"))
+    other = F.array(*[F.struct(c.alias("path"), F.lit(d).alias("folder")) for c, d in ((F.lit("/r"), True), (F.col("root"), True), (F.lit("/etc"), True), (F.lit("/etc/passwd"), False))])
+    exists = files.unionByName(trees.select("tree", F.explode(other).alias("x"))).select("tree", "x.path", "x.folder")
+    n = F.col("page_id") % 10
+    rel = (
+        F.when(n < 8, F.concat(F.lit("l"), n.cast("string"), F.when(F.col("page_id") % 3 == 0, "/passwd").otherwise(F.concat(F.lit("/p"), k))))
+        .when(n == 8, F.concat(F.lit("d"), "d", F.lit("/./p"), k))
+        .otherwise(F.concat(F.lit("../"), "tree", F.lit("/x/../d"), "d", F.lit("/new/p"), k))
+    )
+    return containment.contained(p.select("tree", rel.alias("rel")), trees, links, exists, _kept).select("tree", "rel", "real", "inside")
+
+
+def _kept(df: DataFrame, what: str) -> DataFrame:
+    """df written to a folder that all share and read again."""
+    folder = scratch.folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _module_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links of pages as imports of TypeScript and Python files, and the trees of both sides with what some of them name."""
+    p = _pages(spark, sf_dir)
+    name = F.explode(F.transform(F.regexp_extract_all("html", F.lit(r'href="/?([^"]+)"'), 1), lambda m: F.regexp_replace(m, "[^A-Za-z]", "_"))).alias("m")
+    refs = p.select("page_id", "change_id", name).distinct()
+    n, m, size = F.col("page_id"), F.col("m"), F.length("m") % 4
+    python = n % 3 == 0
+    spec = F.when(python, F.when(n % 2 == 1, F.concat(m, F.lit(".sub"))).otherwise(m)).when(n % 4 == 0, F.concat(F.lit("./"), m)).when(n % 4 == 1, F.concat(F.lit("./"), m, F.lit(".js"))).when(n % 4 == 2, F.concat(F.lit("../src/./"), m)).otherwise(m)
+    path = F.concat(F.lit("src/p"), n.cast("string"), F.when(python, ".py").otherwise(".ts"))
+    sides = F.explode(F.when(n % 2 == 0, F.array(F.lit("base"), F.lit("shadow"))).otherwise(F.array(F.lit("shadow")))).alias("side")
+    imports = refs.select("change_id", path.alias("path"), spec.alias("module"), sides)
+    more = lambda *t: F.array(*[F.concat(F.lit(a), m, F.lit(b)) for a, b in t])
+    names = (
+        F.when(size == 0, more(("src/", ".ts"), ("", ".py"), ("node_modules/", "/package.json")))
+        .when(size == 1, more(("src/", "/index.ts"), ("", "/sub.py"), ("src/node_modules/@types/", "/index.d.ts")))
+        .when(size == 2, more(("src/", ".d.ts"), ("", "/__init__.py")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    both = F.explode(F.when(size < 2, F.array(F.lit("base"), F.lit("shadow"))).otherwise(F.array(F.lit("shadow")))).alias("side")
+    files = refs.select("change_id", F.explode(names).alias("path"), "m").select("change_id", "path", "m", both).drop("m")
+    return imports, files
+
+
+def unresolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports that stand for nothing on their side, and whether the change brought them."""
+    imports, files = _module_files(spark, sf_dir)
+    builtins = spark.createDataFrame([("", "de"), ("", "the"), (".py", "the"), (".py", "und")], "suffix string, name string")
+    found = resolution.unresolved(imports, files, builtins, ["side", "change_id"])
+    new = deltas.introduced(found, ["change_id", "path", "module"]).select(F.col("path").alias("_p"), F.col("module").alias("_m"), F.lit(True).alias("new"))
+    df = found.filter("side = 'shadow'").join(new, (F.col("path") == F.col("_p")) & (F.col("module") == F.col("_m")), "left")
+    return df.select("path", "module", F.coalesce("new", F.lit(False)).alias("introduced"))
+
+
+def console_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' commands, each with a PATH of its own, and the programs in their folders."""
+    k = F.col("c_custkey")
+    c, text = table(spark, sf_dir, "customer"), lambda x: x.cast("string")
+    lines = F.array(*[F.lit(x) for x in ("#!/usr/bin/python3", "#!/usr/bin/env python3.11\r", "#!/usr/bin/python3 -s", "#!/bin/sh", "#!python3", "#! /opt/py/bin/python ", "#!/usr/bin/env -S python3", "ELF")])
+    home = F.concat(F.lit("/home/u"), text(k % 50), F.lit("/bin"))
+    opt = F.concat(F.lit("/opt/v"), text(k % 7), F.lit("/bin"))
+    tool = F.concat(F.lit("tool"), text(k % 13))
+    search = F.concat_ws(":", F.when(k % 11 == 0, ""), F.lit("/usr/bin"), F.concat(home, F.when(k % 2 == 0, "/").otherwise("")), F.when(k % 17 == 0, "bin"), opt)
+    commands = c.select(k.alias("id"), F.when(k % 29 == 0, F.concat(F.lit("./"), tool)).otherwise(tool).alias("name"), search.alias("search"))
+    h, g = (k % 50) * 13 + k % 13, (k % 7) * 13 + k % 13
+    one = lambda d, x, e, f, o: c.select(F.concat(d, F.lit("/"), tool).alias("path"), (x % e != 0).alias("executable"), (x % f != 0).alias("is_file"), F.element_at(lines, ((x + o) % 8 + 1).cast("int")).alias("first_line")).distinct()
+    return resolution.first_on_path(commands, one(home, h, 4, 9, 0).unionByName(one(opt, g, 3, 7, 3)))
+
+
 def walked_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests found in a tree for each host, unknown from 3 on."""
     p = _pages(spark, sf_dir).withColumn("page_path", paths.normalise(F.col("path")))
@@ -456,8 +592,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         change_verdict, explode_lines, statement_runs, owner_of_changed_line, first_seen_statement, attribution_by_file, coverage_rule, nothing_to_attest, partial_branch_gate,
         uncovered_fair_share, missing_test_hints, unmeasured_files, python_only_gate, imports_introduced, import_reasons_capped, failure_ids_from_log, new_failures, failure_blocks,
         last_attempt, tests_gate_decision, stability_varied, mutation_summary, mutant_budget, mutant_splice, first_failed_gate, fuse_full, reason_precedence, test_file_flag,
-        normalise_path, diff_entry_flags, diff_refusal, hunk_new_lines, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
-        walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff,
+        normalise_path, diff_entry_flags, diff_refusal, hunk_places, hunk_new_lines, diff_files, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
+        walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff, path_containment, unresolved_imports, console_script, gated_checks, coverage_damaged,
         scope_of_command, coverage_plan, python_syntax, python_extents, python_mutants, python_imports, apply_diff, changed_lines,
     )
 }

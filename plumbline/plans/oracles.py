@@ -72,8 +72,10 @@ i AS (
 
 LOGS = """
 WITH e AS (
-  SELECT event_id, user_id AS suite, event_type, 'tests/s' || user_id || '.py::t' || json_extract_string(props, '$.k') AS name FROM events),
-f AS (SELECT event_id, suite, name AS test_id FROM e WHERE event_type IN ('error', 'signup'))
+  SELECT event_id, user_id AS suite, event_type, json_extract_string(props, '$.k') AS k FROM events),
+f AS (
+  SELECT event_id, suite, CASE WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'src/s' || suite || '.spec.mjs' WHEN event_type = 'purchase' THEN 'src/s' || suite || '.test.ts > adds ' || k || ' > t'
+         ELSE 'tests/s' || suite || '.py::t' || k END AS test_id FROM e WHERE event_type IN ('error', 'signup', 'purchase'))
 """
 
 RUNS = """
@@ -117,14 +119,102 @@ v AS (
   FROM c)
 """
 
+#: As FUSED, with survivors and outcomes that varied counted for every change.
+CHECKED = FUSED.replace("(k % 7 = 1)::INT + (k % 14 = 1)::INT AS sv, (k % 11 = 2)::INT + (k % 22 = 2)::INT AS va", "coalesce(ms.n, 0) AS sv, coalesce(vs.n, 0) AS va").replace(
+    "  FROM orders),", """  FROM orders LEFT JOIN (
+    SELECT l_orderkey, count(*) FILTER (outcome = 'survived') AS n FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'N')::INT, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn,
+             CASE WHEN l_partkey % 5 = 0 THEN 'inconclusive' WHEN l_linestatus = 'O' THEN 'killed' ELSE 'survived' END AS outcome FROM lineitem)
+    WHERE rn <= 3 GROUP BY l_orderkey) ms ON o_orderkey = ms.l_orderkey
+  LEFT JOIN (
+    SELECT event_id // 5 AS suite, count(DISTINCT CASE WHEN event_type = 'error' THEN 't' || user_id ELSE 'run ' || (event_id % 5) END) AS n
+    FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1) vs ON o_orderkey = vs.suite),""", 1)
+
+LINKS = """
+WITH RECURSIVE p AS (
+  SELECT page_id, regexp_replace(url, '^https?://([^/]*)/.*$', '\\1') AS tree FROM pages),
+t AS (SELECT DISTINCT tree, '/r/' || tree AS root FROM p),
+lk AS (
+  SELECT tree, root || '/' || x.a AS path, CASE WHEN x.a = 'l5' THEN root || '/d1' ELSE x.b END AS target
+  FROM t, (SELECT unnest(['l0', 'l1', 'l2', 'l3', 'l4', 'l5', 'l6', 'l7']) AS a, unnest(['d0', 'l0', '../../etc', 'l4', 'l3', '', 'gone', 'l1/../d2']) AS b) x),
+ex AS (
+  SELECT DISTINCT tree, unnest(['/r/' || tree || '/d' || (page_id % 7), '/r/' || tree || '/d' || (page_id % 7) || '/p' || page_id, '/r/' || tree, '/r', '/etc', '/etc/passwd', '/']) AS path FROM p),
+fx AS (SELECT DISTINCT tree, unnest(['/r/' || tree || '/d' || (page_id % 7), '/r/' || tree, '/r', '/etc']) AS path FROM p),
+c AS (
+  SELECT DISTINCT tree, CASE WHEN page_id % 10 < 8 THEN 'l' || (page_id % 10) || CASE WHEN page_id % 3 = 0 THEN '/passwd' ELSE '/p' || page_id END
+         WHEN page_id % 10 = 8 THEN 'd' || (page_id % 7) || '/./p' || page_id ELSE '../' || tree || '/x/../d' || (page_id % 7) || '/new/p' || page_id END AS rel,
+         CASE WHEN page_id % 10 < 8 THEN ['r', tree, 'l' || (page_id % 10), CASE WHEN page_id % 3 = 0 THEN 'passwd' ELSE 'p' || page_id END]
+         WHEN page_id % 10 = 8 THEN ['r', tree, 'd' || (page_id % 7), 'p' || page_id] ELSE ['r', tree, 'd' || (page_id % 7), 'new', 'p' || page_id] END AS parts FROM p),
+w AS (SELECT tree, rel, parts, unnest(range(0, len(parts) + 1)) AS d FROM c),
+walk(tree, rel, d, res, rem, hops) AS (
+  SELECT tree, rel, d, []::VARCHAR[], parts[1:d], 0 FROM w
+  UNION ALL
+  SELECT k.tree, rel, d,
+         CASE WHEN rem[1] = '..' THEN res[1:-2] WHEN l.target IS NULL THEN list_append(res, rem[1]) WHEN l.target LIKE '/%' THEN [] ELSE res END,
+         CASE WHEN l.target IS NULL OR rem[1] = '..' THEN rem[2:] ELSE list_concat(list_filter(string_split(l.target, '/'), lambda x: x <> ''), rem[2:]) END,
+         hops + (l.target IS NOT NULL AND rem[1] <> '..')::INT
+  FROM walk k LEFT JOIN lk l ON l.tree = k.tree AND l.path = '/' || array_to_string(list_append(res, rem[1]), '/')
+  LEFT JOIN fx f ON f.tree = k.tree AND f.path = '/' || array_to_string(res, '/')
+  WHERE len(rem) > 0 AND hops <= 40 AND (rem[1] <> '..' OR len(res) = 0 OR f.path IS NOT NULL)),
+r AS (SELECT tree, rel, d, '/' || array_to_string(res, '/') AS real FROM walk WHERE len(rem) = 0 AND hops <= 40),
+g AS (SELECT r.* FROM r JOIN ex ON r.tree = ex.tree AND r.real = ex.path),
+b AS (SELECT tree, rel, arg_max(real, d) AS real, max(d) AS d FROM g GROUP BY tree, rel)
+SELECT c.tree, c.rel, CASE WHEN b.d = len(c.parts) THEN b.real END AS real, coalesce(b.real = '/r/' || c.tree OR starts_with(b.real, '/r/' || c.tree || '/'), false) AS inside
+FROM c LEFT JOIN b ON c.tree = b.tree AND c.rel = b.rel"""
+
+MODULES = """
+WITH h AS (
+  SELECT DISTINCT page_id AS n, unnest(list_transform(regexp_extract_all(html, 'href="/?([^"]+)"', 1), lambda m: regexp_replace(m, '[^A-Za-z]', '_', 'g'))) AS m FROM pages),
+i AS (
+  SELECT *, length(m) % 4 AS k, CASE WHEN n % 3 = 0 THEN 'src/p' || n || '.py' ELSE 'src/p' || n || '.ts' END AS path,
+         CASE WHEN n % 3 = 0 AND n % 2 = 1 THEN 'sub' WHEN n % 3 = 0 THEN 'py' WHEN n % 4 IN (0, 2) THEN 'rel' WHEN n % 4 = 1 THEN 'js' ELSE 'pkg' END AS kind FROM h),
+x AS (
+  SELECT *, CASE kind WHEN 'sub' THEN m || '.sub' WHEN 'rel' THEN CASE WHEN n % 4 = 0 THEN './' ELSE '../src/./' END || m WHEN 'js' THEN './' || m || '.js' ELSE m END AS module,
+         CASE kind WHEN 'sub' THEN m IN ('the', 'und') OR k = 1 WHEN 'py' THEN m IN ('the', 'und') OR k = 0 WHEN 'rel' THEN k IN (0, 1) WHEN 'js' THEN k = 0 ELSE m IN ('the', 'de') OR k IN (0, 1) END AS base,
+         k = 2 AND kind IN ('py', 'rel', 'js') AS more FROM i)
+SELECT path, module, n % 2 = 1 AS introduced FROM x WHERE NOT (base OR more)"""
+
+SCRIPTS = """
+WITH l AS (SELECT ['#!/usr/bin/python3', '#!/usr/bin/env python3.11', '', '', '', '#! /opt/py/bin/python', '', ''] AS good,
+                  ['/usr/bin/python3', 'python3.11', NULL, NULL, NULL, '/opt/py/bin/python', NULL, NULL] AS run),
+c AS (
+  SELECT c_custkey AS id, c_custkey % 50 AS u, c_custkey % 7 AS v, c_custkey % 13 AS t, (c_custkey % 50) * 13 + c_custkey % 13 AS h, (c_custkey % 7) * 13 + c_custkey % 13 AS g FROM customer),
+f AS (
+  SELECT *, h % 4 <> 0 AND h % 9 <> 0 AS in_home, g % 3 <> 0 AND g % 7 <> 0 AND id % 17 <> 0 AS in_opt, id % 11 = 0 OR id % 29 = 0 AS unknown FROM c),
+r AS (
+  SELECT id, CASE WHEN unknown THEN NULL WHEN in_home THEN run[h % 8 + 1] WHEN in_opt THEN run[(g + 3) % 8 + 1] END AS interpreter,
+         CASE WHEN in_home THEN '/home/u' || u || '/bin/tool' || t ELSE '/opt/v' || v || '/bin/tool' || t END AS script FROM f, l)
+SELECT id, CASE WHEN interpreter IS NOT NULL THEN script END AS script, interpreter FROM r"""
+
 DIFFS = """
-WITH d AS (
-  SELECT doc_id AS n, 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, doc_id % 101 = 0 AS deleted, doc_id % 101 <> 0 AND doc_id % 103 = 0 AS renamed,
-         doc_id % 101 <> 0 AND doc_id % 103 <> 0 AND doc_id % 107 = 0 AS copied,
-         doc_id % 101 <> 0 AND doc_id % 103 <> 0 AND doc_id % 107 <> 0 AND doc_id % 109 = 0 AS submodule,
-         doc_id % 101 <> 0 AND doc_id % 103 <> 0 AND doc_id % 107 <> 0 AND doc_id % 109 <> 0 AND doc_id % 113 = 0 AS is_binary,
-         doc_id % 113 <> 0 AS has_hunks, doc_id % 113 <> 0 AND doc_id % 59 = 0 AS loose
-  FROM documents)
+WITH d0 AS (
+  SELECT doc_id AS n, 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, text,
+         CASE WHEN suffix(text, chr(10)) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS l0 FROM documents),
+d1 AS (SELECT *, len(l0) AS m, (n % len(l0) + 1)::INT AS s FROM d0),
+d2 AS (
+  SELECT *, CASE WHEN n % 10 = 1 THEN '-- a/q' WHEN n % 131 = 0 THEN 'Subproject commit 1111111' ELSE l0[s] END AS x,
+         CASE WHEN n % 101 = 0 THEN 'D' WHEN n % 103 = 0 THEN 'R' WHEN n % 107 = 0 THEN 'C' WHEN n % 109 = 0 THEN 'S' WHEN n % 113 = 0 THEN 'B' WHEN n % 97 = 0 THEN 'd' WHEN n % 89 = 0 THEN 'r' ELSE '' END AS kind,
+         (s > 1)::INT AS lead, s - (s > 1)::INT + CASE WHEN n % 73 = 0 THEN 2 ELSE 0 END AS stated, text IS NOT NULL AND n % 59 = 0 AS zero FROM d1),
+d3 AS (SELECT *, list_concat(list_append(l0[1:s - 1], x), l0[s + 1:]) AS ls FROM d2),
+d4 AS (
+  SELECT *, text IS NOT NULL AND kind NOT IN ('B', 'S') AND NOT zero AS usual, zero AND kind NOT IN ('B', 'S') AS loose, CASE WHEN n % 71 = 0 THEN list_concat(list_append(ls[1:s - 1], 'changed since'), ls[s + 1:]) ELSE ls END AS nb,
+         ls[greatest(s - 1, 1):least(s + 1, m)] AS old, text IS NOT NULL AND n % 67 <> 0 AS readable FROM d3),
+d AS (
+  SELECT *, len(old) AS k, usual AND n % 2 = 0 AND s + 5 <= m AS more, usual AND n % 4 = 3 AND (n // 4) % 53 = 0 AS malformed,
+         kind IN ('D', 'd') AS deleted, kind IN ('R', 'r') AS renamed, kind = 'C' AS copied, kind = 'S' AS submodule, kind = 'B' AS is_binary, kind <> 'B' AS has_hunks FROM d4),
+p1 AS (SELECT *, CASE WHEN readable AND usual THEN list_filter(range(1, m - k + 2), lambda i: nb[i:i + k - 1] = old) ELSE [] END AS w1 FROM d),
+p2 AS (SELECT *, CASE WHEN list_contains(w1, stated) THEN stated WHEN len(w1) = 1 THEN w1[1] END AS at1 FROM p1),
+p3 AS (SELECT *, CASE WHEN more AND at1 IS NOT NULL THEN list_filter(range(at1 + k, m + 1), lambda i: nb[i] = ls[s + 5]) ELSE [] END AS w2 FROM p2),
+p AS (
+  SELECT *, CASE WHEN list_contains(w2, s + 5) THEN s + 5 WHEN len(w2) = 1 THEN w2[1] END AS at2 FROM p3),
+q AS (
+  SELECT *, CASE WHEN usual THEN at1 IS NOT NULL AND (NOT more OR at2 IS NOT NULL) ELSE kind <> 'S' END AS applies,
+         CASE WHEN text IS NULL THEN '0' WHEN loose THEN CASE WHEN readable THEN (s - 1)::VARCHAR ELSE '0' END
+              WHEN usual THEN coalesce((at1 - 1)::VARCHAR, '-') || CASE WHEN more THEN ',' || coalesce((at2 - 1)::VARCHAR, '-') ELSE '' END ELSE '-' END AS at_lines
+  FROM p),
+added AS (
+  SELECT n, path, unnest(CASE WHEN text IS NULL THEN [1, 2] WHEN kind = 'S' THEN [1] WHEN loose THEN [s] WHEN more THEN [stated + lead, stated + lead + 1, s + 7] ELSE [stated + lead, stated + lead + 1] END)::INT AS line
+  FROM d WHERE has_hunks)
 """
 
 SQL = {
@@ -209,11 +299,14 @@ SELECT path, list_contains(parts, 'tests') OR list_contains(parts, 'test') OR re
     "normalise_path": PAGES + "SELECT path, norm AS normalised, NOT (slashed LIKE '../%') AS inside FROM nf",
     "diff_entry_flags": DIFFS + "SELECT path, deleted, renamed, copied, submodule, is_binary FROM d",
     "diff_refusal": DIFFS + """
-SELECT change_id, CASE WHEN bool_or(deleted) THEN 'DELETE' WHEN bool_or(copied) THEN 'COPY' WHEN bool_or(renamed) THEN 'RENAME' WHEN bool_or(submodule) THEN 'SUBMODULE'
-       WHEN bool_or(loose) THEN 'ZERO_CONTEXT' WHEN bool_or(is_binary) AND NOT bool_or(has_hunks) THEN 'BINARY_ONLY' WHEN bool_or(is_binary) THEN 'BINARY_MIXED'
-       WHEN NOT bool_or(has_hunks) THEN 'NO_EDITS' END AS error_code FROM d GROUP BY change_id""",
-    "hunk_new_lines": DIFFS + """
-SELECT path, unnest(CASE WHEN loose THEN [s] WHEN n % 2 = 0 THEN [s + 1, s + 2, n % 90 + 204] ELSE [s + 1, s + 2] END)::INT AS line FROM (SELECT *, n % 90 + 1 AS s FROM d WHERE has_hunks)""",
+, f AS (
+  SELECT *, CASE WHEN NOT has_hunks THEN NULL WHEN text IS NOT NULL AND NOT readable THEN 'NOT_UTF8' WHEN loose THEN 'ZERO_CONTEXT' WHEN NOT applies THEN 'NOT_APPLIED' END AS own FROM q)
+SELECT change_id, CASE WHEN bool_or(malformed) THEN 'MALFORMED' WHEN bool_or(deleted) THEN 'DELETE' WHEN bool_or(copied) THEN 'COPY' WHEN bool_or(renamed) THEN 'RENAME' WHEN bool_or(submodule) THEN 'SUBMODULE'
+       WHEN count(own) > 0 THEN arg_min(own, n) FILTER (own IS NOT NULL) WHEN bool_or(is_binary) AND NOT bool_or(has_hunks) THEN 'BINARY_ONLY' WHEN bool_or(is_binary) THEN 'BINARY_MIXED'
+       WHEN NOT bool_or(has_hunks) THEN 'NO_EDITS' END AS error_code FROM f GROUP BY change_id""",
+    "hunk_places": DIFFS + "SELECT path, applies, at_lines FROM q WHERE has_hunks",
+    "hunk_new_lines": DIFFS + "SELECT path, line FROM added",
+    "diff_files": DIFFS + "SELECT ((n // 4) % 8)::INT AS bundle, path, line FROM added WHERE (n // 4) % 53 <> 0",
     "coverage_json_sets": DOCS + """
 SELECT path, line, CASE WHEN (doc_id * 17 + line * 7) % 11 <> 0 THEN 'executed' WHEN (doc_id * 5 + line * 3) % 4 = 0 THEN 'excluded' ELSE 'missing' END AS status FROM l""",
     "innermost_interval": """
@@ -250,8 +343,20 @@ FROM q LEFT JOIN n ON q.change_id = n.change_id LEFT JOIN gp ON q.change_id = gp
     "walked_tests": PAGES + """
 , x AS (
   SELECT host, CASE WHEN page_id % 9 = 0 THEN 'node_modules/' WHEN page_id % 10 = 0 THEN '.hidden/' ELSE '' END || regexp_replace(replace(path, '\\', '/'), '^\\./', '') AS pp, page_id FROM nf),
-y AS (SELECT host, list_sort(list(pp) FILTER (page_id % 9 <> 0 AND page_id % 10 <> 0 AND regexp_matches(string_split(pp, '/')[-1], '^(test_.*|.*_test)\\.py$') AND pp NOT LIKE '../%')) AS t FROM x GROUP BY host)
-SELECT host, CASE WHEN coalesce(len(t), 0) < 3 THEN coalesce(array_to_string(t, ','), '') END AS tests, coalesce(len(t), 0) >= 3 AS truncated FROM y""",
+v AS (
+  SELECT host, pp, string_split(pp, '/') AS parts, string_split(pp, '/')[1] IN ('node_modules', '.hidden', '..') AS gone, regexp_matches(string_split(pp, '/')[-1], '^(test_.*|.*_test)\\.py$') AS test FROM x),
+o AS (SELECT *, CASE WHEN gone THEN parts[1:1] ELSE parts END AS visited, test AND NOT gone AS counts FROM v),
+r AS (SELECT *, CASE WHEN counts THEN row_number() OVER (PARTITION BY host, counts ORDER BY parts) END AS k FROM o),
+g AS (SELECT host, list(pp ORDER BY parts) FILTER (k <= 3) AS t, max(visited) AS last, max(parts) FILTER (k = 3) AS third FROM r GROUP BY host)
+SELECT host, CASE WHEN NOT coalesce(last > third, false) THEN coalesce(array_to_string(t, ','), '') END AS tests, coalesce(last > third, false) AS truncated FROM g""",
+    "gated_checks": CHECKED + "SELECT o_orderkey, verdict, reason_code, scope FROM v",
+    "path_containment": LINKS,
+    "unresolved_imports": MODULES,
+    "console_script": SCRIPTS,
+    "coverage_damaged": DOCS + """
+, k AS (SELECT *, doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0 OR doc_id % 41 = 0 AS damaged FROM l)
+SELECT path, line, CASE WHEN (doc_id * 17 + line * 7) % 11 <> 0 THEN 'executed' WHEN (doc_id * 5 + line * 3) % 4 = 0 THEN 'excluded' ELSE 'missing' END AS status FROM k WHERE NOT damaged
+UNION ALL SELECT DISTINCT path, NULL::INT, 'unknown' FROM k WHERE damaged""",
     "unresolved_log": "SELECT event_id AS change_id, 'f' || (event_id % 50) AS path, 'm' || user_id AS module FROM events WHERE event_type = 'error' AND event_id % 13 <> 0",
     "helper_accounting": "SELECT 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, CASE WHEN doc_id % 17 = 3 THEN 'SyntaxError' WHEN doc_id % 23 = 4 THEN 'no answer' END AS error FROM documents WHERE text IS NOT NULL",
     "coverage_availability": DOCS + """

@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COVERAGE_JSON = "files map<string,struct<executed_lines:array<int>,missing_lines:array<int>,excluded_lines:array<int>,missing_branches:array<array<int>>>>"
+from ..operators.diffs import NOTHING
+from ..operators.placement import lines_of
+
+LINES, PAIRS = "array<int>", "array<array<int>>"
+#: What the lists of a report look like.
+SHAPES = {LINES: ("ARRAY<BIGINT>", "ARRAY<VOID>"), PAIRS: ("ARRAY<ARRAY<BIGINT>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def diff_text(spark: SparkSession, path: str) -> DataFrame:
-    """Diff files as raw_diff, the path for change_id."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("change_id"), F.col("value").alias("text"))
+def diff_files(spark: SparkSession, path: str) -> DataFrame:
+    """Diff files as raw_diff in pieces: change_id (the file), at and text. Spark splits the files by bytes, and a record ends
+    where the next entry begins, so a file of any size is read by many tasks and no piece begins within an entry."""
+    head = "diff --git "
+    raw = spark.read.option("lineSep", f"\n{head}").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = raw.select(F.col("_metadata.file_path").alias("change_id"), at.alias("at"), F.col("value").alias("text"))
+    # the separator took the head off all but a file's first piece
+    first = raw.groupBy(F.col("change_id").alias("_c")).agg(F.min("at").alias("_first"))
+    whole = F.when((F.col("at") == F.col("_first")), F.col("text")).otherwise(F.concat(F.lit(head), "text"))
+    return raw.join(first, F.col("change_id") == F.col("_c")).select("change_id", "at", F.concat(whole, F.lit("\n")).alias("text"))
 
 
-def base_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a tree with content, NULL where they aren't UTF-8 (utf8 tells which)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def base_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files of a tree by path below root, with content, NULL where it isn't UTF-8 (utf8 tells which); a byte order mark stays."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.select("path", ok.alias("utf8"), F.when(ok, F.decode("content", "UTF-8")).alias("content"))
+    scheme = r"^[A-Za-z0-9.+-]+:(//[^/]*(?=/))?"
+    top = re.sub("^/*", "/", re.sub(scheme, "", root).rstrip("/"))
+    below = F.substring(F.regexp_replace("path", scheme, ""), len(top) + 2, 1 << 30)
+    return raw.select(below.alias("path"), ok.alias("utf8"), F.when(ok, F.decode("content", "UTF-8")).alias("content"))
 
 
-def coverage_sets(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Coverage reports (change_id, json) to coverage_line, missing_branch and the change_ids whose JSON can't be read."""
-    parsed = reports.withColumn("r", F.from_json("json", COVERAGE_JSON))
+def coverage_sets(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Coverage reports (change_id, json) to coverage_line, missing_branch, the change_ids whose report can't be read, and the
+    (change_id, path) of entries that aren't of a report's shape: nothing is known of such a file, and all of the others."""
+    parsed = reports.withColumn("r", F.from_json("json", "files map<string,variant>"))
     bad = parsed.filter("r is null or r.files is null").select("change_id")
     files = parsed.filter("r.files is not null").select("change_id", F.explode("r.files").alias("path", "f"))
-    lists = F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"f.{s}_lines").alias("l")) for s in ("executed", "missing", "excluded")])
-    lines = files.select("change_id", "path", F.explode(lists).alias("x")).select("change_id", "path", F.explode("x.l").alias("line"), "x.status").distinct()
-    arcs = files.select("change_id", "path", F.explode("f.missing_branches").alias("b")).select("change_id", "path", F.col("b")[0].alias("src_line"), F.col("b")[1].alias("dst_line"))
-    return lines, arcs, bad
+    kinds = {"executed_lines": LINES, "missing_lines": LINES, "excluded_lines": LINES, "missing_branches": PAIRS}
+    lists = {n: F.try_variant_get("f", f"$.{n}", k) for n, k in kinds.items()}
+    shape = {n: F.schema_of_variant(F.try_variant_get("f", f"$.{n}", "variant")) for n in kinds}
+    of_kind = {n: shape[n].isin(*SHAPES[k]) & ~F.exists(lists[n], lambda x: x.isNull()) for n, k in kinds.items()}
+    # the first two lists are in every entry, the others may be absent
+    fine = [F.coalesce(of_kind[n], F.lit(n in ("excluded_lines", "missing_branches")) & F.coalesce(shape[n] == "VOID", F.lit(True))) for n in kinds]
+    files = files.select("change_id", "path", (fine[0] & fine[1] & fine[2] & fine[3]).alias("whole"), *[c.alias(n) for n, c in lists.items()])
+    damaged = files.filter(~F.col("whole")).select("change_id", "path")
+    whole = files.filter("whole")
+    rows = F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"{s}_lines").alias("l")) for s in ("executed", "missing", "excluded")])
+    lines = whole.select("change_id", "path", F.explode(rows).alias("x")).select("change_id", "path", F.explode("x.l").alias("line"), "x.status").distinct()
+    arcs = whole.select("change_id", "path", F.explode("missing_branches").alias("b")).select("change_id", "path", F.get("b", F.lit(0)).alias("src_line"), F.get("b", F.lit(1)).alias("dst_line"))
+    return lines, arcs, bad, damaged
 
 
 class Documents:
@@ -57,30 +85,73 @@ class Documents:
         self.branches = self.lines.filter((F.col("doc_id") * 7 + F.col("line")) % 37 == 0).select("change_id", "path", F.col("line").alias("src_line"), (F.col("line") + 2).alias("dst_line"))
 
 
-def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_diff by rule: one entry for each document, four to a change."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    p = F.concat(F.lit("f"), "doc_id")
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as base files, and where and what a diff changes in each: line s of m, x there, L all lines as the diff knows them."""
     n = F.col("doc_id")
-    kind = (
-        F.when(n % 101 == 0, F.concat(F.lit("deleted file mode 100644\n")))
-        .when(n % 103 == 0, F.concat(F.lit("similarity index 90%\nrename from old"), n, F.lit("\nrename to "), p, F.lit("\n")))
-        .when(n % 107 == 0, F.concat(F.lit("similarity index 90%\ncopy from old"), n, F.lit("\ncopy to "), p, F.lit("\n")))
-        .when(n % 109 == 0, F.lit("index 1111111..2222222 160000\n"))
-        .when(n % 113 == 0, F.concat(F.lit("Binary files a/"), p, F.lit(" and b/"), p, F.lit(" differ\n")))
-        .when(n % 127 == 0, F.concat(F.lit("rename from old"), n, F.lit("\n")))  # without its other half no rename
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", lines_of(F.col("text")).alias("L"))
+    d = d.withColumn("m", F.size("L")).withColumn("s", (n % F.col("m") + 1).cast("int"))
+    x = F.when(n % 10 == 1, "-- a/q").when(n % 131 == 0, "Subproject commit 1111111").otherwise(F.element_at("L", F.col("s")))
+    d = d.withColumn("x", x).withColumn("L", F.transform("L", lambda v, i: F.when(i + 1 == F.col("s"), F.col("x")).otherwise(v)))
+    kinds = {101: "D", 103: "R", 107: "C", 109: "S", 113: "B", 97: "d", 89: "r"}
+    kind = F.lit("")
+    for m, k in reversed(kinds.items()):
+        kind = F.when(n % m == 0, k).otherwise(kind)
+    d = d.withColumn("kind", kind)
+    form = F.when(F.col("kind").isin("", "d", "r") & ((n - 1) % 113 != 0), n % 10).otherwise(0)
+    return d.withColumns({"form": form, "path": F.concat(F.lit("f"), "doc_id"), "change_id": F.concat(F.lit("c"), F.expr("doc_id div 4"))})
+
+
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base files by rule: documents' texts, some changed since the diff was made and some that aren't UTF-8; none for null texts."""
+    d, n = _edited(spark, sf_dir).filter("text is not null"), F.col("doc_id")
+    now = F.transform("L", lambda v, i: F.when((i + 1 == F.col("s")) & (n % 71 == 0), "changed since").otherwise(v))
+    content = F.concat(F.array_join(now, "\n"), F.when(F.col("text").endswith("\n"), "\n").otherwise(""))
+    ok = n % 67 != 0
+    return d.select("change_id", "path", ok.alias("utf8"), F.when(ok, content).alias("content"))
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_diff by rule: one entry for each document, four to a change, in several forms of headers; hunks are made of the texts' lines."""
+    d, n, path, old = _edited(spark, sf_dir), F.col("doc_id"), F.col("path"), F.concat(F.lit("old"), "doc_id")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    s, m, x, form, kind = (F.col(c) for c in ("s", "m", "x", "form", "kind"))
+    number = lambda c: c.cast("string")
+    lead, trail = (s > 1).cast("int"), (s < m).cast("int")
+    start = s - lead + F.when(n % 73 == 0, 2).otherwise(0)
+    k = lead + 1 + trail
+    counted = k + F.when((n % 4 == 3) & (F.expr("doc_id div 4") % 53 == 0), 1).otherwise(0)
+    line = lambda mark, i, when: F.when(when == 1, text(mark, F.try_element_at("L", i), "\n")).otherwise("")
+    added = F.when(n % 10 == 1, "++ b/q").otherwise(text("new ", x))
+    body = text("@@ -", number(start), ",", number(counted), " +", number(start), ",", number(k + 1), " @@ of f\n", line(" ", F.nullif(s - 1, F.lit(0)), lead), "-", x, "\n+", added, "\n+added\n", line(" ", s + 1, trail))
+    t = s + 5
+    more = F.when((n % 2 == 0) & (t <= m), text("@@ -", number(t), " +", number(t + 1), ",2 @@\n ", F.try_element_at("L", t), "\n+eleven\n\\ No newline at end of file\n")).otherwise("")
+    hunk = (
+        F.when(F.col("text").isNull(), "@@ -0,0 +1,2 @@\n+new\n+file\n")
+        .when(kind == "B", "")
+        .when(kind == "S", "@@ -1 +1 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\n")
+        .when(n % 59 == 0, text("@@ -", number(s), ",0 +", number(s), ",1 @@\n+added\n"))
+        .otherwise(text(body, more))
+    )
+    git = (
+        F.when(form == 4, text('diff --git "a/', path, '" "b/', path, '"\n'))
+        .when(form == 6, text("diff --git ", path, " ", path, "\n"))
+        .when(form == 7, text("diff --git a/", path, ' "b/', path, '"\n'))
+        .when(form.isin(5, 8, 9), "")
+        .otherwise(text("diff --git a/", path, " b/", path, "\n"))
+    )
+    said = (
+        F.when(kind == "D", "deleted file mode 100644\n")
+        .when(kind == "R", text("similarity index 90%\nrename from ", old, "\nrename to ", path, "\n"))
+        .when(kind == "C", text("similarity index 90%\ncopy from ", old, "\ncopy to ", path, "\n"))
+        .when(kind == "S", "index 1111111..2222222 160000\n")
+        .when(kind == "B", text("Binary files a/", path, " and b/", path, " differ\n"))
+        .when((n % 127 == 0) & ~form.isin(5, 8, 9), text("rename from ", old, "\n"))  # without its other half no rename
         .otherwise("")
     )
-    # commit lines make a submodule only under its mode
-    link = F.when((n % 109 == 0) | (n % 131 == 0), "Subproject commit ")
-    was, now, added = (F.coalesce(F.concat(link, F.lit(x)), F.lit(y)) for x, y in (("1111111", "two"), ("2222222", "TWO"), ("2222222", "added")))
-    start = (n % 90 + 1).cast("string")
-    loose = F.concat(F.lit("@@ -"), start, F.lit(",0 +"), start, F.lit(",1 @@\n+"), added, F.lit("\n"))
-    body = F.concat(F.lit("@@ -"), start, F.lit(",3 +"), start, F.lit(",4 @@\n one\n-"), was, F.lit("\n+"), now, F.lit("\n+two and a half\n three\n"))
-    more = F.concat(F.lit("@@ -200,1 +"), (n % 90 + 203).cast("string"), F.lit(",2 @@\n ten\n+eleven\n\\ No newline at end of file\n"))
-    header = F.when(n % 137 == 0, F.concat(F.lit('diff --git "a/'), p, F.lit('" "b/'), p, F.lit('"\n'))).otherwise(F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n")))
-    head = F.concat(header, kind)
-    names = F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n"))
-    text = F.when(n % 113 == 0, F.concat(head, F.when(n % 109 == 0, "-Subproject commit 1111111\n").otherwise(""))).when(n % 59 == 0, F.concat(head, names, loose)).when(n % 2 == 0, F.concat(head, names, body, more)).otherwise(F.concat(head, names, body))
-    rows = d.select(F.concat(F.lit("c"), F.expr("doc_id div 4")).alias("change_id"), F.struct("doc_id", text.alias("t")).alias("e"))
-    return rows.groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "").alias("text"))
+    a, b = F.when(form.isin(6, 9), "").otherwise("a/"), F.when(form.isin(6, 9), "").otherwise("b/")
+    tab = F.when(form == 8, "\t2024-05-01 10:00:00").otherwise("")
+    before = F.when(F.col("text").isNull(), NOTHING).otherwise(text(a, F.when(kind == "r", old).otherwise(path)))
+    after = F.when(kind == "d", NOTHING).when(form == 7, text('"b/', path, '"')).otherwise(text(b, path))
+    names = F.when(kind == "B", "").otherwise(text("--- ", before, tab, "\n+++ ", after, tab, "\n"))
+    rows = d.select("change_id", F.struct("doc_id", text(git, said, names, hunk).alias("t")).alias("e"))
+    return rows.groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda v: v["t"]), "").alias("text"))

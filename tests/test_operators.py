@@ -1,6 +1,7 @@
 """Relational operators on small frames, random cases against plain models, and monotonicity of the verdict."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.operators import attribution as at
-from plumbline.operators import deltas, diffs, fusion
+from plumbline.operators import containment, deltas, diffs, fusion, intake, placement, resolution
 from plumbline.sources import evidence
 from plumbline.streaming import fuse_stream
 
@@ -136,28 +137,255 @@ def test_paths(spark, path, inside, test, normal):
 
 
 def test_failure_ids(spark):
-    lines = ["FAILED a.py::x - boom - more", "ERROR b.py", "  FAILED c", "FAILED", "passed", "FAILED d::e"]
+    lines = {
+        "FAILED a.py::x - boom - more": "a.py::x", "ERROR b.py": "b.py", "  FAILED c": "c", "FAILED": None, "passed": None, "FAILED d::e\r": "d::e", "\tERROR  f - x\r": "f", "\u00a0FAILED g\u3000": "g", "FAILED  - x": "- x", "xFAILED h": None,
+        " FAIL  src/a.test.ts > b > c ": "src/a.test.ts > b > c", "× src/a.spec.mjs\r": "src/a.spec.mjs", "✗ a.test.jsx >": None, "FAIL src/a.ts > b": None, "FAIL  a.test.ts>b": "a.test.ts > b", "FAIL a.test.ts b": None,
+    }
     df = spark.createDataFrame([(x,) for x in lines], "line string")
-    assert sorted(r.test_id for r in deltas.failure_ids(df).collect()) == ["a.py::x", "b.py", "d::e"]
+    assert {r.line: r.test_id for r in deltas.failure_ids(df).collect()} == {k: v for k, v in lines.items() if v}
+
+
+def test_failures_of_both_channels(spark):
+    runs = [("a", "FAILED x\r\nok", "  ERROR y"), ("b", None, "FAIL z.test.ts > n"), ("c", None, None), ("d", "FAILED x", "FAILED x")]
+    got = deltas.run_failures(spark.createDataFrame(runs, "id string, stdout string, stderr string"), ["id"])
+    assert sorted(map(tuple, got.collect())) == [("a", "x"), ("a", "y"), ("b", "z.test.ts > n"), ("d", "x")]
+
+
+def test_innermost_against_all_pairs(spark):
+    rng = random.Random(6)
+    spans = [(f"c{rng.randrange(4)}", "x", a := rng.randrange(60), a + rng.choice((0, 1, 5, 40))) for _ in range(150)]
+    points = [(f"c{c}", "x", n) for c in range(5) for n in range(70)]
+    got = at.innermost(spark.createDataFrame(points + points[:9], "change_id string, path string, line int"), spark.createDataFrame(spans, "change_id string, path string, istart int, iend int"))
+    want = {(c, p, n): max((s for k, _, s, e in spans if k == c and s <= n <= e), default=None) for c, p, n in points}
+    assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in want.items() if v is not None)
+
+
+def test_attribution_of_one_large_file(spark):
+    """Rows grow with lines and runs, not with their product."""
+    n = 100_000
+    changed = spark.range(n).select(F.lit("c").alias("change_id"), F.lit(0).alias("file_ord"), F.lit("x").alias("path"), (F.col("id") + 1).cast("int").alias("pos"), (F.col("id") + 1).cast("int").alias("line"))
+    runs = spark.range(n // 3).select(F.lit("c").alias("change_id"), F.lit("x").alias("path"), (3 * F.col("id") + 2).cast("int").alias("rfirst"), (3 * F.col("id") + 3).cast("int").alias("rlast"), (3 * F.col("id") + 1).cast("int").alias("owner"))
+    mapped = spark.createDataFrame([("c", "x", None), ("d", "x", None)], "change_id string, path string, error string")
+    df = at.attribute(changed, runs, mapped)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = F.when((F.col("line") % 3 != 1) & (F.col("line") <= n // 3 * 3), F.col("line") - (F.col("line") - 1) % 3)
+    assert df.count() == n and df.filter(~F.col("owner").eqNullSafe(want)).count() == 0
+    assert at.attribute(changed.limit(5), runs, mapped.filter("change_id = 'd'")).filter("owner <> -1").count() == 0
+
+
+def test_containment_as_the_file_system_has_it(spark, tmp_path):
+    """Random trees of folders, files and links of every kind, resolved by the file system too."""
+    rng, rows, links, exists, want = random.Random(11), [], [], [], {}
+
+    def kept(df, what):
+        path = str(tmp_path / "kept" / f"{len(list((tmp_path / 'kept').glob('*'))) if (tmp_path / 'kept').exists() else 0}")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    for k in range(6):
+        top = tmp_path / f"t{k}"
+        root = top / "repo"
+        for d in ("repo/a/b", "repo/c", "out/d"):
+            (top / d).mkdir(parents=True)
+        for f in ("repo/a/f", "repo/a/b/g", "out/d/h", "repo/i"):
+            (top / f).write_text("x")
+        targets = ["a", "../out", "c/..", "b", "l0", "l1/../i", str(root / "a"), str(top / "out/d"), "gone", "l2/b", ".", "/", "l4"]
+        for n in range(6):
+            folder = rng.choice(("", "a/", "c/"))
+            place = root / f"{folder}l{n}"
+            place.symlink_to(rng.choice(targets))
+            links.append((f"t{k}", str(place), os.readlink(place)))
+        (root / "loop").symlink_to("loop")
+        links.append((f"t{k}", str(root / "loop"), "loop"))
+        exists += [(f"t{k}", str(p), p.is_dir()) for p in [*top.rglob("*"), top, *top.parents] if not p.is_symlink() and str(p) == os.path.realpath(p)]
+        for _ in range(40):
+            rel = "/".join(rng.choice(("a", "b", "c", "f", "g", "i", "..", ".", "d", "h", "new", "loop", *(f"l{n}" for n in range(6)))) for _ in range(rng.randint(1, 5)))
+            at_ = os.path.normpath(os.path.join(root, rel))
+            own = None
+            while True:
+                try:
+                    real = os.path.realpath(at_, strict=True)
+                    own = real if own is None and at_ == os.path.normpath(os.path.join(root, rel)) else own
+                    break
+                except OSError:
+                    at_ = os.path.dirname(at_)
+            rows.append((f"t{k}", rel))
+            want[f"t{k}", rel] = (own, real == str(root) or real.startswith(f"{root}/"))
+    roots = spark.createDataFrame([(f"t{k}", str(tmp_path / f"t{k}" / "repo")) for k in range(6)], "tree string, root string")
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = containment.contained(frame(rows, "tree string, rel string"), roots, frame(links, "tree string, path string, target string"), frame(exists, "tree string, path string, folder boolean"), kept)
+    # what lies outside the folders made here isn't in the table, so only its being outside counts
+    near = lambda real: real if real is None or real.startswith(str(tmp_path)) else None
+    assert {(r.tree, r.rel): (near(r.real), r.inside) for r in got.collect()} == {k: (near(v[0]), v[1]) for k, v in want.items()}
+    assert len({v for _, v in want.values()}) == 2
+
+
+def test_modules_stand_for_files(spark):
+    files = ["src/a.ts", "src/b/index.ts", "src/c.d.ts", "src/c/index.ts", "lib/d.tsx", "node_modules/e/package.json", "src/node_modules/f/index.d.ts", "pkg/__init__.py", "pkg/m.py", "top.py", "src/g.mts"]
+    of = {
+        ("src/x.ts", "./a"): "src/a.ts", ("src/x.ts", "./a.js"): "src/a.ts", ("src/x.ts", "./b"): "src/b/index.ts", ("src/x.ts", "./c"): "src/c.d.ts", ("src/x.ts", "../lib/./d"): "lib/d.tsx", ("src/x.ts", "./d"): None, ("src/x.ts", "./b.js"): None,
+        ("src/x.ts", "e"): "node_modules/e/package.json", ("src/deep/y.ts", "f"): "src/node_modules/f/index.d.ts", ("x.ts", "f"): None, ("src/x.ts", "node:fs"): "-", ("src/x.ts", "fs"): "-", ("src/x.ts", "./g.mjs"): "src/g.mts",
+        ("src/p.py", "pkg"): "pkg/__init__.py", ("src/p.py", "pkg.m"): "pkg/m.py", ("src/p.py", "top"): "top.py", ("src/p.py", "os.path"): "-", ("src/p.py", "gone"): None, ("src/p.py", "fs"): None,
+    }
+    imports = spark.createDataFrame([("c", *k) for k in of], "id string, path string, module string")
+    tree = spark.createDataFrame([("c", f) for f in files], "id string, path string")
+    builtins = spark.createDataFrame([("", "fs"), (".py", "os")], "suffix string, name string")
+    found = {(r.path, r.module): r.found for r in resolution.resolve(imports, tree, ["id"]).collect()}
+    assert {k: v for k, v in found.items() if of[k] != "-"} == {k: v for k, v in of.items() if v != "-"}
+    assert {(r.path, r.module) for r in resolution.unresolved(imports, tree, builtins, ["id"]).collect()} == {k for k, v in of.items() if v is None}
+
+
+def test_first_program_on_a_path(spark):
+    good = "#!/usr/bin/python3"
+    files = [("/a/t", True, True, good), ("/b/t", True, True, "#!/bin/sh"), ("/c/t", False, True, good), ("/d/t", True, False, good), ("/e/t", True, True, "#!/usr/bin/env python3.11\r"), ("/f/t", True, True, "#!/usr/bin/python3 -s"), ("/g/t", True, True, "#!python"), ("/h/t", True, True, None)]
+    of = {"/a:/b": ("/a/t", "/usr/bin/python3"), "/b:/a": None, "/c:/d/:/a/": ("/a/t", "/usr/bin/python3"), ":/a": None, "/a:": ("/a/t", "/usr/bin/python3"), "x:/a": None, "/z": None, "/e": ("/e/t", "python3.11"), "/f": None, "/g": None, "/h:/a": None, "": None}
+    commands = spark.createDataFrame([(k, "t", k) for k in of] + [("slash", "./t", "/a")], "id string, name string, search string")
+    got = resolution.first_on_path(commands, spark.createDataFrame(files, "path string, executable boolean, is_file boolean, first_line string"))
+    assert {r.id: (r.script, r.interpreter) for r in got.collect()} == {k: v or (None, None) for k, v in of.items()} | {"slash": (None, None)}
+
+
+def test_walk_is_known_if_nothing_follows(spark):
+    trees = {
+        "exact": ["a/test_1.py", "b_test.py", "x.txt", "test_2.py"], "more": ["test_1.py", "test_2.py", "x.txt", "y/test_3.py"], "few": ["test_1.py", ".git/test_2.py", "x/build/test_3.py"],
+        "hidden": ["test_1.py", "test_2.py", ".z/test_0.py"], "late": ["test_1.py", "test_2.py", "venv/test_0.py"], "deep": ["a/b/test_1.py", "a/test_2.py", "a.txt"], "deeper": ["a/b/test_1.py", "a/test_2.py", "a/b/z"],
+    }
+    tree = spark.createDataFrame([(k, p, "file") for k, ps in trees.items() for p in ps], "change_id string, path string, kind string")
+    got = {r.change_id: r.tests for r in intake.walked_tests(tree, 2).collect()}
+    assert got == {"exact": None, "more": None, "few": ["test_1.py"], "hidden": ["test_1.py", "test_2.py"], "late": None, "deep": None, "deeper": ["a/b/test_1.py", "a/test_2.py"]}
+    assert {r.change_id: r.tests for r in intake.walked_tests(tree, 3).collect()}["exact"] is None
+    assert {r.change_id: r.tests for r in intake.walked_tests(tree.filter("path <> 'x.txt'"), 3).collect()}["exact"] == ["a/test_1.py", "b_test.py", "test_2.py"]
+
+
+def test_costly_checks_are_read_for_safe_changes_only(spark, sf_dir):
+    """The filter stands below the aggregations of both scans, and verdicts are those without it."""
+    from plumbline.plans import catalogue
+
+    df = catalogue.gated_checks(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
+    gates = catalogue._gates(spark, sf_dir)
+    never = gates.filter(~(fusion.would_be_safe()))
+    assert never.count() > 0
+    one = lambda n: fusion.fuse(fusion.masked_gates(never.withColumns({"survivors": F.lit(n).cast("long"), "varied": F.lit(n).cast("long")}))).select("o_orderkey", "verdict", "reason_code")
+    assert one(0).exceptAll(one(3)).count() == 0
 
 
 def test_unreadable_coverage_is_reported(spark):
     df = spark.createDataFrame([("a", '{"files": {"x.py": {"executed_lines": [1], "missing_lines": [2], "excluded_lines": [], "missing_branches": [[1, -2]]}}}'), ("b", "{oops"), ("c", "{}")], "change_id string, json string")
-    lines, arcs, bad = evidence.coverage_sets(df)
+    lines, arcs, bad, damaged = evidence.coverage_sets(df)
+    assert damaged.count() == 0
     assert sorted(map(tuple, lines.collect())) == [("a", "x.py", 1, "executed"), ("a", "x.py", 2, "missing")]
     assert [tuple(r) for r in arcs.collect()] == [("a", "x.py", 1, -2)]
     assert sorted(r[0] for r in bad.collect()) == ["b", "c"]
 
 
+BASES = "change_id string, path string, utf8 boolean, content string"
+
+
+def refusals(spark, raw, bases=()):
+    base = spark.createDataFrame(list(bases), BASES)
+    e = diffs.entries(diffs.diff_lines(raw))
+    flags, hunks = diffs.entry_flags(e), diffs.hunks(e)
+    return {r.change_id: r.error_code for r in diffs.refusal(raw, flags, hunks, diffs.entry_errors(flags, hunks, base, placement.placed(hunks, base))).collect()}
+
+
 def test_diff_without_edits_and_new_files(spark):
     raw = spark.createDataFrame([("a", ""), ("b", "diff --git a/x b/x\nnew file mode 100644\n--- /dev/null\n+++ b/x\n@@ -0,0 +1,1 @@\n+one\n")], "change_id string, text string")
+    assert refusals(spark, raw, [("b", "x", True, "there\n")]) == {"a": "NO_EDITS", "b": "ZERO_CONTEXT"}
+    assert refusals(spark, raw, [("b", "x", True, "")]) == refusals(spark, raw) == {"a": "NO_EDITS", "b": None}
+    assert [tuple(r) for r in diffs.new_lines(diffs.entries(diffs.diff_lines(raw))).collect()] == [("b", "x", 1)]
+
+
+def test_plain_diffs(spark):
+    """Without `diff` lines pairs of --- and +++ open entries; what hunks count is content, whatever it looks like."""
+    hunk = "@@ -1 +1 @@\n-a\n+b\n"
+    text = {
+        "plain": f"--- a/x.py\n+++ b/x.py\n{hunk}",
+        "bare": f"--- x.py\n+++ x.py\n{hunk}",
+        "timed": f"--- a/x.py\t2024-01-01\r\n+++ b/x.py\t2024-01-02\r\n{hunk}",
+        "gone": "--- a/x.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-a\n",
+        "two": f"--- a/x.py\n+++ b/x.py\n{hunk}--- a/y.py\n+++ b/y.py\n{hunk}",
+        "under one": f"diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n{hunk}--- a/y.py\n+++ b/y.py\n{hunk}",
+        "content": "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n--- a/q\n+++ b/q\n c\n",
+        "no prefix": f"diff --git x.py x.py\n--- x.py\n+++ x.py\n{hunk}",
+        "half": f'diff --git a/x.py "b/x.py"\n--- a/x.py\n+++ "b/x.py"\n{hunk}',
+        "blank": "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n\n+b\n",
+        "short": "--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,1 @@\n a\n",
+        "trailer": f"--- a/x.py\n+++ b/x.py\n{hunk}-- \n2.40.0\n",
+    }
+    raw = spark.createDataFrame(list(text.items()), "change_id string, text string")
     e = diffs.entries(diffs.diff_lines(raw))
-    none = spark.createDataFrame([], "change_id string, path string")
-    new = spark.createDataFrame([("b", "x")], "change_id string, path string")
-    of = lambda n: {r.change_id: r.error_code for r in diffs.refusal(raw, diffs.entry_flags(e), diffs.hunks(e), n).collect()}
-    assert of(none) == {"a": "NO_EDITS", "b": "ZERO_CONTEXT"}
-    assert of(new) == {"a": "NO_EDITS", "b": None}
-    assert [tuple(r) for r in diffs.new_lines(e).collect()] == [("b", "x", 1)]
+    paths_of, lines_of = {}, {}
+    for r in diffs.entry_flags(e).collect():
+        paths_of.setdefault(r.change_id, set()).add((r.path, r.deleted))
+    for r in diffs.new_lines(e).collect():
+        lines_of.setdefault(r.change_id, []).append((r.path, r.line))
+    two = {("x.py", False), ("y.py", False)}
+    assert paths_of == {k: {("x.py", k == "gone")} for k in text} | {"two": two, "under one": two}
+    both = [("x.py", 1), ("y.py", 1)]
+    assert {k: sorted(v) for k, v in lines_of.items()} == {k: [("x.py", 1)] for k in text if k not in ("gone", "short")} | {"two": both, "under one": both, "blank": [("x.py", 3)]}
+    base = [(k, p, True, "-- a/q\nc\n" if k == "content" else "a\n\n" if k == "blank" else "a\n") for k in text for p in ("x.py", "y.py")]
+    assert refusals(spark, raw, base) == {k: {"gone": "DELETE", "short": "MALFORMED"}.get(k) for k in text}
+
+
+def test_hunks_are_placed_like_a_loop(spark):
+    """Random bases of few different lines, so that places are often several."""
+    rng = random.Random(8)
+    raw, base, want = [], [], {}
+    for c in range(120):
+        lines = [rng.choice("abc") if rng.random() < 0.6 else f"l{rng.randrange(30)}" for _ in range(rng.randint(1, 25))]
+        text, done, good, at = "--- a/x\n+++ b/x\n", 0, True, 0
+        for _ in range(rng.randint(1, 3)):
+            at = min(at + rng.randint(0, 6), len(lines) - 1)
+            old = lines[at : at + rng.randint(1, 3)]
+            if rng.random() < 0.1:
+                old = [*old[:-1], "gone"]
+            stated = max(1, at + 1 + rng.choice((0, 0, 0, 1, -2)))
+            text += f"@@ -{stated},{len(old)} +{stated},{len(old) + 1} @@\n" + "".join(f"-{x}\n" for x in old) + "+n\n" * (len(old) + 1)
+            spots = [k for k in range(done, len(lines) - len(old) + 1) if lines[k : k + len(old)] == old]
+            spot = stated - 1 if stated - 1 in spots else spots[0] if len(spots) == 1 else None
+            good = good and spot is not None
+            done = spot + len(old) if good else done
+            at += len(old)
+        raw.append((f"c{c}", text))
+        base.append((f"c{c}", "x", True, "\n".join(lines) + "\n"))
+        want[f"c{c}"] = None if good else "NOT_APPLIED"
+    assert refusals(spark, spark.createDataFrame(raw, "change_id string, text string"), base) == want
+    assert {None, "NOT_APPLIED"} == set(want.values())
+
+
+def test_bases_that_are_not_text(spark):
+    raw = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "change_id string, text string")
+    assert refusals(spark, raw, [("a", "x", False, None)]) == {"a": "NOT_UTF8"}
+    assert refusals(spark, raw) == {"a": "NOT_APPLIED"}  # lines can't be taken from a file that isn't there
+
+
+def test_diff_and_base_files(spark, tmp_path):
+    """A tree and large diff files, read in many pieces, to refusals."""
+    (tmp_path / "tree" / "pkg").mkdir(parents=True)
+    (tmp_path / "tree" / "pkg" / "a.py").write_bytes("\ufeffone\ntwo\n".encode())
+    (tmp_path / "tree" / "b.py").write_bytes(b"caf\xe9\n")
+    (tmp_path / "tree" / "c.py").write_bytes(b"diff --git\n\nlast")
+    (tmp_path / "diffs").mkdir()
+    entry = lambda p, old, new: f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n@@ -1 +1 @@\n-{old}\n+{new}\n"
+    many = "".join(entry(f"new{k}.py", "x", "y").replace("@@ -1 +1 @@\n-x", "@@ -0,0 +1 @@").replace(f"--- a/new{k}.py", "--- /dev/null") for k in range(300))
+    texts = {"good": "From 1\n\n" + many + entry("pkg/a.py", "\ufeffone", "1"), "latin": entry("c.py", "diff --git", "x") + entry("b.py", "e", "f") + many, "stale": many + entry("pkg/a.py", "one", "1"), "plain": "--- a/c.py\n+++ b/c.py\n@@ -2,2 +2,3 @@\n\n-last\n+last\n+more\n"}
+    for k, t in texts.items():
+        (tmp_path / "diffs" / k).write_text(t)
+    tree = evidence.base_files(spark, f"file://{tmp_path}/tree")
+    assert {(r.path, r.utf8, r.content) for r in tree.collect()} == {("pkg/a.py", True, "\ufeffone\ntwo\n"), ("b.py", False, None), ("c.py", True, "diff --git\n\nlast")}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        raw = evidence.diff_files(spark, f"file://{tmp_path}/diffs").withColumn("change_id", F.substring_index("change_id", "/", -1))
+        assert raw.rdd.getNumPartitions() > 10 and raw.count() == 906
+        e = diffs.entries(diffs.diff_lines(raw))
+        flags, hunks = diffs.entry_flags(e), diffs.hunks(e)
+        base = spark.createDataFrame([(k,) for k in texts], "change_id string").join(tree)
+        got = diffs.refusal(raw, flags, hunks, diffs.entry_errors(flags, hunks, base, placement.placed(hunks, base)))
+        assert {r.change_id: r.error_code for r in got.collect()} == {"good": None, "latin": "NOT_UTF8", "stale": "NOT_APPLIED", "plain": None}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_diff_entries_of_every_form(spark):
