@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import UNATTRIBUTABLE
+from .report import hint_text
 
 KEY = ["change_id", "path"]
 
@@ -43,10 +45,15 @@ def innermost(points: DataFrame, intervals: DataFrame) -> DataFrame:
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, open_, last = None, [], None
     for b in batches:
+        if not b.num_rows:
+            continue
+        c, p = b.column(0), b.column(1)
+        first = (c[0].as_py(), p[0].as_py())
+        new = pc.or_(pc.not_equal(c[1:], c[:-1]), pc.not_equal(p[1:], p[:-1])).to_pylist()
         rows, owners = [], []
-        for k, (c, p, line, end) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
-            if (c, p) != file:
-                file, open_, last = (c, p), [], None
+        for k, (begins, line, end) in enumerate(zip([first != file, *new], b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            if begins:
+                open_, last = [], None
             if end is not None:
                 open_.append((line, end))
             elif line != last:
@@ -56,6 +63,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if open_:
                     rows.append(k)
                     owners.append(open_[-1][0])
+        file = (c[-1].as_py(), p[-1].as_py())
         kept = b.select(["change_id", "path", "line"]).take(pa.array(rows, pa.int32()))
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(owners, kept.column(2).type)], names=["change_id", "path", "line", "owner"])
 
@@ -174,7 +182,7 @@ def hints(shown: DataFrame, cap: int) -> DataFrame:
     """One hint for each of the first `cap` rows of a capped list, with the total from before any cap."""
     order = Window.partitionBy("change_id").orderBy("file_ord", "path", "pos")
     at = F.concat("path", F.lit(":"), F.col("stmt").cast("string"))
-    text = F.when(F.col("excluded"), F.concat(at, F.lit(" is excluded from coverage (e.g. `# pragma: no cover`, `if TYPE_CHECKING:`), so no test can exercise it; review this change by hand"))).otherwise(F.concat(F.lit("add a test exercising "), at))
+    text = hint_text(at, F.col("excluded"))
     out = shown.withColumns({"_rn": F.row_number().over(order), "hint": text}).filter(F.col("_rn") <= cap)
     return out.select("change_id", "hint", F.least("total", F.lit(cap)).alias("shown"), "total")
 

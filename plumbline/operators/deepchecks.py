@@ -26,15 +26,28 @@ def mutation_summary(outcomes: DataFrame, keys: list[str], budget: int = BUDGET)
     )
 
 
-def stability(runs: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: conclusive runs, outcomes that varied, and runs that timed out. A red run without readable ids
-    varies under a name of its own."""
+def outcomes(mutants: DataFrame, results: DataFrame, place: list[str]) -> DataFrame:
+    """mutants with the outcome of the run that stands for their place (path, line and column, say), which is inconclusive without
+    one. Of several runs of a place the one that speaks most against the change counts."""
+    worst = F.max(F.struct(F.when(F.col("outcome") == "survived", 2).when(F.col("outcome") == "killed", 0).otherwise(1).alias("_k"), "outcome"))
+    once = results.groupBy(*place).agg(worst["outcome"].alias("_o"))
+    return mutants.join(once, place, "left").withColumn("outcome", F.coalesce("_o", F.lit("inconclusive"))).drop("_o")
+
+
+def varied_outcomes(runs: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, test_id) that failed in some conclusive run; a red run without readable ids has a name of its own, with
+    its seed where runs have one."""
     k = [*keys, "run_no"]
     ids = failures.select(*k, "test_id").distinct()
     red = runs.filter("not timed_out and exit_code <> 0")
-    blind = red.join(ids, k, "left_anti").select(*keys, F.concat(F.lit("run "), F.col("run_no").cast("string")).alias("test_id"))
-    seen = red.join(ids, k).select(*keys, "test_id").unionByName(blind).distinct()
-    varied = seen.groupBy(*keys).agg(F.count("*").alias("_v"))
+    seed = F.coalesce(F.concat(F.lit(" (seed "), F.col("seed").cast("string"), F.lit(")")), F.lit("")) if "seed" in runs.columns else F.lit("")
+    blind = red.join(ids, k, "left_anti").select(*keys, F.concat(F.lit("run "), F.col("run_no").cast("string"), seed).alias("test_id"))
+    return red.join(ids, k).select(*keys, "test_id").unionByName(blind).distinct()
+
+
+def stability(runs: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: conclusive runs, outcomes that varied, and runs that timed out."""
+    varied = varied_outcomes(runs, failures, keys).groupBy(*keys).agg(F.count("*").alias("_v"))
     return (
         runs.groupBy(*keys)
         .agg(F.count_if(~F.col("timed_out")).alias("runs"), F.count_if("timed_out").alias("inconclusive"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import some_of
+
 #: Reason codes of a tests gate that could judge nothing.
 UNJUDGED = ("NO_RUNNER", "BASELINE_RED")
 NEEDS = (
@@ -63,8 +65,26 @@ def fuse(df: DataFrame) -> DataFrame:
     return df.withColumns({"verdict": verdict, "reason_code": reason, "scope": F.when(unjudged, "unknown").otherwise(F.col("scope"))})
 
 
-def exit_code() -> Column:
-    return F.when(F.col("verdict") == "UNSAFE", 1).otherwise(0)
+def exit_code(error: Column | None = None, signed_in: Column | None = None) -> Column:
+    """7 without leave to ask, 2 where the input can't be taken, else 1 for UNSAFE and 0 for the others."""
+    out = F.when(~F.coalesce(signed_in, F.lit(False)), 7) if signed_in is not None else F.when(F.lit(False), 7)
+    if error is not None:
+        out = out.when(error.isNotNull(), 2)
+    return out.when(F.col("verdict") == "UNSAFE", 1).otherwise(0)
+
+
+#: Languages in the order in which their gates speak.
+LANGUAGES = ("python", "typescript")
+
+
+def by_language(results: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """Rows (keys, language, reason: NULL where it passed) to keys, passed, reason, the first of the first language that failed, and
+    reasons of all languages, Python's first, each language's in order, `most` of them and how many more there are."""
+    order = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("language"))
+    bad = F.when(F.col("reason").isNotNull(), F.struct(order.alias("ord"), "reason"))
+    per = results.groupBy(*keys).agg(F.array_sort(F.collect_set(bad)).alias("_b"))
+    texts = F.transform("_b", lambda x: x["reason"])
+    return per.select(*keys, (F.size("_b") == 0).alias("passed"), F.get(texts, F.lit(0)).alias("reason"), some_of(texts, most, "; ").alias("reasons"))
 
 
 def coverage_state(rule: DataFrame, unmeasured: DataFrame, other_languages: DataFrame | None = None) -> DataFrame:

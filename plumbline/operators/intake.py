@@ -19,9 +19,23 @@ def chosen_edits(edits: DataFrame, from_diff: DataFrame) -> DataFrame:
     return edits.unionByName(from_diff.join(edits.select("change_id").distinct(), "change_id", "left_anti"))
 
 
-def without_edits(changes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Changes that are refused because they edit nothing."""
-    return changes.select("change_id").distinct().join(edits.select("change_id").distinct(), "change_id", "left_anti").withColumn("error_code", F.lit("NO_EDITS"))
+#: Variables that a suite must not see, and endings that mark a credential.
+DENIED = (
+    "GITHUB_TOKEN", "GH_TOKEN", "NPM_TOKEN", "NODE_AUTH_TOKEN", "AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN", "PYPI_API_TOKEN", "TWINE_PASSWORD", "DOCKER_PASSWORD", "SLACK_TOKEN", "OPENAI_API_KEY", "ANTHROPIC_API_KEY",
+)
+DENIED_ENDINGS = ("_TOKEN", "_SECRET", "_API_KEY", "_PASSWORD", "_CREDENTIALS")
+
+
+def kept_variable(name: Column) -> Column:
+    ends = F.lit(False)
+    for x in DENIED_ENDINGS:
+        ends = ends | F.endswith(name, F.lit(x))
+    return ~(name.isin(*DENIED) | ends)
+
+
+def kept_environment(env: Column) -> Column:
+    """A map of variables without those that a suite must not see."""
+    return F.map_filter(env, lambda k, v: kept_variable(k))
 
 
 def walked_tests(tree: DataFrame, cap: int = WALK_CAP) -> DataFrame:

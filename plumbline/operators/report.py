@@ -33,6 +33,33 @@ SENTENCES = {
     "GATE_IMPORTS": "{gate_reason}",
     "GATE_TESTS": "{gate_reason}",
 }
+# ---- fixed values: hints and notes, which consumers match on; {0}, {1} are filled in ----
+EXCLUDED_HINT = "{0} is excluded from coverage (e.g. `# pragma: no cover`, `if TYPE_CHECKING:`), so no test can exercise it; review this change by hand"
+TEST_HINT = "add a test exercising {0}"
+NOTES = {
+    "narrowed": "  note: the test command narrowed the suite ({0}), so this run cannot be SAFE. Re-run without the filter to get a verdict on the whole suite.",
+    "unknown_scope": "  note: could not determine whether the test command runs the whole suite{0}; the verdict assumes it does.",
+    "flaky": "note: {0} test(s) flipped on retry and were treated as flaky: {1}",
+    "mutation_not_run": "note: --mutate did not run ({0}); this verdict is not mutation-checked",
+    "nothing_to_mutate": "note: --mutate found no mutable operators or constants in the changed statements; nothing to check",
+    "mutation_budget": "only {0} of {1} mutants were run (budget)",
+    "mutation_inconclusive": "{0} inconclusive (skipped)",
+    "mutation_incomplete": "note: --mutate was incomplete — {0}; a surviving mutant could have been missed",
+    "stability_not_run": "note: --flaky-check did not run ({0}); this verdict is not stability-checked",
+    "stability_inconclusive": "note: --flaky-check reran the suite but every rerun was inconclusive ({0} timed out); flakiness could have been missed",
+    "no_conclusion": "no conclusion",
+}
+# ---- end of fixed values ----
+
+
+def filled(text: str, *values: Column) -> Column:
+    """text with {0}, {1} as columns."""
+    parts = [text]
+    for k, v in enumerate(values):
+        parts = [y for x in parts for y in ([x] if not isinstance(x, str) else [z for i, w in enumerate(x.split(f"{{{k}}}")) for z in ([v.cast("string"), w] if i else [w])])]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
 #: Columns that sentences name; those that a frame lacks count as empty.
 FIELDS = ("flaky", "signals", "first_varied", "varied", "covered_statements", "total", "first_gap", "gaps", "first_survivor", "survivors", "gate_reason")
 
@@ -64,10 +91,12 @@ def uncovered_lists(shown: DataFrame) -> DataFrame:
     return shown.groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(row)), item).alias("uncovered"), F.max("shown").alias("shown"), F.max("total").alias("uncovered_all"))
 
 
+def hint_text(at: Column, excluded: Column) -> Column:
+    return F.when(excluded, filled(EXCLUDED_HINT, at)).otherwise(filled(TEST_HINT, at))
+
+
 def hint(u: Column) -> Column:
-    at = F.concat(u["file"], F.lit(":"), u["line"].cast("string"))
-    text = F.when(u["excluded"], F.concat(at, F.lit(" is excluded from coverage (e.g. `# pragma: no cover`, `if TYPE_CHECKING:`), so no test can exercise it; review this change by hand")))
-    return F.struct(u["file"].alias("file"), text.otherwise(F.concat(F.lit("add a test exercising "), at)).alias("hint"))
+    return F.struct(u["file"].alias("file"), hint_text(F.concat(u["file"], F.lit(":"), u["line"].cast("string")), F.coalesce(u["excluded"], F.lit(False))).alias("hint"))
 
 
 def verdict_report(fused: DataFrame, files: DataFrame, shown: DataFrame, hints: int = 50) -> DataFrame:
@@ -110,6 +139,20 @@ def _preview(names: Column) -> Column:
     return F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.when(F.size(names) > 3, ", ...").otherwise(""))
 
 
+def notes() -> Column:
+    """Notes about what a verdict rests on, in their order, over columns scope, signals, source, flaky_tests, mutation (ran, skipped,
+    tested, all: how many there were beyond the budget, inconclusive) and stability (ran, skipped, varied, runs, inconclusive);
+    mutation and stability are NULL where they weren't asked for."""
+    n = {k: (lambda *v, t=t: filled(t, *v)) for k, t in NOTES.items()}
+    signals, flaky, m, s = F.array_join("signals", "; "), F.col("flaky_tests"), F.col("mutation"), F.col("stability")
+    why = lambda x: F.coalesce(x["skipped"], F.lit(NOTES["no_conclusion"]))
+    scope = F.when(F.col("scope") == "narrowed", n["narrowed"](signals)).when((F.col("scope") == "unknown") & (F.col("source") == "override"), n["unknown_scope"](F.when(signals != "", F.concat(F.lit(" ("), signals, F.lit(")"))).otherwise("")))
+    parts = F.array_compact(F.array(F.when(m["all"].isNotNull(), n["mutation_budget"](m["tested"], m["all"])), F.when(m["inconclusive"] > 0, n["mutation_inconclusive"](m["inconclusive"]))))
+    mutation = F.when(~m["ran"], n["mutation_not_run"](why(m))).when(m["tested"] == 0, n["nothing_to_mutate"]()).when(F.size(parts) > 0, n["mutation_incomplete"](F.array_join(parts, "; ")))
+    stability = F.when(~s["ran"], n["stability_not_run"](why(s))).when((s["varied"] == 0) & (s["runs"] == 0) & (s["inconclusive"] > 0), n["stability_inconclusive"](s["inconclusive"]))
+    return F.array_compact(F.array(scope, F.when(F.size(flaky) > 0, n["flaky"](F.size(flaky), _preview(flaky))), mutation, stability))
+
+
 def as_text(reports: DataFrame) -> DataFrame:
     """change_id and text: the verdict's line, then what is uncovered, then notes in a fixed order."""
     u, cut = F.col("coverage.uncovered"), F.col("coverage.uncoveredTruncated")

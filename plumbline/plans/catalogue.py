@@ -323,13 +323,14 @@ def diff_entry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, base, e = evidence.diffs(spark, sf_dir), evidence.bases(spark, sf_dir), _entries(spark, sf_dir)
-    flags, hunks = diffs.entry_flags(e), diffs.hunks(e)
+    raw, base = _kept(evidence.diffs(spark, sf_dir), "diffs"), _kept(evidence.bases(spark, sf_dir), "bases")  # several branches read them
+    e = _kept(diffs.entries(diffs.diff_lines(raw)), "diff-entries")
+    flags, hunks = diffs.entry_flags(e), _kept(diffs.hunks(e), "diff-hunks")
     return diffs.refusal(raw, flags, hunks, diffs.entry_errors(flags, hunks, base, placement.placed(hunks, base)))
 
 
 def hunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = placement.placed(diffs.hunks(_entries(spark, sf_dir)), evidence.bases(spark, sf_dir))
+    found = placement.placed(_kept(diffs.hunks(_entries(spark, sf_dir)), "diff-hunks"), evidence.bases(spark, sf_dir))
     shown = F.array_join(F.transform("at_lines", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
     return found.select("path", "applies", shown.alias("at_lines"))
 
@@ -510,27 +511,69 @@ def edits_or_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.chosen_edits(given, parsed)
 
 
-#: Variables that a suite must not see, and endings that mark a credential.
-DENIED = (
-    "GITHUB_TOKEN", "GH_TOKEN", "NPM_TOKEN", "NODE_AUTH_TOKEN", "AWS_ACCESS_KEY_ID",
-    "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN", "PYPI_API_TOKEN", "TWINE_PASSWORD", "DOCKER_PASSWORD",
-    "SLACK_TOKEN", "OPENAI_API_KEY", "ANTHROPIC_API_KEY",
-)
-DENIED_ENDINGS = ("_TOKEN", "_SECRET", "_API_KEY", "_PASSWORD", "_CREDENTIALS")
-
-
-def kept_variable(name: Column) -> Column:
-    ends = F.lit(False)
-    for x in DENIED_ENDINGS:
-        ends = ends | name.endswith(x)
-    return ~(name.isin(*DENIED) | ends)
-
-
 def env_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.explode(F.array(*[F.lit(x) for x in ("_TOKEN", "_TOKENIZER", "_API_KEY", "_HOME", "_SECRET")]))
     names = table(spark, sf_dir, "nation").select(F.upper(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("n"), ends.alias("e"))
     names = names.select(F.concat("n", "e").alias("name"))
-    return names.select("name", kept_variable(F.col("name")).alias("kept"))
+    return names.select("name", intake.kept_variable(F.col("name")).alias("kept"))
+
+
+def environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' environments, a map each, without what a suite must not see, and the end of what the run said."""
+    e = table(spark, sf_dir, "events")
+    k, user = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    env = F.create_map(F.concat(F.lit("K"), k), k, F.concat(F.lit("U"), user, F.when(F.col("event_id") % 2 == 0, "_SECRET").otherwise("_SECRETS")), user, F.lit("GITHUB_TOKEN"), F.col("event_type"), F.lit("HOME"), F.lit("/home"))
+    long_ = F.concat(F.repeat(F.lit("é"), (F.col("event_id") % 5000).cast("int")), F.lit("<"), user, F.lit(">"))
+    kept = F.array_sort(F.map_keys(intake.kept_environment(env)))
+    return e.select("event_id", F.array_join(kept, ",").alias("kept"), intake.output_tail(long_, F.when(F.col("event_id") % 3 == 0, F.col("event_type"))).alias("tail"))
+
+
+def mutant_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutants and the runs of their places, some without a run and some with several."""
+    place = ["l_orderkey", "l_linenumber", "l_partkey"]
+    m = _mutants(spark, sf_dir)
+    results = m.filter("l_partkey % 7 <> 0").select(*place, "outcome").unionByName(m.filter("l_partkey % 3 = 0").select(*place, F.lit("survived").alias("outcome")))
+    found = deepchecks.outcomes(m.drop("outcome"), results, place)
+    return found.groupBy("l_orderkey").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("killed", "survived", "inconclusive")])
+
+
+def stability_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What varied in each suite's reruns: tests, or runs with their seeds."""
+    e = _attempts(spark, sf_dir).select(F.expr("event_id div 5").alias("suite"), (F.col("event_id") % 5).alias("run_no"), (F.col("event_type") == "signup").alias("timed_out"), "exit_code", F.col("user_id").alias("seed"), "event_type", "event_id")
+    ids = e.filter("event_type = 'error' and event_id % 2 = 0").select("suite", "run_no", F.concat(F.lit("t"), F.col("seed") % 9).alias("test_id"))
+    found = deepchecks.varied_outcomes(e.select("suite", "run_no", "timed_out", "exit_code", "seed"), ids, ["suite"])
+    return found.groupBy("suite").agg(F.array_join(F.array_sort(F.collect_list("test_id")), ", ").alias("varied"))
+
+
+def command_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of runs, some without leave to ask and some whose input can't be taken."""
+    k = F.col("o_orderkey")
+    fused = fusion.fuse(fusion.masked_gates(_gates(spark, sf_dir)))
+    code = fusion.exit_code(F.when(k % 37 == 0, "no such diff"), F.when(k % 43 != 0, k % 41 != 0))
+    return fused.select("o_orderkey", code.alias("exit_code"))
+
+
+def language_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of both languages for the files of a host; files of others have no gate."""
+    p = _pages(spark, sf_dir).withColumn("language", paths.language(F.col("path"))).filter("language is not null")
+    reason = F.when(F.length("html") % 3 != 0, F.concat(F.lit("bad "), "path"))
+    return fusion.by_language(p.select("host", "language", reason.alias("reason")), ["host"], 2)
+
+
+def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reports: the notes about scope, flaky tests, mutants and reruns."""
+    k = F.col("o_orderkey")
+    names = F.transform(F.sequence(F.lit(1), (k % 5).cast("int")), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.element_at(F.array(F.lit("full"), F.lit("narrowed"), F.lit("unknown")), (k % 3 + 1).cast("int")).alias("scope"),
+        F.when(k % 2 == 0, F.array(F.lit("-k"), F.lit("a b"))).otherwise(F.array().cast("array<string>")).alias("signals"),
+        F.when(k % 7 < 4, "override").otherwise("detected").alias("source"),
+        F.when(k % 5 > 0, names).otherwise(F.array().cast("array<string>")).alias("flaky_tests"),
+        F.when(k % 11 != 0, F.struct((k % 13 != 0).alias("ran"), F.when(k % 2 == 0, "no tests").alias("skipped"), (k % 4).alias("tested"), F.when(k % 6 == 0, k % 4 + 9).alias("all"), (k % 8).alias("inconclusive"))).alias("mutation"),
+        F.when(k % 17 != 0, F.struct((k % 19 != 0).alias("ran"), F.lit(None).cast("string").alias("skipped"), (k % 3).alias("varied"), (k % 2).alias("runs"), (k % 5).alias("inconclusive"))).alias("stability"),
+    )
+    return df.select("o_orderkey", F.array_join(report.notes(), "\n").alias("notes"))
 
 
 def runner_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,7 +636,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         uncovered_fair_share, missing_test_hints, unmeasured_files, python_only_gate, imports_introduced, import_reasons_capped, failure_ids_from_log, new_failures, failure_blocks,
         last_attempt, tests_gate_decision, stability_varied, mutation_summary, mutant_budget, mutant_splice, first_failed_gate, fuse_full, reason_precedence, test_file_flag,
         normalise_path, diff_entry_flags, diff_refusal, hunk_places, hunk_new_lines, diff_files, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
-        walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff, path_containment, unresolved_imports, console_script, gated_checks, coverage_damaged,
+        walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff, path_containment, unresolved_imports, console_script, gated_checks, coverage_damaged, environments, mutant_outcomes, stability_outcomes, command_exit, language_gates, report_notes,
         scope_of_command, coverage_plan, python_syntax, python_extents, python_mutants, python_imports, apply_diff, changed_lines,
     )
 }

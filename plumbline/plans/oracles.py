@@ -357,6 +357,34 @@ SELECT host, CASE WHEN NOT coalesce(last > third, false) THEN coalesce(array_to_
 , k AS (SELECT *, doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0 OR doc_id % 41 = 0 AS damaged FROM l)
 SELECT path, line, CASE WHEN (doc_id * 17 + line * 7) % 11 <> 0 THEN 'executed' WHEN (doc_id * 5 + line * 3) % 4 = 0 THEN 'excluded' ELSE 'missing' END AS status FROM k WHERE NOT damaged
 UNION ALL SELECT DISTINCT path, NULL::INT, 'unknown' FROM k WHERE damaged""",
+    "environments": """
+WITH e AS (
+  SELECT event_id, json_extract_string(props, '$.k') AS k, user_id, repeat('é', (event_id % 5000)::INT) || '<' || user_id || '>' || chr(10) || CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS said FROM events)
+SELECT event_id, array_to_string(list_sort(list_concat(['HOME', 'K' || k], CASE WHEN event_id % 2 = 0 THEN [] ELSE ['U' || user_id || '_SECRETS'] END)), ',') AS kept, right(said, 4000) AS tail FROM e""",
+    "mutant_outcomes": MUTANTS + """
+, w AS (SELECT l_orderkey, l_linenumber, l_partkey, bool_or(outcome = 'survived' AND l_partkey % 7 <> 0) OR l_partkey % 3 = 0 AS s, bool_or(outcome = 'inconclusive') AS i FROM m GROUP BY l_orderkey, l_linenumber, l_partkey)
+SELECT m.l_orderkey, count(*) FILTER (NOT s AND NOT i AND m.l_partkey % 7 <> 0) AS killed, count(*) FILTER (s) AS survived, count(*) FILTER (NOT s AND (i OR m.l_partkey % 7 = 0)) AS inconclusive
+FROM m JOIN w ON m.l_orderkey = w.l_orderkey AND m.l_linenumber = w.l_linenumber AND m.l_partkey = w.l_partkey GROUP BY m.l_orderkey""",
+    "stability_outcomes": RUNS + """
+SELECT event_id // 5 AS suite, array_to_string(list_sort(list(DISTINCT CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 't' || (user_id % 9) ELSE 'run ' || (event_id % 5) || ' (seed ' || user_id || ')' END)), ', ') AS varied
+FROM e WHERE code = 1 GROUP BY 1""",
+    "command_exit": FUSED + "SELECT o_orderkey, CASE WHEN o_orderkey % 43 = 0 OR o_orderkey % 41 = 0 THEN 7 WHEN o_orderkey % 37 = 0 THEN 2 WHEN verdict = 'UNSAFE' THEN 1 ELSE 0 END AS exit_code FROM v",
+    "language_gates": PAGES + """
+, g AS (SELECT host, CASE WHEN path LIKE '%.py' THEN 1 ELSE 2 END AS o, CASE WHEN length(html) % 3 <> 0 THEN 'bad ' || path END AS r FROM f WHERE regexp_matches(path, '\\.(py|ts|tsx|js|jsx)$')),
+x AS (SELECT host, coalesce(list_transform(list_sort(list(DISTINCT {'o': o, 'r': r}) FILTER (r IS NOT NULL)), lambda v: v.r), []) AS x FROM g GROUP BY host)
+SELECT host, len(x) = 0 AS passed, x[1] AS reason, array_to_string(x[1:2], '; ') || CASE WHEN len(x) > 2 THEN ' and ' || (len(x) - 2) || ' more' ELSE '' END AS reasons FROM x""",
+    "report_notes": """
+WITH k AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN '-k; a b' ELSE '' END AS sg FROM orders),
+n AS (
+  SELECT o_orderkey, CASE WHEN k % 3 = 1 THEN '  note: the test command narrowed the suite (' || sg || '), so this run cannot be SAFE. Re-run without the filter to get a verdict on the whole suite.'
+           WHEN k % 3 = 2 AND k % 7 < 4 THEN '  note: could not determine whether the test command runs the whole suite' || CASE WHEN sg <> '' THEN ' (' || sg || ')' ELSE '' END || '; the verdict assumes it does.' END AS a,
+         CASE WHEN k % 5 > 0 THEN 'note: ' || (k % 5) || ' test(s) flipped on retry and were treated as flaky: ' || ['t1', 't1, t2', 't1, t2, t3', 't1, t2, t3, ...'][(k % 5)::INT] END AS b,
+         CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN 'note: --mutate did not run (' || CASE WHEN k % 2 = 0 THEN 'no tests' ELSE 'no conclusion' END || '); this verdict is not mutation-checked'
+              WHEN k % 4 = 0 THEN 'note: --mutate found no mutable operators or constants in the changed statements; nothing to check'
+              WHEN k % 6 = 0 OR k % 8 > 0 THEN 'note: --mutate was incomplete — ' || concat_ws('; ', CASE WHEN k % 6 = 0 THEN 'only ' || (k % 4) || ' of ' || (k % 4 + 9) || ' mutants were run (budget)' END, CASE WHEN k % 8 > 0 THEN (k % 8) || ' inconclusive (skipped)' END) || '; a surviving mutant could have been missed' END AS c,
+         CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN 'note: --flaky-check did not run (no conclusion); this verdict is not stability-checked'
+              WHEN k % 3 = 0 AND k % 2 = 0 AND k % 5 > 0 THEN 'note: --flaky-check reran the suite but every rerun was inconclusive (' || (k % 5) || ' timed out); flakiness could have been missed' END AS d FROM k)
+SELECT o_orderkey, concat_ws(chr(10), a, b, c, d) AS notes FROM n""",
     "unresolved_log": "SELECT event_id AS change_id, 'f' || (event_id % 50) AS path, 'm' || user_id AS module FROM events WHERE event_type = 'error' AND event_id % 13 <> 0",
     "helper_accounting": "SELECT 'c' || (doc_id // 4) AS change_id, 'f' || doc_id AS path, CASE WHEN doc_id % 17 = 3 THEN 'SyntaxError' WHEN doc_id % 23 = 4 THEN 'no answer' END AS error FROM documents WHERE text IS NOT NULL",
     "coverage_availability": DOCS + """
