@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import bbpe, langid, mixing, ngram_join, quality
 from plumbline.llm.common import stored, table
 
+#: Half of a text in one language, which fits much better than all others, has this score.
+LEAST_SCORE = 0.5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a learned rule go."""
@@ -21,10 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language is undetermined, go."""
+    """Documents of which no language can be told go: those without a letter, and those whose score, the share of letters in the
+    language that most words were labelled with times how much better it fits than the next, is below LEAST_SCORE."""
     model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model, names=("_lang_pred", "_lang_score"))
-    return found.filter(F.col("_lang_pred") != "und").select(*docs.columns)
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
