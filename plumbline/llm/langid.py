@@ -65,6 +65,8 @@ SCRIPTS = (
     ("hangul", ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF))),
 )
 FEATURES = len(LENGTHS) * TABLE
+#: Floats that paths through chunks take at a time.
+PATHS = 1 << 24
 
 
 @lru_cache(1)
@@ -175,23 +177,34 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.
     s = np.zeros((CHUNK, total, states), np.float32)
     s[col, block] = scores
     used = np.bincount(block, minlength=total)
-    # best path through a chunk: from the state before it, to the state at its end
-    m = np.where(np.eye(states, dtype=bool), 0, -switch).astype(np.float32)[None] + s[0][:, None, :]
-    for t in range(1, CHUNK):
-        live = (t < used)[:, None, None]
-        m = np.where(live, np.maximum(m, m.max(2, keepdims=True) - switch) + s[t][:, None, :], m)
-    # each text from chunk to chunk
+    # each text from chunk to chunk; the best path through a chunk, from the state before it to the state at its end, is
+    # worked out for some chunks at a time, as it takes the square of the states
     come = np.zeros((total, states), np.float32)
     order = np.argsort(-chunks, kind="stable")
     fewer = -chunks[order]
+    number = np.arange(total) - np.repeat(first, chunks)
     v = np.zeros((len(ends), states), np.float32)
-    for k in range(int(chunks.max())):
-        act = order[: np.searchsorted(fewer, -k, "left")]
-        come[first[act] + k] = v[act]
-        v[act] = (v[act][:, :, None] + m[first[act] + k]).max(1)
-        v[act] -= v[act].max(1, keepdims=True)
+    low = 0
+    waiting = np.cumsum(np.bincount(number))
+    while low < len(waiting):
+        done = waiting[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(waiting, done + PATHS // states**2, "right")))
+        some = np.flatnonzero((number >= low) & (number < high))
+        place = np.zeros(total, np.int64)
+        place[some] = np.arange(len(some))
+        own_scores = s[:, some]
+        m = np.where(np.eye(states, dtype=bool), 0, -switch).astype(np.float32)[None] + own_scores[0][:, None, :]
+        for t in range(1, CHUNK):
+            live = (t < used[some])[:, None, None]
+            m = np.where(live, np.maximum(m, m.max(2, keepdims=True) - switch) + own_scores[t][:, None, :], m)
+        for k in range(low, high):
+            act = order[: np.searchsorted(fewer, -k, "left")]
+            come[first[act] + k] = v[act]
+            v[act] = (v[act][:, :, None] + m[place[first[act] + k]]).max(1)
+            v[act] -= v[act].max(1, keepdims=True)
+        low = high
     # inside the chunks, with the best state before each word
-    back = np.zeros((CHUNK, total, states), np.uint8)
+    back = np.zeros((CHUNK, total, states), np.uint16)
     own = np.arange(states)
     x = come
     for t in range(CHUNK):
@@ -202,7 +215,7 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.
         x = np.where((t < used)[:, None], nxt, x)
     final = x
     # from the end of each text backwards
-    label = np.zeros((CHUNK, total), np.uint8)
+    label = np.zeros((CHUNK, total), np.uint16)
     lead = np.tile(own, (total, 1))  # the state before a chunk, for each state at its end
     rows = np.arange(total)[:, None]
     for t in range(CHUNK - 1, -1, -1):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, release, ship, small, stored
+from .common import crc_of_id, discard, release, ship, small, stored
 
 CLOSED, CLASSES, UNITS = 2_000, 45, 24
 #: Words whose counts tasks hold, some 20 MB; the others meet theirs in a join.
@@ -459,18 +459,31 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _copies([(shard, n, weights)])
 
 
+def deal(docs: DataFrame, shards: int) -> DataFrame:
+    """docs (doc_id, text) in shards, one a partition: by a hash of the row and its number, so that equal rows are spread too."""
+    hashed = docs.select(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("_h"), F.col("text").cast("string").alias("text"))
+    return hashed.repartition(shards, "_h").sortWithinPartitions("_h").select(F.spark_partition_id().alias("shard"), "text")
+
+
+def summed(copies: DataFrame) -> tuple[int, np.ndarray | None]:
+    """Tokens and weights of copies (COPIES, stored), summed in rounds of SUMMED until one row is left, which the driver reads."""
+    step = 1
+    while (left := copies.count()) > 1:
+        step *= SUMMED
+        groups = copies.repartition(-(-left // SUMMED), F.floor(F.col("shard") / step)).sortWithinPartitions("shard")
+        once = stored(groups.mapInArrow(lambda it: release(_summed(it)), COPIES), "lm-sums")
+        discard(copies)
+        copies = once
+    r = copies.first()
+    discard(copies)
+    return (r["n"], np.frombuffer(r["weights"], np.float64)) if r else (0, None)
+
+
 def learn_all(docs: DataFrame, network: Network, closed: dict[bytes, int], end: int, total: int) -> int:
     """Trains the network on all of docs (doc_id, text), in shards on executors. Returns the tokens learned from."""
     held = docs.sparkSession.sparkContext.broadcast((network, closed, end))
-    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), F.col("text").cast("string").alias("text"))
-    dealt = hashed.repartition(max(1, -(-total // SHARD_TOKENS)), "_h").sortWithinPartitions("_h").select(F.spark_partition_id().alias("shard"), "text")
-    copies = stored(dealt.mapInArrow(lambda it: release(_train(it, *held.value)), COPIES), "lm-copies")
-    groups = -(-copies.count() // SUMMED)
-    sums = copies.repartition(max(1, groups), F.floor(F.col("shard") / SUMMED)).sortWithinPartitions("shard")
-    sums = stored(sums.mapInArrow(lambda it: release(_summed(it)), COPIES), "lm-sums")
-    n, weights = 0, 0.0
-    for r in sums.orderBy("shard").toLocalIterator():  # one of SUMMED copies
-        n, weights = n + r["n"], weights + np.frombuffer(r["weights"], np.float64)
+    dealt = deal(docs, max(1, -(-total // SHARD_TOKENS)))
+    n, weights = summed(stored(dealt.mapInArrow(lambda it: release(_train(it, *held.value)), COPIES), "lm-copies"))
     if n:
         network.put(weights / n)
     return n

@@ -324,11 +324,16 @@ def test_hash_is_perfect_and_minimal():
 # ---- language ID ----
 
 
-def test_viterbi_is_exact():
+@pytest.mark.parametrize(("states", "paths"), [(3, 1 << 24), (3, 20), (300, 1 << 24), (300, 1 << 17)])
+def test_viterbi_is_exact(monkeypatch, states, paths):
+    monkeypatch.setattr(langid, "PATHS", paths)
     rng = np.random.default_rng(2)
     for sizes in ([1], [1, 2, 3], [31, 32, 33], [100, 1, 64, 65]):
         ends = np.cumsum(sizes)
-        s = rng.normal(size=(ends[-1], 3)) * 4
+        s = rng.normal(size=(ends[-1], states)) * 4
+        s[:, -1] += 30  # the last state is the best one
+        assert set(langid.viterbi(s, ends).tolist()) == {states - 1}
+        s[:, -1] -= 30
         labels = langid.viterbi(s, ends)
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
             v = s[a]
@@ -338,6 +343,25 @@ def test_viterbi_is_exact():
             assert mine == pytest.approx(v.max(), abs=1e-2)
 
 
+def test_equal_rows_are_spread_over_shards(spark):
+    rows = spark.range(7_999).select(F.when(F.col("id") < 4_000, 0).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4_000, "the same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    sizes = [r["count"] for r in lm.deal(rows, 12).groupBy("shard").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_copies_are_summed_in_rounds(monkeypatch, spark):
+    from plumbline.llm.common import stored
+
+    monkeypatch.setattr(lm, "SUMMED", 3)
+    rng = np.random.default_rng(1)
+    for many in (0, 1, 3, 29):
+        rows = [(k, int(rng.integers(1, 9)), rng.normal(size=5)) for k in range(many)]
+        copies = stored(spark.createDataFrame([(k, n, w.tobytes()) for k, n, w in rows], lm.COPIES), "t")
+        n, weights = lm.summed(copies)
+        assert n == sum(r[1] for r in rows)
+        assert weights is None if not many else np.allclose(weights, sum(r[2] for r in rows))
+
+
 def test_language_spans(spark, docs, rows, empty):
     english = "the quick brown fox jumps over the lazy dog and then they went with that thing"
     german = "der schnelle braune fuchs springt über den faulen hund und dann gingen sie nicht"

@@ -24,7 +24,7 @@ def test_stages(spark, sf_dir):
     judged = quality.judge(out[0], table(spark, sf_dir, "labels"))
     assert ids(out[1]) == ids(judged.filter("kept")) and out[1].count() < out[0].count()
     model = langid.learn(out[1].filter(~langid.held_out(out[1].doc_id)))
-    assert ids(out[2]) == ids(langid.predict(out[1], model).filter("lang_pred <> 'und'"))
+    assert ids(out[2]) == ids(langid.predict(out[1], model).filter(f"lang_pred <> 'und' and score >= {c.LEAST_SCORE}"))
     found = ngram_join.Join(out[2]).run()
     assert ids(out[3]) == ids(found.filter("doc_id = component_id"))
     took = {r.doc_id: r.taken // r.size for r in mixing.mix(out[3]).collect() if r.taken}
@@ -48,3 +48,16 @@ def test_stage_on_odd_rows(spark, sf_dir, name):
     if name != c.STAGES[-1][0]:
         assert out.columns == docs.columns and all(tuple(r) in rows for r in got)
     assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+
+
+def test_language_stage_rejects_mixed_texts(spark, sf_dir):
+    """Texts of equal parts of four languages go, clean ones of each language stay."""
+    docs = table(spark, sf_dir, "documents")
+    by = {}
+    for r in docs.filter("n_chars > 600").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r)
+    mixed = [(100_000 + k, "\n".join(x[k].text[:500] for x in by.values()), None, "a", 2000) for k in range(5)]
+    both = docs.unionByName(spark.createDataFrame(mixed, docs.schema))
+    kept = {r.doc_id for r in c.language_id(spark, both, sf_dir).collect()}
+    clean = {x.doc_id for rows in by.values() for x in rows}
+    assert not kept & {m[0] for m in mixed} and len(clean - kept) <= len(clean) // 50
