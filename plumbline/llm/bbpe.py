@@ -144,16 +144,18 @@ class Tokenizer:
         return out
 
     def _ids(self, run: str) -> tuple[int, ...]:
-        found = [self._piece(p) for p in self.pretokens(run)]
-        return found[0] if len(found) == 1 else tuple(i for x in found for i in x)
+        parts = self.pretokens(run)
+        if len(parts) == 1:  # kept as a run, so not once more as a pre-token
+            return self._piece(parts[0], keep=False)
+        return tuple(i for p in parts for i in self._piece(p))
 
-    def _piece(self, text: str) -> tuple[int, ...]:
+    def _piece(self, text: str, keep: bool = True) -> tuple[int, ...]:
         ids = self.pieces.get(text)
         if ids is None:
             piece = text.encode()
             i = self.whole(piece)
             ids = (i,) if i >= 0 else tuple(self.merge(piece))
-            if len(text) <= MEMO_CHARS:
+            if keep and len(text) <= MEMO_CHARS:
                 if len(self.pieces) >= MEMO_PIECES:
                     self.pieces.clear()
                 self.pieces[text] = ids
@@ -174,6 +176,9 @@ class Tokenizer:
             out += ids
         return out
 
+    def forget(self) -> None:
+        self.memo, self.pieces = {}, {}
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.entry.__getitem__, ids))
 
@@ -224,6 +229,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                 n = pa.array(np.diff(ends), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, k - low), n, lists], names=["doc_id", "n_tokens", "ids"])
                 low, ids, ends = k, array("i"), [0]
+    t.forget()  # other stages of a pipeline go on in this worker
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
