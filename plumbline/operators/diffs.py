@@ -123,14 +123,18 @@ def entry_flags(e: DataFrame) -> DataFrame:
 
 
 def hunks(e: DataFrame) -> DataFrame:
-    """One row for each hunk: its start in the base, the lines it takes from there (replaced), anchored, whether it has context or a
-    removal, and malformed, whether its body isn't what its header counts."""
+    """One row for each hunk: its start in the base, the lines it takes from there (replaced) and puts there (put), open_end, whether a line
+    without newline is the last of those, anchored, whether it has context or a removal, and malformed, whether its body isn't what
+    its header counts."""
     body = lambda *marks: F.col("body") & _begins(*marks)
     blank = F.col("body") & (F.col("line") == "")
-    taken = F.array_sort(F.collect_list(F.when(body(" ", "-") | blank, F.struct("n", F.substring("line", 2, 1 << 30).alias("text")))))
+    lines = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when | blank, F.struct("n", F.substring("line", 2, 1 << 30).alias("text"))))), lambda x: x["text"])
+    ends = F.max(F.when(body(" ", "+", "\\") | blank, F.struct("n", F.startswith("line", F.lit("\\")).alias("open"))))["open"]
     return e.filter("h > 0 and entry > 0").groupBy(*ENTRY, "path", "h").agg(
         F.max("old_start").alias("old_start"),
-        F.transform(taken, lambda x: x["text"]).alias("replaced"),
+        lines(body(" ", "-")).alias("replaced"),
+        lines(body(" ", "+")).alias("put"),
+        F.coalesce(ends, F.lit(False)).alias("open_end"),
         F.bool_or(body(" ", "-")).alias("anchored"),
         ((F.count_if(body(" ", "-") | blank) != F.max("old_n")) | (F.count_if(body(" ", "+") | blank) != F.max("new_n"))).alias("malformed"),
     )

@@ -57,3 +57,24 @@ def placed(hunk_rows: DataFrame, base: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("done"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("at_lines"))
     return rows.withColumn("_s", F.aggregate("_h", begin, step)).select(*ENTRY, "path", F.col("_s.ok").alias("applies"), F.col("_s.at_lines").alias("at_lines"))
+
+
+def applied(hunk_rows: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
+    """ENTRY, path and new_content of entries that apply. found: of `placed`. Files that aren't UTF-8 have none.
+
+    A file is what stands between its hunks and what they put there. Its last newline is the base's, unless the last hunk reaches the end.
+    """
+    rows = hunk_rows.groupBy(*ENTRY, "path").agg(F.array_sort(F.collect_list(F.struct("h", F.size("replaced").alias("k"), "put", "open_end"))).alias("_h"))
+    b = base.select(F.col("change_id").alias("_c"), F.col("path").alias("_p"), "utf8", "content")
+    df = rows.join(found.filter("applies").select(*ENTRY, "at_lines"), ENTRY).join(b, (F.col("change_id") == F.col("_c")) & (F.col("path") == F.col("_p")), "left").filter("utf8 is null or utf8")
+    old = F.coalesce(lines_of(F.col("content")), F.array().cast("array<string>"))
+    df = df.withColumn("_old", old)
+    after = lambda i: F.when(i > 0, F.get("at_lines", i - 1) + F.get("_h", i - 1)["k"]).otherwise(0)
+    between = F.transform("_h", lambda x, i: F.concat(F.slice("_old", after(i) + 1, F.get("at_lines", i) - after(i)), x["put"]))
+    end = after(F.size("_h"))
+    lines = F.concat(F.flatten(between), F.slice("_old", end + 1, F.size("_old")))
+    last = F.element_at("_h", -1)
+    reaches = (end >= F.size("_old")) & ((F.size(last["put"]) > 0) | last["open_end"])
+    newline = F.when(reaches, ~last["open_end"]).otherwise(F.coalesce(F.endswith("content", F.lit("\n")), F.lit(True)))
+    text = F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(lines, "\n"), F.when(newline, "\n").otherwise("")))
+    return df.select(*ENTRY, "path", text.alias("new_content"))

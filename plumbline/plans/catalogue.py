@@ -335,6 +335,14 @@ def hunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "applies", shown.alias("at_lines"))
 
 
+def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that diffs make of their bases, where they apply."""
+    base = _kept(evidence.bases(spark, sf_dir), "bases")
+    hunks = _kept(diffs.hunks(_entries(spark, sf_dir)), "diff-hunks")
+    made = placement.applied(hunks, base, placement.placed(hunks, base))
+    return made.select("path", F.length("new_content").alias("size"), F.md5("new_content").alias("digest"))
+
+
 def hunk_new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.new_lines(_entries(spark, sf_dir)).select("path", "line")
 
@@ -635,7 +643,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         change_verdict, explode_lines, statement_runs, owner_of_changed_line, first_seen_statement, attribution_by_file, coverage_rule, nothing_to_attest, partial_branch_gate,
         uncovered_fair_share, missing_test_hints, unmeasured_files, python_only_gate, imports_introduced, import_reasons_capped, failure_ids_from_log, new_failures, failure_blocks,
         last_attempt, tests_gate_decision, stability_varied, mutation_summary, mutant_budget, mutant_splice, first_failed_gate, fuse_full, reason_precedence, test_file_flag,
-        normalise_path, diff_entry_flags, diff_refusal, hunk_places, hunk_new_lines, diff_files, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
+        normalise_path, diff_entry_flags, diff_refusal, hunk_places, applied_edits, hunk_new_lines, diff_files, coverage_json_sets, innermost_interval, outside_testpaths, env_kept, runner_choice, exit_code, report_json, report_text, report_reason,
         walked_tests, unresolved_log, helper_accounting, coverage_availability, edits_or_diff, path_containment, unresolved_imports, console_script, gated_checks, coverage_damaged, environments, mutant_outcomes, stability_outcomes, command_exit, language_gates, report_notes,
         scope_of_command, coverage_plan, python_syntax, python_extents, python_mutants, python_imports, apply_diff, changed_lines,
     )

@@ -305,6 +305,15 @@ SELECT change_id, CASE WHEN bool_or(malformed) THEN 'MALFORMED' WHEN bool_or(del
        WHEN count(own) > 0 THEN arg_min(own, n) FILTER (own IS NOT NULL) WHEN bool_or(is_binary) AND NOT bool_or(has_hunks) THEN 'BINARY_ONLY' WHEN bool_or(is_binary) THEN 'BINARY_MIXED'
        WHEN NOT bool_or(has_hunks) THEN 'NO_EDITS' END AS error_code FROM f GROUP BY change_id""",
     "hunk_places": DIFFS + "SELECT path, applies, at_lines FROM q WHERE has_hunks",
+    "applied_edits": DIFFS + """
+, w AS (
+  SELECT *, CASE WHEN text IS NULL THEN ['new', 'file'] WHEN loose THEN list_concat(list_append(nb[1:s - 1], 'added'), nb[s:])
+         ELSE list_concat(nb[1:at1 - 1], list_concat(list_concat(CASE WHEN lead = 1 THEN [ls[s - 1]] ELSE [] END, [CASE WHEN n % 10 = 1 THEN '++ b/q' ELSE 'new ' || x END, 'added']),
+              list_concat(CASE WHEN s < m THEN [ls[s + 1]] ELSE [] END, CASE WHEN more THEN list_concat(nb[at1 + k:at2 - 1], list_concat([ls[s + 5], 'eleven'], nb[at2 + 1:])) ELSE nb[at1 + k:] END))) END AS made,
+         CASE WHEN text IS NULL THEN true WHEN more AND at2 >= m THEN false WHEN usual AND NOT more AND at1 + k > m THEN true ELSE suffix(text, chr(10)) END AS newline
+  FROM q WHERE has_hunks AND applies AND (text IS NULL OR readable)),
+c AS (SELECT path, array_to_string(made, chr(10)) || CASE WHEN newline THEN chr(10) ELSE '' END AS t FROM w)
+SELECT path, length(t)::INT AS size, md5(t) AS digest FROM c""",
     "hunk_new_lines": DIFFS + "SELECT path, line FROM added",
     "diff_files": DIFFS + "SELECT ((n // 4) % 8)::INT AS bundle, path, line FROM added WHERE (n // 4) % 53 <> 0",
     "coverage_json_sets": DOCS + """

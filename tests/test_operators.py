@@ -354,6 +354,34 @@ def test_hunks_are_placed_like_a_loop(spark):
     assert {None, "NOT_APPLIED"} == set(want.values())
 
 
+def test_applied_like_one_after_the_other(spark):
+    """Random edits of random files, with and without a newline at the end, against a plain application of each hunk."""
+    from plumbline.functions import patches
+
+    rng, raw, base, want = random.Random(3), [], [], {}
+    for c in range(60):
+        lines = [f"l{rng.randrange(1000)}" for _ in range(rng.randint(0, 20))]
+        text, at, patch = "\n".join(lines) + (rng.choice(("", "\n")) if lines else ""), 0, ""
+        absent = c % 9 == 0
+        if absent:
+            patch = "@@ -0,0 +1,2 @@\n+a\n+b\n" + ("\\ No newline at end of file\n" if c % 2 else "")
+        while not absent and at < len(lines):
+            at = min(at + rng.randint(0, 5), len(lines) - 1)
+            old = lines[at : at + rng.randint(1, 3)]
+            new = [f"n{rng.randrange(1000)}" for _ in range(rng.randint(0, 3))]
+            patch += f"@@ -{at + 1},{len(old)} +{at + 1},{len(new)} @@\n" + "".join(f"-{x}\n" for x in old) + "".join(f"+{x}\n" for x in new)
+            if at + len(old) == len(lines) and new and rng.random() < 0.5:
+                patch += "\\ No newline at end of file\n"
+            at += len(old) + 1
+        if patch:
+            raw.append((f"c{c}", f"--- a/x\n+++ b/x\n{patch}"))
+            base += [] if absent else [(f"c{c}", "x", True, text)]
+            want[f"c{c}"] = patches.apply(None if absent else text, patch)
+    hunks = diffs.hunks(diffs.entries(diffs.diff_lines(spark.createDataFrame(raw, "change_id string, text string"))))
+    files = spark.createDataFrame(base, BASES)
+    assert {r.change_id: r.new_content for r in placement.applied(hunks, files, placement.placed(hunks, files)).collect()} == want
+
+
 def test_bases_that_are_not_text(spark):
     raw = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "change_id string, text string")
     assert refusals(spark, raw, [("a", "x", False, None)]) == {"a": "NOT_UTF8"}
