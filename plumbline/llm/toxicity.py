@@ -1,20 +1,27 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over words and their first letters, hashed. For every labelled text that has an identity
-term, the term is swapped for others of its group (and for none), and the training loss has a penalty on
-the square of the change of the score's logit, so that a neutral mention of a group doesn't raise it. Terms
-that no labelled text has are swapped into as many labelled texts as PROBES.
+A logistic model over words and their first letters, hashed. In every labelled text that has an identity
+term, all its occurrences are swapped for another term of its group, and for none; the text so made has its own
+features and length, and the training loss has a penalty on the square of the change of the score's logit from
+the text to it, so that a neutral mention of a group doesn't raise the score. A feature that another word of
+the text has too stays, since it is the text that is scored again. Terms that no labelled text has are put at
+the end of as many labelled texts as PROBES, and swapped there.
 
 Learning sees a bounded sample: at most SAMPLE_A_CLASS labelled documents of each class, those with the
 least hash of the id. Spark counts the hashed features by class; those that differ most between the
 classes, and those of the identity terms, are kept. Scoring is one pass over all texts, without a shuffle.
 
 Cases: null and empty texts get the score of no evidence; rows with a null label or id aren't learned from;
-an id labelled more than once counts by its highest label; with one class or none to learn from every score is 0.
+an id labelled more than once counts by its highest label, and one with several texts by the first in order; with
+one class or none to learn from every score is 0. Long texts are whole. Equal texts have equal scores, and each
+of the repeated rows gets its own; a score of exactly THRESHOLD is predicted toxic. An empty table gives
+no rows. Of docs only doc_id and text are read, so columns of other names neither clash nor pass through.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, least_hash, release, ship, stored
+from .common import crc_of_id, discard, least_hash, release, ship, stored
 from .langid import Words, _slices
 
 SAMPLE_A_CLASS = 8_000
@@ -89,8 +96,8 @@ def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield of(w.begin[at], k, k), w.text[at]
 
 
-def distinct(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature) pairs without doubles, sorted by text, and words by text. kept: mask of features."""
+def occurrences(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's number times TABLE, plus the feature, for each feature of each word; and words by text. kept: mask of features."""
     w = Words(texts)
     keys = []
     for f, t in features(w):
@@ -98,26 +105,55 @@ def distinct(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarr
             at = np.flatnonzero(kept[f])
             f, t = f[at], t[at]
         keys.append(t * TABLE + f)
-    key = np.unique(np.concatenate(keys))
-    return key // TABLE, key % TABLE, np.bincount(w.text, minlength=len(texts))
+    return np.concatenate(keys), np.bincount(w.text, minlength=len(texts))
+
 
+def distinct(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature) pairs without doubles, sorted by text, and words by text."""
+    key, n = occurrences(texts, kept)
+    key = np.unique(key)
+    return key // TABLE, key % TABLE, n
 
-def _term_features() -> list[np.ndarray]:
-    text, feature, _ = distinct(terms()[0])
-    return [feature[text == i] for i in range(len(terms()[0]))]
+
+@lru_cache(1)
+def term_features() -> list[Counter]:
+    """For each identity term, its features and how often it has each."""
+    key, _ = occurrences(terms()[0])
+    out = [Counter() for _ in terms()[0]]
+    for k in key.tolist():
+        out[k // TABLE][k % TABLE] += 1
+    return out
 
 
-def found_terms(texts: list[str]) -> list[list[int]]:
-    """The numbers of the identity terms among each text's words, which are runs of letters as in the features."""
+def found_terms(texts: list[str]) -> list[Counter]:
+    """How often each identity term is among each text's words, which are runs of letters as in the features."""
     number = {t: i for i, t in enumerate(terms()[0])}
     known = np.zeros(TABLE, bool)
     known[next(features(Words(terms()[0])))[0]] = True
-    w, out = Words(texts), [set() for _ in texts]
+    w, out = Words(texts), [Counter() for _ in texts]
     for i in np.flatnonzero(known[next(features(w))[0]]).tolist():
         word = w.cp[w.begin[i] : w.begin[i] + w.size[i]].tobytes().decode("utf-32-le")
         if word in number:
-            out[w.text[i]].add(number[word])
-    return [sorted(x) for x in out]
+            out[w.text[i]][number[word]] += 1
+    return out
+
+
+def swapped(own: dict[int, int], term: int, times: int, to: int | None) -> tuple[list[int], list[int]]:
+    """The features that go from a text and those that come when the term, which it has so many times, is swapped
+    for another or for none. own: how often words of the text have each feature."""
+    old, new = term_features()[term], term_features()[to] if to is not None else Counter()
+    return [f for f, k in old.items() if own[f] == k * times and f not in new], [f for f in new if f not in own]
+
+
+def swaps(own: dict[int, int], found: Counter, text: str) -> list[dict]:
+    """Both swaps of each identity term of a text; `words` is how many fewer words the text has after one."""
+    out, pick = [], zlib.crc32(text.encode("utf-8", "replace"))
+    for term, times in sorted(found.items()):
+        others = terms()[1][term]
+        for to in (others[(pick + term) % len(others)], None):
+            gone, come = swapped(own, term, times, to)
+            out.append({"term": term, "to": to, "gone": gone, "come": come, "words": times if to is None else 0})
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +176,19 @@ def _rows(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.Re
         labels = b.column(1).to_pylist()
         low = 0
         for part in _slices(texts):
-            text, feature, n = distinct(part, kept)
-            cuts = np.searchsorted(text, np.arange(len(part) + 1))
+            key, n = occurrences(part, kept)
+            key, times = np.unique(key, return_counts=True)
+            cuts = np.searchsorted(key, np.arange(len(part) + 1) * TABLE)
             for k, found in enumerate(found_terms(part)):
-                out.append((labels[low + k], int(n[k]), feature[cuts[k] : cuts[k + 1]].tolist(), found))
+                feature = (key[cuts[k] : cuts[k + 1]] % TABLE).tolist()
+                own = dict(zip(feature, times[cuts[k] : cuts[k + 1]].tolist(), strict=True)) if found else {}
+                out.append((labels[low + k], int(n[k]), feature, swaps(own, found, part[k])))
             low += len(part)
         if out:
             cols = list(zip(*out, strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["toxic", "n", "features", "terms"])
+            features, swap = pa.list_(pa.int32()), [("term", pa.int32()), ("to", pa.int32()), ("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("words", pa.int64())]
+            kinds = (pa.int32(), pa.int64(), features, pa.list_(pa.struct(swap)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["toxic", "n", "features", "swaps"])
 
 
 class Model:
@@ -165,7 +205,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(toxic: np.ndarray, n: np.ndarray, rows: list[np.ndarray], found: list[list[int]], kept: np.ndarray, fair: float = FAIR) -> Model:
+def changes(n: np.ndarray, rows: list[np.ndarray], swapped_in: list[list[dict]]) -> list[tuple[list[int], list[int], float]]:
+    """What each swap changes in its text: features that go, features that come, and the logarithm of the words by so much less.
+    Terms that no text has are put at the end of some texts first."""
+    size = np.log1p(n)
+    out = [(s["gone"], s["come"], size[i] - np.log1p(n[i] - s["words"])) for i, of in enumerate(swapped_in) for s in of]
+    rng, present = np.random.default_rng(7), {s["term"] for of in swapped_in for s in of}
+    for term in [t for t in range(len(terms()[0])) if t not in present]:
+        for _ in range(max(1, PROBES // len(terms()[0]))):
+            i, to = int(rng.integers(len(rows))), int(rng.choice(terms()[1][term]))
+            own = dict.fromkeys(rows[i].tolist(), 1)
+            a, b = ([f for f in term_features()[t] if f not in own] for t in (term, to))
+            out.append(([f for f in a if f not in b], [f for f in b if f not in a], 0.0))
+            out.append((a, [], np.log1p(n[i] + 1) - size[i]))
+    return out
+
+
+def fit(toxic: np.ndarray, n: np.ndarray, rows: list[np.ndarray], swapped_in: list[list[dict]], kept: np.ndarray, fair: float = FAIR) -> Model:
     """Full-batch Adam on the logistic loss, a ridge and the counterfactual penalty."""
     column = np.full(TABLE, -1, np.int64)
     column[kept] = np.arange(kept.sum())
@@ -173,17 +229,11 @@ def fit(toxic: np.ndarray, n: np.ndarray, rows: list[np.ndarray], found: list[li
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     f = column[np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)]
     size = np.log1p(n)
-    # what a swap changes: features that go (+1) and come (-1)
-    of_term = [column[x] for x in _term_features()]
-    rng, swaps = np.random.default_rng(7), []
-    others = terms()[1]
-    present = {t for x in found for t in x}
-    for t in [t for x in found for t in x] + [t for t in range(len(of_term)) if t not in present for _ in range(max(1, PROBES // len(of_term)))]:
-        to = int(rng.choice(others[t]))
-        swaps += [(t, to), (t, -1)]
-    pair_at = np.repeat(np.arange(len(swaps)), [len(of_term[a]) + (len(of_term[b]) if b >= 0 else 0) for a, b in swaps])
-    pair_f = np.concatenate([np.concatenate([of_term[a], of_term[b] if b >= 0 else np.zeros(0, np.int64)]) for a, b in swaps]).astype(np.int64)
-    sign = np.concatenate([np.concatenate([np.ones(len(of_term[a])), -np.ones(len(of_term[b]) if b >= 0 else 0)]) for a, b in swaps])
+    made = changes(n, rows, swapped_in)
+    pair_at = np.repeat(np.arange(len(made)), [len(a) + len(b) for a, b, _ in made])
+    pair_f = column[np.array([f for a, b, _ in made for f in (*a, *b)], np.int64)]
+    sign = np.array([x for a, b, _ in made for x in (*[1.0] * len(a), *[-1.0] * len(b))])
+    shorter = np.array([x for _, _, x in made])
     w = np.zeros(d)
     rate = toxic.mean()
     weight = np.where(toxic > 0, TOXIC_WEIGHT, 1.0) / len(rows)
@@ -194,8 +244,9 @@ def fit(toxic: np.ndarray, n: np.ndarray, rows: list[np.ndarray], found: list[li
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic) * weight
         g = np.bincount(f, e[at], d)
         g[-2], g[-1] = (e * size).sum(), e.sum()
-        change = np.bincount(pair_at, sign * w[pair_f], len(swaps))
-        g += np.bincount(pair_f, sign * change[pair_at], d) * (2 * fair / len(swaps))
+        change = np.bincount(pair_at, sign * w[pair_f], len(made)) + w[-2] * shorter
+        g += np.bincount(pair_f, sign * change[pair_at], d) * (2 * fair / len(made))
+        g[-2] += (change * shorter).sum() * (2 * fair / len(made))
         g[:-2] += RIDGE * w[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -210,7 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, fair: float = FAIR) -> Model:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("_y"))
     some = least_hash(known, "_y", "doc_id", SAMPLE_A_CLASS).select(F.col("doc_id").alias("_id"), "_y")
     # 2 * SAMPLE_A_CLASS rows of two numbers: a broadcast of bounded size
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", F.col("_y").cast("int").alias("toxic")), "toxic-sample")
+    sampled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    # an id is one row, however often it is repeated
+    sample = stored(sampled.groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").cast("int").alias("toxic")).drop("_id"), "toxic-sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(TABLE), 0.0, 0.0, False)
@@ -223,15 +276,16 @@ def learn(docs: DataFrame, labels: DataFrame, fair: float = FAIR) -> Model:
     best = np.argsort(-z, kind="stable")[:FEATURES]
     kept = np.zeros(TABLE, bool)
     kept[best[z[best] > 0]] = True
-    for x in _term_features():
-        kept[x] = True
+    for x in term_features():
+        kept[list(x)] = True
     held = docs.sparkSession.sparkContext.broadcast(kept)
-    rows = sample.mapInArrow(lambda it: release(_rows(it, held.value)), "toxic int, n long, features array<int>, terms array<int>").toArrow()  # the sample's rows
+    rows = sample.mapInArrow(lambda it: release(_rows(it, held.value)), "toxic int, n long, features array<int>, swaps array<struct<term:int,to:int,gone:array<int>,come:array<int>,words:long>>").toArrow()  # the sample's rows
+    discard(sample)
     return fit(
         rows["toxic"].to_numpy().astype(float),
         rows["n"].to_numpy().astype(float),
         [np.array(x, np.int64) for x in rows["features"].to_pylist()],
-        rows["terms"].to_pylist(),
+        rows["swaps"].to_pylist(),
         kept,
         fair,
     )

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -195,7 +197,70 @@ def test_identity_terms_are_runs_of_letters_in_texts_of_any_length():
     texts = ["Muslims, (women) womenfolk", "no term", None, "x " * (1 << 19) + "Jüdisch.", "man-woman"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0, 1, 0], pa.int32())], names=["text", "toxic"])
     (got,) = toxicity._rows(iter([batch]), np.ones(toxicity.TABLE, bool))
-    assert [{names[i] for i in x} for x in got.column("terms").to_pylist()] == [{"muslims", "women"}, set(), set(), {"jüdisch"}, {"man", "woman"}]
+    assert [{names[s["term"]] for s in x} for x in got.column("swaps").to_pylist()] == [{"muslims", "women"}, set(), set(), {"jüdisch"}, {"man", "woman"}]
+
+
+def letters(t):
+    """The lower-case runs of letters and marks."""
+    return ["".join(g) for is_in, g in itertools.groupby(t.lower(), lambda c: unicodedata.category(c)[0] in "LM") if is_in]
+
+
+def loop_features(t):
+    """Hashed words and beginnings, one number at a time."""
+    out, mask = set(), (1 << 64) - 1
+    for w in letters(t):
+        for k in (0, *[k for k in toxicity.PREFIXES if k < len(w)]):
+            h = sum((ord(c) + 1) * pow(0xD6E8FEB86659FD93, i, 1 << 64) for i, c in enumerate(w[:k] if k else w)) + k & mask
+            h = (h ^ h >> 31) * 0x9FB21C651E98DF25 & mask
+            out.add((h ^ h >> 29) % toxicity.TABLE)
+    return out
+
+
+def test_swaps_are_those_of_the_swapped_text():
+    texts = [
+        "Muslims meet muslim men, and Christians; (Muslims) stay. Women and woman walk.",
+        "muslims",
+        "An old man and old friends oldest of all",
+        "whitest white whites, black-white",
+        "no term",
+        "Jüdisch und jüdischer Witz, jüdisch",
+    ]
+    names = toxicity.terms()[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0, 1, 0, 1], pa.int32())], names=["text", "toxic"])
+    (got,) = toxicity._rows(iter([batch]), np.ones(toxicity.TABLE, bool))
+    made = 0
+    for text, n, features, swaps in zip(texts, *(got.column(c).to_pylist() for c in ("n", "features", "swaps")), strict=True):
+        old = letters(text)
+        assert (n, set(features)) == (len(old), loop_features(text))
+        assert sorted({names[s["term"]] for s in swaps}) == sorted(set(old) & set(names)) and len(swaps) == 2 * len(set(old) & set(names))
+        for s in swaps:
+            new = [names[s["to"]] if w == names[s["term"]] and s["to"] is not None else w for w in old if w != names[s["term"]] or s["to"] is not None]
+            a, b = loop_features(text), loop_features(" ".join(new))
+            assert (set(s["gone"]), set(s["come"]), s["words"]) == (a - b, b - a, len(old) - len(new))
+            made += 1
+    assert made >= 14
+
+
+def test_toxicity_scores_equal_a_loop(spark, docs, rows):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 0.2, toxicity.TABLE) * (rng.random(toxicity.TABLE) < 0.3), -0.1, 0.2, True)
+    few = [r for r in rows if len(r[1] or "") < 10_000]
+    got = toxicity.score(docs.filter("text is null or length(text) < 10000"), model).collect()
+    want = []
+    for i, text, *_ in few:
+        z = 0.2 - 0.1 * math.log1p(len(letters(text or ""))) + sum(model.weights[f] for f in loop_features(text or ""))
+        want.append((i if i is not None else -1, 1 / (1 + math.exp(-z))))
+    key = lambda r: (r[0], r[1])
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.score) for r in got), key=key)
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, sorted(want, key=key), strict=True))
+
+
+def test_toxicity_learns_an_id_once(spark):
+    made = [(k, f"plain words number {k}", 0) for k in range(20)] + [(100 + k, f"vilex words number {k}", 1) for k in range(20)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    labels = frame.select("doc_id", "toxic")
+    once, often = toxicity.learn(frame, labels), toxicity.learn(frame.union(frame.filter("doc_id = 3")).union(frame), labels)
+    assert once.trained and np.allclose(once.weights, often.weights, atol=1e-6) and once.scores(["vilex"])[0] > once.scores(["plain"])[0]
 
 
 # ---- mixing ----
