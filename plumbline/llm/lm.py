@@ -21,12 +21,14 @@ network is uniform; rows with the same id are scored apart; any length of text i
 from __future__ import annotations
 
 import copy
+import ctypes
 import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,44 @@ SHARD_TOKENS, BLOCK_TOKENS, SHARD_LANES, LANE_TOKENS = 3_000_000, 1_000_000, 384
 #: Rate of shards; copies summed in a task.
 SHARD_RATE, SUMMED = 0.004, 64
 #: Documents that step together in scoring, and text worked on at a time.
-SCORE_LANES, SLICE = 384, 6 << 20
-#: Distinct words a counting task holds.
-HELD_WORDS = 400_000
-END = b"\n"
+SCORE_LANES, SLICE = 384, 16 << 20
+END = "\n"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cases A-Z, splits at the six ASCII white-space characters, and adds one end."""
-    out = text.lower().split()
-    out.append(END)
-    return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has: A-Z lower-cased, split at the six ASCII
+    white-space characters. Nulls have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, parents = lists.flatten().cast(pa.string()), pc.list_parent_indices(lists).to_numpy()
+    word = pc.greater(pc.binary_length(flat), 0)  # white space at a text's start or end leaves an empty string there
+    return flat.filter(word), np.bincount(parents[word.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def numbered(texts: pa.Array, known: pa.Array, end: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words of all texts, their places in known or -1 with `end` put after each text, tokens of each text)."""
+    words, sizes = words_of(texts)
+    tokens = sizes + 1
+    out = np.full(int(tokens.sum()), end, np.int32)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(tokens) - 1] = False
+    out[inner] = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+    return words, out, tokens
+
+
+def cut(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+@lru_cache(1)
+def reuse_memory() -> None:
+    """Has this worker keep freed arrays of some megabytes for the next ones, which a window makes and frees by the dozen,
+    rather than ask the system for them each time; `release` gives them back at the task's end."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass
 
 
 class Network:
@@ -75,9 +104,10 @@ class Network:
             word_bias = np.log(held / held.sum(1, keepdims=True))
         self.p = {
             "E": r(n, units),
-            "W": r(units, 3 * units),
-            "U": r(units, 3 * units),
-            "b": np.zeros(3 * units, np.float32),
+            # of the reset gate, the update gate and the candidate: apart, so that each is contiguous
+            "W": r(units, 3, units).transpose(1, 0, 2).copy(),
+            "U": r(units, 3, units).transpose(1, 0, 2).copy(),
+            "b": np.zeros((3, 1, units), np.float32),
             "C": r(units, k) * 0.1,
             "cb": np.log(held.sum(1) / held.sum()).astype(np.float32),
             "O": r(k, units, per) * 0.1,
@@ -86,20 +116,19 @@ class Network:
 
     def cell(self, xz: np.ndarray, h: np.ndarray, new=None, g=None, a=None, c=None) -> np.ndarray:
         """The next state; into new, and the gates, the candidate's part from h and the candidate into g, a and c, if given."""
-        n = self.units
         hz = h @ self.p["U"]
-        g = np.add(xz[:, : 2 * n], hz[:, : 2 * n], out=g)
-        g *= np.float32(0.5)
-        np.tanh(g, out=g)
+        g = np.add(xz[:2], hz[:2], out=g)
+        np.negative(g, out=g)
+        np.exp(g, out=g)  # infinity makes a gate 0
         g += 1
-        g *= np.float32(0.5)
+        np.reciprocal(g, out=g)
         if a is not None:
-            a[...] = hz[:, 2 * n :]
-        c = np.multiply(g[:, :n], hz[:, 2 * n :], out=c)
-        c += xz[:, 2 * n :]
+            a[...] = hz[2]
+        c = np.multiply(g[0], hz[2], out=c)
+        c += xz[2]
         np.tanh(c, out=c)
         new = np.subtract(h, c, out=new)
-        new *= g[:, n:]
+        new *= g[1]
         new += c
         return new
 
@@ -163,8 +192,11 @@ class Network:
     def train(self, docs: list[np.ndarray], end: int, epochs: int = EPOCHS, most: int = LANES, rate: float = RATE, state: dict | None = None) -> None:
         """Truncated backpropagation: gradients stop at a window's start, the state goes on. The optimizer's
         moments are in `state`, for further calls."""
+        with np.errstate(over="ignore"):
+            self._train(docs, end, epochs, most, rate, {} if state is None else state)
+
+    def _train(self, docs: list[np.ndarray], end: int, epochs: int, most: int, rate: float, state: dict) -> None:
         p, n = self.p, self.units
-        state = {} if state is None else state
         if not state:
             state |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(v) for k, v in p.items()}, "rng": np.random.default_rng(11), "step": 0}
         m, v2, rng = state["m"], state["v"], state["rng"]
@@ -178,16 +210,18 @@ class Network:
             y = flat.reshape(lanes, length)
             x = np.concatenate((np.full((lanes, 1), end), y[:, :-1]), 1)
             h = np.zeros((lanes, n), np.float32)
-            kept = [np.empty((WINDOW, lanes, k * n), np.float32) for k in (1, 1, 1, 1, 2, 1, 1, 1, 3, 3)]
+            kept = [np.empty((WINDOW, lanes, n), np.float32) for _ in range(8)]
+            gates, by_part = np.empty((WINDOW, 2, lanes, n), np.float32), np.empty((3, WINDOW, lanes, n), np.float32)
             for t0 in range(0, length, WINDOW):
                 ids = np.ascontiguousarray(x[:, t0 : t0 + WINDOW].T)
                 steps = len(ids)
                 go_on = (ids != end)[:, :, None].astype(np.float32)  # a document begins from a fresh state
-                xz = (p["E"] @ p["W"] + p["b"])[ids]  # there are fewer words than places
-                before, hs, cs, ass, gs, by_c, by_z, by_r, dx, dhz = (b[:steps] for b in kept)
+                xz = (p["E"] @ p["W"] + p["b"])[:, ids]  # there are fewer words than places
+                before, hs, cs, ass, by_c, by_z, by_r, dhc = (b[:steps] for b in kept)
+                gs, dx = gates[:steps], by_part[:, :steps]
                 for t in range(steps):
                     np.multiply(h, go_on[t], out=before[t])
-                    h = self.cell(xz[t], before[t], hs[t], gs[t], ass[t], cs[t])
+                    h = self.cell(xz[:, t], before[t], hs[t], gs[t], ass[t], cs[t])
                 h = h.copy()  # the buffers are filled anew
                 g = {k: np.zeros_like(v) for k, v in p.items()}
                 ok = np.flatnonzero(real[:, t0 : t0 + steps].T.ravel())
@@ -202,7 +236,7 @@ class Network:
                     _, dh_out[ok] = self.log_probs(hs.reshape(-1, n)[ok], targets[ok], g)
                 dh_out = dh_out.reshape(steps, lanes, n)
                 # what a step's gradient is multiplied by, for the candidate, the update gate and the reset gate
-                r, z = gs[:, :, :n], gs[:, :, n:]
+                r, z = gs[:, 0], gs[:, 1]
                 np.subtract(1, z, out=by_c)
                 np.subtract(before, cs, out=by_z)
                 by_z *= z
@@ -214,28 +248,29 @@ class Network:
                 by_r *= r
                 by_r *= ass
                 back = np.zeros((lanes, n), np.float32)
-                up = np.ascontiguousarray(p["U"].T)
+                up = p["U"].transpose(0, 2, 1).copy()
                 for t in range(steps - 1, -1, -1):
                     d = dh_out[t]
                     d += back
-                    dc = np.multiply(d, by_c[t], out=dx[t, :, 2 * n :])
-                    np.multiply(d, by_z[t], out=dx[t, :, n : 2 * n])
-                    np.multiply(dc, by_r[t], out=dx[t, :, :n])
-                    dhz[t, :, : 2 * n] = dx[t, :, : 2 * n]
-                    np.multiply(dc, r[t], out=dhz[t, :, 2 * n :])
-                    back = dhz[t] @ up
+                    dc = np.multiply(d, by_c[t], out=dx[2, t])
+                    np.multiply(d, by_z[t], out=dx[1, t])
+                    np.multiply(dc, by_r[t], out=dx[0, t])
+                    np.multiply(dc, r[t], out=dhc[t])
+                    back = dx[0, t] @ up[0]
+                    back += dx[1, t] @ up[1]
+                    back += dhc[t] @ up[2]
                     d *= z[t]
                     back += d
                     back *= go_on[t]
-                dx, dhz = dx.reshape(-1, 3 * n), dhz.reshape(-1, 3 * n)
-                g["U"] = before.reshape(-1, n).T @ dhz
+                dx, seen = dx.reshape(3, -1, n), before.reshape(-1, n).T
+                g["U"] = np.stack((seen @ dx[0], seen @ dx[1], seen @ dhc.reshape(-1, n)))
                 order = np.argsort(ids.ravel().astype(np.uint16 if self.words <= 1 << 16 else np.int64), kind="stable")
                 sorted_ids = ids.ravel()[order]
                 cuts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-                words, by_word = sorted_ids[cuts], np.add.reduceat(dx[order], cuts, axis=0)
+                words, by_word = sorted_ids[cuts], np.add.reduceat(dx[:, order], cuts, axis=1)
                 g["W"] = p["E"][words].T @ by_word
-                g["b"] = by_word.sum(0)
-                g["E"][words] = by_word @ p["W"].T
+                g["b"] = by_word.sum(1, keepdims=True)
+                g["E"][words] = (by_word @ p["W"].transpose(0, 2, 1)).sum(0)
                 state["step"] = step = state["step"] + 1
                 norm = math.sqrt(sum(float(np.vdot(a, a)) for a in g.values())) * float(size)
                 scale = size * np.float32(min(1.0, CLIP / max(norm, 1e-9)))
@@ -296,67 +331,70 @@ class Network:
                 owner[at : at + n, k] = i
                 at += n
         inputs = self.p["E"] @ self.p["W"] + self.p["b"]
-        alive = lanes - np.searchsorted(ends[::-1], np.arange(length), "right")
+        alive = (lanes - np.searchsorted(ends[::-1], np.arange(length), "right")).tolist()
         out = np.zeros(len(docs))
         h = np.zeros((lanes, self.units), np.float32)
+        begins, lane = np.nonzero(x == end)  # here documents begin, each from a fresh state
+        first = np.searchsorted(begins, np.arange(length + 1)).tolist()
         window = max(1, 12_000 // lanes)
-        for t0 in range(0, length, window):
-            hs, ys, os_ = [], [], []
-            for t in range(t0, min(t0 + window, length)):
-                a = int(alive[t])
-                xt = x[t, :a]
-                fresh = np.where((xt == end)[:, None], np.float32(0), h[:a])
-                h = self.cell(inputs[xt], fresh)
-                hs.append(h)
-                ys.append(y[t, :a])
-                os_.append(owner[t, :a])
-            logs, _ = self.log_probs(np.concatenate(hs), np.concatenate(ys))
-            out += np.bincount(np.concatenate(os_), logs, len(docs))
+        with np.errstate(over="ignore"):
+            for t0 in range(0, length, window):
+                hs, ys, os_ = [], [], []
+                for t in range(t0, min(t0 + window, length)):
+                    a = alive[t]
+                    h = h[:a]
+                    if first[t] < first[t + 1]:
+                        h = h.copy()
+                        begun = lane[first[t] : first[t + 1]]
+                        h[begun[begun < a]] = 0
+                    h = self.cell(np.take(inputs, x[t, :a], axis=1, mode="clip"), h)
+                    hs.append(h)
+                    ys.append(y[t, :a])
+                    os_.append(owner[t, :a])
+                logs, _ = self.log_probs(np.concatenate(hs), np.concatenate(ys))
+                out += np.bincount(np.concatenate(os_), logs, len(docs))
         return out
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE bytes of text (the last column), so that lanes are many."""
+    held, size = [], 0
     for b in batches:
-        for t in _texts(b.column(0)):
-            counts.update(tokens(t))
-            if len(counts) >= HELD_WORDS:
-                yield rows()
-                counts.clear()
-    if counts:
-        yield rows()
-
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = before = 0
+        while at < b.num_rows:
+            stop = min(b.num_rows, int(np.searchsorted(ends, before + SLICE - size)) + 1)
+            held.append(b.slice(at, stop - at))
+            size += int(ends[stop - 1]) - before
+            at, before = stop, int(ends[stop - 1])
+            if size >= SLICE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield rest.to_batches()[0]
 
-class Hot(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
-
-class Unknown(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches):
+        found = words_of(b.column(0))[0].value_counts()
+        words, counts = found.field(0), found.field(1)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.concat_arrays([counts, pa.array([b.num_rows], pa.int64())])], names=["word", "c"])
 
 
 class Model:
-    """The network; hot: word to number (below `closed` also the network's, less 1); counts by number; totals."""
+    """The network; hot: words by number (below `closed` also the network's, less 1); counts by number; totals."""
 
-    def __init__(self, network: Network, hot: dict[bytes, int], counts: np.ndarray, closed: int, total: int, distinct: int):
+    def __init__(self, network: Network, hot: pa.Array, counts: np.ndarray, closed: int, total: int, distinct: int):
         self.network, self.hot, self.counts, self.closed, self.total, self.distinct = network, hot, counts, closed, total, distinct
         rest = total - int(counts[:closed].sum())
         #: log10 of what the shares of words outside the network are divided by
         self.log_rest = math.log10(rest + (distinct - min(closed, len(counts))) + 1)
         self.learned = 0  # tokens the network has learned from, besides the sample that it begins with
         self.log_all = math.log10(total + distinct + 1)
-        self.log_counts = np.log10(counts + 1.0)
-        self.end = hot.get(END, -2) + 1 if hot.get(END, closed) < closed else 0
+        self.log_counts = np.append(np.log10(counts + 1.0), 0.0)  # the last, at -1, is of words that aren't hot
+        #: the end's number, or -1, and what the network takes it for
+        self.end_number = pc.index(hot, END).as_py()
+        self.end = self.end_number + 1 if self.end_number < closed else 0
 
 
 SCORED = "uid long, doc_id long, word string, n long, known long, base double, score double"
@@ -365,57 +403,41 @@ SCORED = "uid long, doc_id long, word string, n long, known long, base double, s
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """For each document a row without word: its tokens, those known, and the sums as far as hot words go.
     For each distinct other word of it a row with the word and its tokens."""
-    hot = Hot(model.hot)
-    get = hot.__getitem__
-    for uids, doc_ids, texts in _slices(batches):
-        docs, n, known, base, more = [], [], [], [], []
-        cold_uid, cold_word, cold_n = [], [], []
-        for uid, text in zip(uids, texts, strict=True):
-            words = tokens(text)
-            number = np.fromiter(map(get, words), np.int32, len(words))
-            cold = np.flatnonzero(number < 0)
-            for w, c in Counter(map(words.__getitem__, cold.tolist())).items():
-                cold_uid.append(uid)
-                cold_word.append(w)
-                cold_n.append(c)
-            warm = number[number >= 0]
-            logs = model.log_counts[warm]
-            n.append(len(words))
-            known.append(len(warm))
-            base.append(float(logs.sum()) - len(words) * model.log_all)
-            open_ = warm >= model.closed
-            more.append(float(logs[open_].sum()) - (int(open_.sum()) + len(cold)) * model.log_rest)
-            docs.append(np.where((number >= 0) & (number < model.closed), number + 1, 0))
-        score = model.network.score(docs, model.end) / math.log(10) + np.array(more)
-        rows, others = [None] * len(texts), [None] * len(cold_uid)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(uids + cold_uid, pa.int64()),
-                pa.array(doc_ids + others, pa.int64()),
-                pa.array(rows + cold_word, pa.binary()).cast(pa.string()),
-                pa.array(n + cold_n, pa.int64()),
-                pa.array(known + others, pa.int64()),
-                pa.array(base + others, pa.float64()),
-                pa.array(score.tolist() + others, pa.float64()),
-            ],
-            names=[c.split(" ")[0] for c in SCORED.split(", ")],
-        )
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes]]]:
-    """(uids, ids, texts) of about SLICE bytes of text, whatever the batches are, so that lanes are many."""
-    out: tuple[list, list, list[bytes]] = ([], [], [])
-    held = 0
-    for b in batches:
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-            held += len(row[2])
-            if held >= SLICE:
-                yield out
-                out, held = ([], [], []), 0
-    if out[0]:
-        yield out
+    for b in _slices(batches):
+        uids, n_rows = b.column(0), b.num_rows
+        words, number, n = numbered(b.column(2), model.hot, model.end_number)
+        starts = np.cumsum(n) - n
+        row = np.repeat(np.arange(n_rows), n)
+        hot, own = number >= 0, (number >= 0) & (number < model.closed)
+        logs = model.log_counts[number]
+        base = np.add.reduceat(logs, starts) - n * model.log_all
+        logs[own] = 0
+        more = np.add.reduceat(logs, starts) - np.bincount(row[~own], minlength=n_rows) * model.log_rest
+        docs = cut(np.where(own, number + 1, 0).astype(np.int32), n)
+        score = model.network.score(docs, model.end) / math.log(10) + more
+        inner = np.ones(len(number), bool)
+        inner[starts + n - 1] = False
+        at = np.flatnonzero(~hot[inner])
+        cold, cold_row = words.take(pa.array(at)), row[inner][at]
+        if model.end_number < 0:
+            cold, cold_row = pa.concat_arrays([cold, pa.array([END] * n_rows)]), np.append(cold_row, np.arange(n_rows))
+        coded = cold.dictionary_encode()
+        different = max(1, len(coded.dictionary))
+        pair, times = np.unique(cold_row * different + coded.indices.to_numpy(), return_counts=True)
+        known = np.bincount(row[hot], minlength=n_rows)
+        yield _rows(uids, b.column(1), None, n, known, base, score)
+        if len(pair):
+            yield _rows(uids.take(pa.array(pair // different)), None, coded.dictionary.take(pa.array(pair % different)), times, None, None, None)
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    """A batch of SCORED; absent columns are null."""
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    size = len(columns[0])
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+        names=[c.split(" ")[0] for c in SCORED.split(", ")],
+    )
 
 
 COPIES = "shard int, n long, weights binary"
@@ -425,9 +447,9 @@ def _copies(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows]), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "n", "weights"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: dict[bytes, int], end: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: pa.Array, end: int) -> Iterator[pa.RecordBatch]:
     """All documents of a shard, once: its tokens and the weights after them, times the tokens."""
-    get = Unknown(closed).__getitem__
+    reuse_memory()
     own, state, held, size, n, shard = copy.deepcopy(network), {}, [], 0, 0, 0
 
     def learn() -> None:
@@ -435,11 +457,14 @@ def _train(batches: Iterator[pa.RecordBatch], network: Network, closed: dict[byt
         held.clear()
 
     for b in batches:
-        for shard, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):  # noqa: B007
-            words = tokens(text)
-            held.append(np.fromiter(map(get, words), np.int32, len(words)))
-            size += len(words)
-            n += len(words)
+        if not b.num_rows:
+            continue
+        shard = b.column(0)[0].as_py()
+        _, number, sizes = numbered(b.column(1), closed, end - 1)
+        for ids in cut(number + 1, sizes):
+            held.append(ids)
+            size += len(ids)
+            n += len(ids)
             if size >= BLOCK_TOKENS:
                 learn()
                 size = 0
@@ -479,7 +504,7 @@ def summed(copies: DataFrame) -> tuple[int, np.ndarray | None]:
     return (r["n"], np.frombuffer(r["weights"], np.float64)) if r else (0, None)
 
 
-def learn_all(docs: DataFrame, network: Network, closed: dict[bytes, int], end: int, total: int) -> int:
+def learn_all(docs: DataFrame, network: Network, closed: pa.Array, end: int, total: int) -> int:
     """Trains the network on all of docs (doc_id, text), in shards on executors. Returns the tokens learned from."""
     held = docs.sparkSession.sparkContext.broadcast((network, closed, end))
     dealt = deal(docs, max(1, -(-total // SHARD_TOKENS)))
@@ -489,7 +514,7 @@ def learn_all(docs: DataFrame, network: Network, closed: dict[bytes, int], end:
     return n
 
 
-def _sample(docs: DataFrame, n: int) -> list[list[bytes]]:
+def _sample(docs: DataFrame, n: int) -> list[str]:
     """What the network that all copies begin from learns, of n docs: different documents of the least hash, at most
     TRAIN_DOCS and about TRAIN_TOKENS tokens. About twice as many rows leave the scan, whatever n is; repeated rows are one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -502,7 +527,7 @@ def _sample(docs: DataFrame, n: int) -> list[list[bytes]]:
             want.append(r["_h"])
             left -= r["_n"]
     texts = {r["_h"]: r["text"] for r in one.filter(F.col("_h").isin(want)).collect()} if want else {}  # 6 * TRAIN_TOKENS characters
-    return [tokens(texts[h].encode()) for h in want]
+    return [texts[h] for h in want]
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -517,16 +542,18 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     if distinct <= HOT:
         least = 1
     rows = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()  # HOT rows at most
-    hot = {w.encode(): k for k, w in enumerate(rows["word"].to_pylist())}
+    hot = pa.concat_arrays([pa.array([], pa.string()), *rows["word"].cast(pa.string()).chunks])
     number = rows["c"].to_numpy().astype(np.int64)
     closed = min(CLOSED - 1, len(rows))
     own = np.concatenate(([total - number[:closed].sum()], number[:closed])) if total else np.zeros(1)
     network = Network(own.astype(float))
     model = Model(network, hot, number, closed, total, distinct)
-    sample = [np.array([(k + 1) if (k := hot.get(w, closed)) < closed else 0 for w in d]) for d in _sample(docs, int(number[hot[END]]) if END in hot else 0)]
+    texts = _sample(docs, int(number[model.end_number]) if model.end_number >= 0 else 0)
+    _, ids, sizes = numbered(pa.array(texts, pa.string()), hot[:closed], model.end - 1)
+    sample = cut(ids + 1, sizes)
     if sum(map(len, sample)) >= WINDOW:
         network.train(sample, model.end, most=min(LANES, len(sample)))
-    model.learned = learn_all(docs, network, {w: k + 1 for w, k in hot.items() if k < closed}, model.end, total) if total else 0
+    model.learned = learn_all(docs, network, hot[:closed], model.end, total) if total else 0
     return model, counts
 
 

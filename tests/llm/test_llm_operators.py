@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, empty, long and repeated texts, ties, and columns of clashing names."""
 
 import collections
+import copy
 import hashlib
 import itertools
 import math
@@ -758,6 +759,72 @@ def test_network_is_a_distribution_and_carries_its_state():
     assert np.allclose(alone, after, atol=1e-2)
 
 
+def test_network_scores_equal_a_loop():
+    """A plain loop over words with the gates, the state and the two softmaxes written out."""
+    net = lm.Network(np.array([5.0, 9, 3, 2, 1, 1, 1]), units=3, classes=3, seed=4)
+    rng = np.random.default_rng(3)
+    for k in ("W", "U", "E", "C", "O"):
+        net.p[k] = (rng.normal(size=net.p[k].shape) * 0.7).astype(np.float32)
+    docs = [np.append(rng.integers(2, 7, k), 1).astype(np.int32) for k in (0, 1, 5, 40, 3, 0)]
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    want = []
+    for d in docs:
+        h, x, total = np.zeros(3), 1, 0.0
+        for y in d:
+            e = p["E"][x]
+            r, z = (sigmoid(e @ p["W"][k] + p["b"][k, 0] + h @ p["U"][k]) for k in (0, 1))
+            c = np.tanh(e @ p["W"][2] + p["b"][2, 0] + r * (h @ p["U"][2]))
+            h = z * h + (1 - z) * c
+            cls, pos = divmod(int(net.place[y]), net.per)
+            a, b = h @ p["C"] + p["cb"], h @ p["O"][cls] + p["ob"][cls]
+            total += a[cls] - np.log(np.exp(a).sum())
+            if cls:
+                total += b[pos] - np.log(np.exp(b).sum())
+            x = y
+        want.append(total)
+    assert np.allclose(net.score(docs, end=1), want, atol=1e-4)
+    assert np.allclose(net.score(docs, end=1, most=1), want, atol=1e-4)
+
+
+def test_backpropagation_equals_differences(monkeypatch):
+    """One window holds both documents, and the first step of the optimizer moves a weight against its gradient's sign."""
+    net = lm.Network(np.array([5.0, 9, 3, 2, 1]), units=3, classes=2, seed=4)
+    rng = np.random.default_rng(6)
+    for k in ("W", "U", "E", "C", "O"):
+        net.p[k] = (rng.normal(size=net.p[k].shape) * 0.7).astype(np.float32)
+    docs = [np.array([2, 3, 2, 1], np.int32), np.array([4, 2, 3, 4, 2, 1], np.int32)]
+    for name in ("W", "U", "E", "b"):
+        moved = copy.deepcopy(net)
+        moved.train(docs, end=1, epochs=1, most=1, rate=1e-3)
+        for at in np.ndindex(net.p[name].shape):
+            loss = []
+            for e in (1e-2, -1e-2):
+                near = copy.deepcopy(net)
+                near.p[name][at] += e
+                loss.append(-near.score(docs, end=1).sum())
+            slope = (loss[0] - loss[1]) / 2e-2
+            if abs(slope) > 5e-3:
+                assert np.sign(net.p[name][at] - moved.p[name][at]) == np.sign(slope), (name, at, slope)
+
+
+def test_words_of_odd_texts():
+    texts = [None, "", " ", " A  b\x0bC\x1cd\u0085\xc0É\u2003x ", "\t\r\n", "x" * 100_000, "K\u212a İ a", "a a"]
+    words, sizes = lm.words_of(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert lm.words_of(pa.array([], pa.string()))[1].tolist() == []
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["a", "text"])
+    for size in (1, 7, 100_000, 1 << 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm, "SLICE", size)
+            got = list(lm._slices(iter([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3)])))
+        assert sum((b.column(1).to_pylist() for b in got), []) == texts and all(b.num_rows for b in got)
+
+
 def test_network_learns_from_every_document(spark, monkeypatch):
     """Nothing is in the sample that the copies begin with, so what they know comes from the shards."""
     monkeypatch.setattr(lm, "TRAIN_DOCS", 0)
