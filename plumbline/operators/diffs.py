@@ -64,7 +64,8 @@ def _name(of: Column) -> Column:
 
 def entries(lines: DataFrame) -> DataFrame:
     """lines with body (of a hunk), entry (0 before the first), h, the number of the hunk within its entry, the header's
-    numbers, old and new as the entry's lines name its file (null without such lines), and its path."""
+    numbers, old and new as the entry's lines name its file (null without such lines), its path, and link, whether it is a
+    commit line after the entry's gitlink mode."""
     piece = Window.partitionBy(*PIECE).orderBy("n")
     df = lines.withColumn("_head", F.col("line").rlike(HUNK)).withColumn("_g", F.count_if("_head").over(piece))
     hunk = Window.partitionBy(*PIECE, "_g").orderBy("n")
@@ -93,11 +94,13 @@ def entries(lines: DataFrame) -> DataFrame:
             "new": one(F.col("_new"), _name(F.col("line"))),
             "_git": one(F.col("_event") == "diff", named),
             "h": F.count_if("_head").over(entry.orderBy("n")),
+            "_mode": F.min(F.when(F.col("line").rlike(GITLINK), F.col("n"))).over(entry),
         }
     )
     there = lambda c: F.nullif(F.col(c), F.lit(NOTHING))
     path = F.coalesce(there("new"), there("old"), F.col("_git"), F.lit(""))
-    return df.select(*PIECE, "n", "line", "entry", "h", "body", *numbers, "old", "new", path.alias("path"))
+    link = F.coalesce(F.col("_mode") < F.col("n"), F.lit(False)) & F.col("line").rlike(SUBPROJECT)
+    return df.select(*PIECE, "n", "line", "entry", "h", "body", *numbers, "old", "new", path.alias("path"), link.alias("link"))
 
 
 def entry_flags(e: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def entry_flags(e: DataFrame) -> DataFrame:
         after(r"^rename from .", r"^rename to ").alias("_moved"),
         named((old != none) & (new != none) & (old != "") & (new != "") & (old != new)).alias("_renamed"),
         after(r"^copy from .", r"^copy to ").alias("copied"),
-        after(GITLINK, SUBPROJECT).alias("submodule"),
+        F.bool_or("link").alias("submodule"),
         has(r"^(Binary files |GIT binary patch)").alias("is_binary"),
         (F.max("h") > 0).alias("has_hunks"),
         named(old == none).alias("from_nothing"),
@@ -124,8 +127,8 @@ def entry_flags(e: DataFrame) -> DataFrame:
 
 def hunks(e: DataFrame) -> DataFrame:
     """One row for each hunk: its start in the base, the lines it takes from there (replaced) and puts there (put), open_end, whether a line
-    without newline is the last of those, anchored, whether it has context or a removal, and malformed, whether its body isn't what
-    its header counts."""
+    without newline is the last of those, anchored, whether it has context or a removal, linked, whether it moves a submodule's
+    commit, and malformed, whether its body isn't what its header counts."""
     body = lambda *marks: F.col("body") & _begins(*marks)
     blank = F.col("body") & (F.col("line") == "")
     lines = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when | blank, F.struct("n", F.substring("line", 2, 1 << 30).alias("text"))))), lambda x: x["text"])
@@ -136,6 +139,7 @@ def hunks(e: DataFrame) -> DataFrame:
         lines(body(" ", "+")).alias("put"),
         F.coalesce(ends, F.lit(False)).alias("open_end"),
         F.bool_or(body(" ", "-")).alias("anchored"),
+        F.bool_or(F.col("body") & F.col("link")).alias("linked"),
         ((F.count_if(body(" ", "-") | blank) != F.max("old_n")) | (F.count_if(body(" ", "+") | blank) != F.max("new_n"))).alias("malformed"),
     )
 

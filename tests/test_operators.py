@@ -382,6 +382,18 @@ def test_applied_like_one_after_the_other(spark):
     assert {r.change_id: r.new_content for r in placement.applied(hunks, files, placement.placed(hunks, files)).collect()} == want
 
 
+LINKED = "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\n"
+
+
+def test_submodules_are_not_applied_to_files(spark):
+    """A file may hold the commit line of a submodule's entry; only without the gitlink's mode is it that file's."""
+    raw = [("link", f"diff --git a/x b/x\nindex 1111111..2222222 160000\n{LINKED}"), ("file", f"diff --git a/x b/x\nindex 1111111..2222222 100644\n{LINKED}")]
+    hunks = diffs.hunks(diffs.entries(diffs.diff_lines(spark.createDataFrame(raw, "change_id string, text string"))))
+    files = spark.createDataFrame([(k, "x", True, "a\nSubproject commit 1111111\nb\n") for k, _ in raw], BASES)
+    made = placement.applied(hunks, files, placement.placed(hunks, files))
+    assert [(r.change_id, r.new_content) for r in made.collect()] == [("file", "a\nSubproject commit 2222222\nb\n")]
+
+
 def test_bases_that_are_not_text(spark):
     raw = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "change_id string, text string")
     assert refusals(spark, raw, [("a", "x", False, None)]) == {"a": "NOT_UTF8"}
