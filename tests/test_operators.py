@@ -394,6 +394,18 @@ def test_submodules_are_not_applied_to_files(spark):
     assert [(r.change_id, r.new_content) for r in made.collect()] == [("file", "a\nSubproject commit 2222222\nb\n")]
 
 
+def test_submodules_have_no_place(spark):
+    """Neither at the stated line nor at the one other, also where the commit is new and takes no line away."""
+    head = "diff --git a/x b/x\n--- a/x\n+++ b/x\n"
+    mode = "index 1111111..2222222 160000\n"
+    new = "diff --git a/x b/x\nnew file mode 160000\n--- /dev/null\n+++ b/x\n@@ -0,0 +1 @@\n+Subproject commit 2222222\n"
+    raw = [("stated", head.replace("---", mode + "---") + LINKED[LINKED.index("@@") :].replace("-1 +1", "-2 +2")), ("other", head.replace("---", mode + "---") + LINKED[LINKED.index("@@") :]), ("new", new), ("file", LINKED)]
+    hunks = diffs.hunks(diffs.entries(diffs.diff_lines(spark.createDataFrame(raw, "change_id string, text string"))))
+    files = spark.createDataFrame([(k, "x", True, "a\nSubproject commit 1111111\nb\n") for k, _ in raw if k != "new"], BASES)
+    got = {r.change_id: (r.applies, r.at_lines) for r in placement.placed(hunks, files).collect()}
+    assert got == {"stated": (False, [None]), "other": (False, [None]), "new": (False, [None]), "file": (True, [1])}
+
+
 def test_bases_that_are_not_text(spark):
     raw = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "change_id string, text string")
     assert refusals(spark, raw, [("a", "x", False, None)]) == {"a": "NOT_UTF8"}
