@@ -64,43 +64,54 @@ def _name(of: Column) -> Column:
 
 def entries(lines: DataFrame) -> DataFrame:
     """lines with body (of a hunk), entry (0 before the first), h, the number of the hunk within its entry, the header's
-    numbers, old and new as the entry's lines name its file (null without such lines), its path, and link, whether it is a
-    commit line after the entry's gitlink mode."""
+    numbers, new_line, the line's number in the new file, old and new as the entry's lines name its file (null without such
+    lines, and before them), its path as far as it has been named, and link, whether it is a commit line after the entry's
+    gitlink mode.
+
+    All windows run over a piece in the order of its lines, so lines are sorted once; what holds within a hunk or an entry
+    is a running value less, or not older than, that of the line which opens it.
+    """
     piece = Window.partitionBy(*PIECE).orderBy("n")
-    df = lines.withColumn("_head", F.col("line").rlike(HUNK)).withColumn("_g", F.count_if("_head").over(piece))
-    hunk = Window.partitionBy(*PIECE, "_g").orderBy("n")
-    before = hunk.rowsBetween(Window.unboundedPreceding, -1)
-    blank = (F.col("line") == "") & ~F.col("last")
+    before = piece.rowsBetween(Window.unboundedPreceding, -1)
+    upto = piece.rowsBetween(Window.unboundedPreceding, 0)
+    newest = lambda when, value, over=upto: F.last(F.when(when, value), ignorenulls=True).over(over)
+    line, n = F.col("line"), F.col("n")
+    blank = (line == "") & ~F.col("last")
     takes_old, takes_new = _begins(" ", "-") | blank, _begins(" ", "+") | blank
-    numbers = {"old_start": 1, "old_n": 2, "new_start": 3, "new_n": 4}
-    df = df.withColumns({c: F.first(F.when(F.col("_head"), _count(k)), ignorenulls=True).over(hunk) for c, k in numbers.items()})
-    seen = lambda takes: F.coalesce(F.count_if(takes).over(before), F.lit(0))
-    open_ = (seen(takes_old) < F.col("old_n")) | (seen(takes_new) < F.col("new_n"))
+    df = lines.withColumn("_head", line.rlike(HUNK))
+    df = df.withColumns({"_heads": F.count_if("_head").over(upto), "_olds": F.count_if(takes_old).over(before), "_news": F.count_if(takes_new).over(before)})
+    head = F.struct(n, "_olds", "_news", *[_count(k).alias(c) for c, k in {"old_start": 1, "old_n": 2, "new_start": 3, "new_n": 4}.items()])
+    df = df.withColumn("_hunk", newest(F.col("_head"), head))
+    old, put = F.col("_olds") - F.col("_hunk._olds"), F.col("_news") - F.col("_hunk._news")
+    open_ = (old < F.col("_hunk.old_n")) | (put < F.col("_hunk.new_n"))
     df = df.withColumn("_fits", ((takes_old | takes_new) & open_) | _begins("\\"))
-    ended = F.coalesce(F.bool_or(~F.col("_fits") & ~F.col("_head")).over(before), F.lit(False))
-    df = df.withColumn("body", (F.col("_g") > 0) & ~F.col("_head") & F.col("_fits") & ~ended)
+    misfit = newest(~F.col("_fits") & ~F.col("_head"), n, before)
+    df = df.withColumn("body", F.col("_hunk").isNotNull() & ~F.col("_head") & F.col("_fits") & ~F.coalesce(misfit > F.col("_hunk.n"), F.lit(False)))
     diff = ~F.col("body") & F.startswith("line", F.lit("diff "))
     pair = ~F.col("body") & F.startswith("line", F.lit("--- ")) & F.coalesce(F.startswith(F.lead("line").over(piece), F.lit("+++ ")), F.lit(False))
     df = df.withColumn("_event", F.when(diff, "diff").when(pair, "pair").when(F.col("_head"), "hunk"))
-    last_event = F.last("_event", ignorenulls=True).over(piece.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("_event") == "diff") | ((F.col("_event") == "pair") & (F.coalesce(last_event, F.lit("")) != "diff"))
-    df = df.withColumns({"_opens": F.coalesce(opens, F.lit(False)), "_new": (F.lag("_event").over(piece) == "pair") & ~F.col("body")}).withColumn("entry", F.count_if("_opens").over(piece))
-    entry = Window.partitionBy(*ENTRY)
+    opens = (F.col("_event") == "diff") | ((F.col("_event") == "pair") & (F.coalesce(F.last("_event", ignorenulls=True).over(before), F.lit("")) != "diff"))
+    df = df.withColumns({"_opens": F.coalesce(opens, F.lit(False)), "_second": F.coalesce((F.lag("_event").over(piece) == "pair") & ~F.col("body"), F.lit(False))})
     named = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in HEADERS])
-    one = lambda when, value: F.max(F.when(when, value)).over(entry)
     df = df.withColumns(
         {
-            "old": one(F.col("_event") == "pair", _name(F.col("line"))),
-            "new": one(F.col("_new"), _name(F.col("line"))),
-            "_git": one(F.col("_event") == "diff", named),
-            "h": F.count_if("_head").over(entry.orderBy("n")),
-            "_mode": F.min(F.when(F.col("line").rlike(GITLINK), F.col("n"))).over(entry),
+            "entry": F.count_if("_opens").over(upto),
+            "_open": newest(F.col("_opens"), F.struct(n, F.col("_heads").alias("heads"))),
+            "_old": newest(F.col("_event") == "pair", F.struct(n, _name(line).alias("name"))),
+            "_new": newest(F.col("_second"), F.struct(n, _name(line).alias("name"))),
+            "_git": newest(F.col("_event") == "diff", F.struct(n, named.alias("name"))),
+            "_mode": newest(line.rlike(GITLINK), n),
         }
     )
-    there = lambda c: F.nullif(F.col(c), F.lit(NOTHING))
-    path = F.coalesce(there("new"), there("old"), F.col("_git"), F.lit(""))
-    link = F.coalesce(F.col("_mode") < F.col("n"), F.lit(False)) & F.col("line").rlike(SUBPROJECT)
-    return df.select(*PIECE, "n", "line", "entry", "h", "body", *numbers, "old", "new", path.alias("path"), link.alias("link"))
+    # of the entry: not older than the line that opened it
+    own = lambda c, value: F.when(c >= F.coalesce("_open.n", F.lit(0)), value)
+    of = {c: own(F.col(f"_{c}.n"), F.col(f"_{c}.name")) for c in ("old", "new", "git")}
+    there = lambda c: F.nullif(of[c], F.lit(NOTHING))
+    path = F.coalesce(there("new"), there("old"), of["git"], F.lit(""))
+    link = line.rlike(SUBPROJECT) & F.coalesce(own(F.col("_mode"), F.lit(True)), F.lit(False))
+    numbers = [F.col("_hunk")[c].alias(c) for c in ("old_start", "old_n", "new_start", "new_n")]
+    h = F.col("_heads") - F.coalesce("_open.heads", F.lit(0))
+    return df.select(*PIECE, "n", "line", "entry", h.alias("h"), "body", *numbers, (F.col("_hunk.new_start") + put).alias("new_line"), of["old"].alias("old"), of["new"].alias("new"), path.alias("path"), link.alias("link"))
 
 
 def entry_flags(e: DataFrame) -> DataFrame:
@@ -111,7 +122,9 @@ def entry_flags(e: DataFrame) -> DataFrame:
     after = lambda first, then: F.coalesce(F.min(F.when(line.rlike(first), F.col("n"))) < F.max(F.when(line.rlike(then), F.col("n"))), F.lit(False))
     named = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
     old, new = F.col("old"), F.col("new")
-    found = e.filter("entry > 0").groupBy(*ENTRY, "path").agg(
+    # an entry is named by its lines in order, so its last line has its names
+    found = e.filter("entry > 0").groupBy(*ENTRY).agg(
+        F.max_by("path", "n").alias("path"),
         (has(r"^deleted file mode") | named((new == none) & (old != none) & (old != ""))).alias("deleted"),
         after(r"^rename from .", r"^rename to ").alias("_moved"),
         named((old != none) & (new != none) & (old != "") & (new != "") & (old != new)).alias("_renamed"),
@@ -180,7 +193,4 @@ def refusal(changes: DataFrame, flags: DataFrame, hunk_rows: DataFrame, errors:
 
 def new_lines(e: DataFrame) -> DataFrame:
     """Line numbers in the new file of the lines that hunks add."""
-    before = Window.partitionBy(*ENTRY, "h").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.col("body") & (_begins("+", " ") | (F.col("line") == ""))
-    body = e.filter("h > 0 and entry > 0").withColumn("_before", F.coalesce(F.count_if(kept).over(before), F.lit(0)))
-    return body.filter(F.col("body") & _begins("+")).select("change_id", "path", (F.col("new_start") + F.col("_before")).cast("int").alias("line"))
+    return e.filter(F.col("body") & (F.col("entry") > 0) & _begins("+")).select("change_id", "path", F.col("new_line").cast("int").alias("line"))

@@ -348,13 +348,15 @@ def hunk_new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The diffs of many changes as eight files, read back in pieces: the lines that each file's hunks add."""
+    """The diffs of many changes as eight bundles, read back in pieces: the lines that each bundle's hunks add. Each task that
+    has diffs writes its share of a bundle as one file, so no task meets a whole one."""
     k = F.substring("change_id", 2, 20).cast("long")
-    raw = evidence.diffs(spark, sf_dir).withColumns({"k": k, "bundle": k % 8}).filter(k % 53 != 0)  # those with a hunk cut short would take lines of the next
+    raw = evidence.diffs(spark, sf_dir).withColumn("bundle", k % 8).filter(k % 53 != 0)  # those with a hunk cut short would take lines of the next
     folder = scratch.folder(spark, "diffs")
-    raw.repartition("bundle").sortWithinPartitions("bundle", "k").select("bundle", F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("bundle").text(folder)
-    found = diffs.new_lines(diffs.entries(diffs.diff_lines(evidence.diff_files(spark, folder))))
-    return found.select(F.regexp_extract("change_id", r"bundle=(\d+)", 1).cast("int").alias("bundle"), "path", "line")
+    raw.select("bundle", F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("bundle").text(folder)
+    # a piece is told by its place; of its file only the bundle's number goes on to its lines
+    pieces = evidence.diff_files(spark, folder).withColumn("change_id", F.regexp_extract("change_id", r"bundle=(\d+)", 1))
+    return diffs.new_lines(diffs.entries(diffs.diff_lines(pieces))).select(F.col("change_id").cast("int").alias("bundle"), "path", "line")
 
 
 def coverage_json_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -440,6 +441,30 @@ def test_diff_and_base_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_lines_of_a_diff_are_sorted_once(spark, tmp_path):
+    """All windows share one order, also where pieces are read from files; so a task holds its lines once."""
+    (tmp_path / "d").write_text(LINKED)
+    for raw in (spark.createDataFrame([("a", LINKED)], "change_id string, text string"), evidence.diff_files(spark, f"file://{tmp_path}/d")):
+        plan = diffs.new_lines(diffs.entries(diffs.diff_lines(raw)))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"(?m)^[^\w]*Sort \[", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
+
+
+def test_entries_after_hunks(spark):
+    """Running values end with the hunk or entry that they are of: counts, names, gitlink modes and numbers of hunks."""
+    text = (
+        "@@ -1 +1 @@\n-a\n+b\n"  # of no entry
+        "diff --git a/l b/l\nindex 1111111..2222222 160000\n@@ -1 +1 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\n"
+        "diff --git a/y b/y\n@@ -1 +5 @@\n-Subproject commit 1111111\n+Subproject commit 2222222\nno body\n+nor this\n@@ -9,2 +14,3 @@\n a\n+c\n b\n"
+        "--- a/z\n+++ b/z\n@@ -1 +1 @@\n-a\n+d\n"
+    )
+    e = diffs.entries(diffs.diff_lines(spark.createDataFrame([("a", text)], "change_id string, text string")))
+    assert sorted((r.path, r.line) for r in diffs.new_lines(e).collect()) == [("l", 1), ("y", 5), ("y", 15), ("z", 1)]
+    assert sorted((r.path, r.submodule, r.has_hunks) for r in diffs.entry_flags(e).collect()) == [("l", True, True), ("y", False, True), ("z", False, True)]
+    assert sorted((r.path, r.h, r.old_start, r.replaced, r.malformed) for r in diffs.hunks(e).collect()) == [
+        ("l", 1, 1, ["Subproject commit 1111111"], False), ("y", 1, 1, ["Subproject commit 1111111"], False), ("y", 2, 9, ["a", "b"], False), ("z", 1, 1, ["a"], False),
+    ]
+
+
 def test_diff_entries_of_every_form(spark):
     text = {
         "quoted": ('diff --git "a/x\\303 y" "b/x\\303 y"\n--- "a/x\\303 y"\n+++ "b/x\\303 y"\n@@ -1,1 +1,1 @@\n-a\n+b\n', "x\\303 y", set()),
