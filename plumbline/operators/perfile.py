@@ -1,6 +1,7 @@
 """Functions of one row's text over Arrow batches: commands, Python sources, patches.
 
-Commands repeat, so each distinct one is classified once and joined back.
+Commands repeat, and so do the files of many changes: each distinct one is read once, and its facts are joined back. The
+shuffle that finds the distinct ones also spreads them over all tasks, where a table of short rows is one task's.
 """
 
 from __future__ import annotations
@@ -44,6 +45,21 @@ def _by_distinct(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
     return df.join(found, key)
 
 
+def _by_source(df: DataFrame, fn, schema: str) -> DataFrame:
+    """path and the rows (of schema) that fn, from a source to tuples, finds in each. A source's rows travel as one list, and
+    copies meet it by a digest of the text."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"_key": b["_key"], "_rows": [[dict(zip(names, r, strict=True)) for r in fn(x)] for x in b["source"]]})
+
+    key = F.sha2("source", 256).alias("_key")
+    found = df.select("source").distinct().select("source", key).mapInPandas(read, f"_key string, _rows array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")
+    rows = df.select("path", key).join(found, "_key")
+    return rows.select("path", F.explode("_rows").alias("_r")).select("path", "_r.*")
+
+
 def _scope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [cmd.assess(c) for c in b["command"]]
@@ -74,30 +90,24 @@ def syntax(df: DataFrame) -> DataFrame:
     return df.mapInPandas(_syntax, "path string, passed boolean, reason string")
 
 
-def _extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for path, source in zip(b["path"], b["source"], strict=True):
-            try:
-                out += [(path, *run, None) for run in src.statement_runs(source)]
-            except src.FAILURES as e:
-                out.append((path, None, None, None, type(e).__name__))
-        yield pd.DataFrame(out, columns=["path", "rfirst", "rlast", "owner", "error"]).astype({c: "Int32" for c in ("rfirst", "rlast", "owner")})
+def _extents(source: str) -> list[tuple]:
+    try:
+        return [(*run, None) for run in src.statement_runs(source)]
+    except src.FAILURES as e:
+        return [(None, None, None, type(e).__name__)]
 
 
 def extents(df: DataFrame) -> DataFrame:
     """Runs of each file; a file that can't be read is one row with its error, never no row."""
-    return df.mapInPandas(_extents, "path string, rfirst int, rlast int, owner int, error string")
+    return _by_source(df, _extents, "rfirst int, rlast int, owner int, error string")
 
 
-def _mutants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [(p, *m) for p, s in zip(b["path"], b["source"], strict=True) for m in src.mutants(s, set(range(1, s.count("\n") + 2)))]
-        yield pd.DataFrame(out, columns=["path", "line", "col", "end_col", "orig", "repl", "op", "kind"])
+def _mutants(source: str) -> list[tuple]:
+    return src.mutants(source, set(range(1, source.count("\n") + 2)))
 
 
 def mutants(df: DataFrame) -> DataFrame:
-    return df.mapInPandas(_mutants, "path string, line int, col int, end_col int, orig string, repl string, op string, kind string")
+    return _by_source(df, _mutants, "line int, col int, end_col int, orig string, repl string, op string, kind string")
 
 
 def _imports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

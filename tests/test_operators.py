@@ -8,9 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import paths
+from plumbline.functions import paths, sources
 from plumbline.operators import attribution as at
-from plumbline.operators import containment, deltas, diffs, fusion, intake, placement, resolution
+from plumbline.operators import containment, deltas, diffs, fusion, intake, perfile, placement, resolution
 from plumbline.sources import evidence
 from plumbline.streaming import fuse_stream
 
@@ -485,6 +485,26 @@ def test_diff_entries_of_every_form(spark):
     assert {r.change_id: (r.path, {f for f in flags if r[f]}) for r in rows} == {k: v[1:] for k, v in text.items()}
 
 
+def test_extents_of_copies(spark):
+    """Every copy has the rows of its text, from one reading of each text: the shuffle stands before Python."""
+    texts = ("a = 1 + 2\nif a < 3:\n    b = ''\n", "def g(:\n", "")
+    files = [(f"m{k}.py", texts[k % 3]) for k in range(60)]
+    df = perfile.extents(spark.createDataFrame(files, "path string, source string"))
+    want = [(p, *r) for p, t in files for r in ([(None, None, None, "SyntaxError")] if "(:" in t else [(*x, None) for x in sources.statement_runs(t)])]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want)) and len(want) == 20 * 4
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInPandas.*?HashAggregate\(keys=\[source", plan, re.S)
+
+
+def test_mutants_of_copies(spark):
+    texts = ("a = 1 + 2\nif a < 3:\n    b = ''\n", "def g(:\n", "")
+    files = [(f"m{k}.py", texts[k % 3]) for k in range(60)]
+    df = perfile.mutants(spark.createDataFrame(files, "path string, source string"))
+    want = [(p, *m) for p, t in files for m in sources.mutants(t, {1, 2, 3})]
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) == 20 * 6
+    assert re.search(r"MapInPandas.*?HashAggregate\(keys=\[source", df._jdf.queryExecution().executedPlan().toString(), re.S)
+
+
 def test_stream_gives_the_batch_verdicts(spark, tmp_path):
     rows = [(k, *{**DEFAULT, **c[0]}.values()) for k, c in enumerate(FUSION)]
     schema = "id int, " + fusion.NEEDS
