@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from ..functions import commands as cmd
 from ..functions import patches
 from ..functions import sources as src
 
+#: Rows of a batch whose lines' numbers are held at once; texts are taken out of it one by one.
+ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch: some megabytes of text, where Spark's default of 10,000 would be tens.
+BATCH_ROWS = "1000"
+
 #: Test commands by rule, for the queries.
 COMMANDS = (
     "python3 -m pytest -q", "pytest tests/unit", "pytest -q --cov src", "PYTEST_ADDOPTS='-k a' pytest", "npx vitest run", "vitest run -w src/a.test.ts", "jest --ci", "poetry run pytest -x",
@@ -30,6 +36,14 @@ PROGRAMS = (
 )
 
 
+def _batched(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches are kept small where its user hasn't chosen their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def commands(rows: DataFrame) -> DataFrame:
     one = F.element_at(F.array(*[F.lit(x) for x in COMMANDS]), (F.col("p_partkey") % len(COMMANDS) + 1).cast("int"))
     return rows.select(F.col("p_partkey").alias("id"), one.alias("command"))
@@ -55,7 +69,7 @@ def _by_source(df: DataFrame, fn, schema: str) -> DataFrame:
             yield pd.DataFrame({"_key": b["_key"], "_rows": [[dict(zip(names, r, strict=True)) for r in fn(x)] for x in b["source"]]})
 
     key = F.sha2("source", 256).alias("_key")
-    found = df.select("source").distinct().select("source", key).mapInPandas(read, f"_key string, _rows array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")
+    found = _batched(df).select("source").distinct().select("source", key).mapInPandas(read, f"_key string, _rows array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")
     rows = df.select("path", key).join(found, "_key")
     return rows.select("path", F.explode("_rows").alias("_r")).select("path", "_r.*")
 
@@ -87,7 +101,7 @@ def _syntax(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def syntax(df: DataFrame) -> DataFrame:
-    return df.mapInPandas(_syntax, "path string, passed boolean, reason string")
+    return _batched(df).mapInPandas(_syntax, "path string, passed boolean, reason string")
 
 
 def _extents(source: str) -> list[tuple]:
@@ -116,17 +130,23 @@ def _imports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def imports(df: DataFrame) -> DataFrame:
-    return df.mapInPandas(_imports, "path string, module string")
+    return _batched(df).mapInPandas(_imports, "path string, module string")
 
 
-def _changed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pd.DataFrame([(p, n) for p, base, new in zip(b["path"], b["base"], b["new"], strict=True) for n in patches.added_lines(base, new)], columns=["path", "line"])
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            part, paths, lines = b.slice(at, ROWS_AT_ONCE), [], []
+            for path, base, new in zip(*(part.column(c) for c in ("path", "base", "new")), strict=True):
+                found = patches.added_lines(base.as_py(), new.as_py())
+                paths += [path.as_py()] * len(found)
+                lines += found
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lines, pa.int32())], names=["path", "line"])
 
 
 def changed_lines(df: DataFrame) -> DataFrame:
     """Lines of new (path, base, new) that base lacks; base NULL: all of them."""
-    return df.mapInPandas(_changed, "path string, line int")
+    return _batched(df).select("path", "base", "new").mapInArrow(_changed, "path string, line int")
 
 
 def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,4 +161,4 @@ def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def applied(df: DataFrame) -> DataFrame:
-    return df.mapInPandas(_applied, "path string, new_content string, error_code string")
+    return _batched(df).mapInPandas(_applied, "path string, new_content string, error_code string")

@@ -218,3 +218,16 @@ def test_command_words_random():
     for _ in range(300):
         words = ["".join(rng.choice("ab-=") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 5))]
         assert cmd.split_words(" ".join(f"'{w}'" for w in words)) == words
+
+
+def test_added_lines_keep_little():
+    """Of n steps a byte for each diagonal is kept, not the places that all diagonals reached."""
+    import tracemalloc
+
+    base, new = ("\n".join(f"{c}{k}" for k in range(300)) for c in "ab")
+    tracemalloc.start()
+    try:
+        assert patches.added_lines(base, new) == list(range(1, 301))
+        assert tracemalloc.get_traced_memory()[1] < 2 << 20
+    finally:
+        tracemalloc.stop()
