@@ -449,6 +449,14 @@ def test_lines_of_a_diff_are_sorted_once(spark, tmp_path):
         assert len(re.findall(r"(?m)^[^\w]*Sort \[", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
 
 
+def test_added_lines_need_no_window_of_their_own(spark, sf_dir):
+    """A line's number in the new file comes with its entry, so the query has one sort, that of the lines."""
+    from plumbline.plans import catalogue
+
+    plan = catalogue.hunk_new_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?m)^[^\w]*Sort \[.*\bn#", plan)) == 1
+
+
 def test_entries_after_hunks(spark):
     """Running values end with the hunk or entry that they are of: counts, names, gitlink modes and numbers of hunks."""
     text = (
