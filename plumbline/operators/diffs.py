@@ -141,7 +141,7 @@ def entry_flags(e: DataFrame) -> DataFrame:
 def hunks(e: DataFrame) -> DataFrame:
     """One row for each hunk: its start in the base, the lines it takes from there (replaced) and puts there (put), open_end, whether a line
     without newline is the last of those, anchored, whether it has context or a removal, linked, whether it moves a submodule's
-    commit, and malformed, whether its body isn't what its header counts."""
+    commit, stray, whether such a line follows it that it doesn't count, and malformed, whether its body isn't what its header counts."""
     body = lambda *marks: F.col("body") & _begins(*marks)
     blank = F.col("body") & (F.col("line") == "")
     lines = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when | blank, F.struct("n", F.substring("line", 2, 1 << 30).alias("text"))))), lambda x: x["text"])
@@ -153,6 +153,7 @@ def hunks(e: DataFrame) -> DataFrame:
         F.coalesce(ends, F.lit(False)).alias("open_end"),
         F.bool_or(body(" ", "-")).alias("anchored"),
         F.bool_or(F.col("body") & F.col("link")).alias("linked"),
+        F.bool_or(~F.col("body") & F.col("link")).alias("stray"),
         ((F.count_if(body(" ", "-") | blank) != F.max("old_n")) | (F.count_if(body(" ", "+") | blank) != F.max("new_n"))).alias("malformed"),
     )
 

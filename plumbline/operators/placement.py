@@ -4,7 +4,8 @@ A base is one row with the hashes of its lines. For each length of a hunk of the
 hashed where their first line is the first line of such a hunk, and meet the hunks in an equi-join on file,
 length and hash; a hunk's places are what it meets. Hunks of an entry are then taken in order: at the stated line if
 they stand there, else at the one other place at or after the hunk before; none or several is refused. A submodule's
-commit is a line of no file, so a hunk that moves it has no place, even where a file of that path holds such a line.
+commit is a line of no file, so a hunk that moves it has no place, even where a file of that path holds such a line;
+nor does an entry apply in which such a line follows a hunk that doesn't count it.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ def placed(hunk_rows: DataFrame, base: DataFrame) -> DataFrame:
     """ENTRY, path, applies, and at_lines, where each hunk in order was placed (from 0, NULL from the first refused one on)."""
     there = base.filter("content is not null").select(*FILE).withColumn("_there", F.lit(True))
     found = places(hunk_rows, base)
-    df = hunk_rows.select(*ENTRY, "path", "h", F.greatest(F.col("old_start") - 1, F.lit(0)).cast("int").alias("want"), F.size("replaced").alias("k"), "linked").join(found, [*ENTRY, "h"], "left").join(there, FILE, "left")
+    df = hunk_rows.select(*ENTRY, "path", "h", F.greatest(F.col("old_start") - 1, F.lit(0)).cast("int").alias("want"), F.size("replaced").alias("k"), "linked", "stray").join(found, [*ENTRY, "h"], "left").join(there, FILE, "left")
     # lines taken from nothing can't be found; lines put into nothing stand at its start
     nowhere = F.array().cast("array<int>")
     spots = F.when(F.col("linked"), nowhere).when((F.col("k") == 0), F.array(F.when(F.col("_there"), F.col("want")).otherwise(0))).otherwise(F.coalesce("at_lines", nowhere))
-    rows = df.groupBy(*ENTRY, "path").agg(F.array_sort(F.collect_list(F.struct("h", "want", "k", spots.alias("spots")))).alias("_h"))
+    rows = df.groupBy(*ENTRY, "path").agg(F.array_sort(F.collect_list(F.struct("h", "want", "k", spots.alias("spots")))).alias("_h"), F.bool_or("stray").alias("_stray"))
 
     def step(s: Column, x: Column) -> Column:
         later = F.filter(x["spots"], lambda c: c >= s["done"])
@@ -58,7 +59,7 @@ def placed(hunk_rows: DataFrame, base: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(spot + x["k"], s["done"]).alias("done"), spot.isNotNull().alias("ok"), F.concat(s["at_lines"], F.array(spot)).alias("at_lines"))
 
     begin = F.struct(F.lit(0).alias("done"), F.lit(True).alias("ok"), F.array().cast("array<int>").alias("at_lines"))
-    return rows.withColumn("_s", F.aggregate("_h", begin, step)).select(*ENTRY, "path", F.col("_s.ok").alias("applies"), F.col("_s.at_lines").alias("at_lines"))
+    return rows.withColumn("_s", F.aggregate("_h", begin, step)).select(*ENTRY, "path", (F.col("_s.ok") & ~F.col("_stray")).alias("applies"), F.col("_s.at_lines").alias("at_lines"))
 
 
 def applied(hunk_rows: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:

@@ -407,6 +407,32 @@ def test_submodules_have_no_place(spark):
     assert got == {"stated": (False, [None]), "other": (False, [None]), "new": (False, [None]), "file": (True, [1])}
 
 
+def test_submodules_are_not_applied_where_no_hunk_counts_their_commit(spark):
+    """A hunk before the commit's line has its place, but the entry is the submodule's and makes no file."""
+    head = "index 1111111..2222222 160000\n--- a/x\n+++ b/x\n@@ -2 +2 @@\n-b\n+c\n"
+    stray = "+Subproject commit 2222222\n"
+    raw = [("link", f"diff --git a/x b/x\n{head}{stray}"), ("file", f"diff --git a/x b/x\n{head.replace('160000', '100644')}{stray}"), ("none", f"diff --git a/x b/x\n{head}")]
+    hunks = diffs.hunks(diffs.entries(diffs.diff_lines(spark.createDataFrame(raw, "change_id string, text string"))))
+    files = spark.createDataFrame([(k, "x", True, "a\nb\n") for k, _ in raw], BASES)
+    found = placement.placed(hunks, files)
+    assert {r.change_id: (r.applies, r.at_lines) for r in found.collect()} == {"link": (False, [1]), "file": (True, [1]), "none": (True, [1])}
+    assert {r.change_id: r.new_content for r in placement.applied(hunks, files, found).collect()} == {"file": "a\nc\n", "none": "a\nc\n"}
+
+
+@pytest.mark.parametrize("name", ["hunk_places", "applied_edits", "diff_entry_flags", "diff_refusal", "hunk_new_lines", "diff_files"])
+def test_diffs_of_null_texts(spark, tmp_path, name):
+    """Null texts of every kind and form of entry among others, against the SQL."""
+    from compare import connect, rows_of_duckdb, rows_of_spark
+
+    from plumbline.plans import catalogue, oracles
+
+    ids = sorted({n for m in (89, 97, 101, 103, 107, 109, 113) for k in range(10) for n in range(m * k // 4 * 4, m * k // 4 * 4 + 4)})
+    docs = [(n, None if any(n % m == 0 for m in (89, 97, 101, 103, 107, 109, 113)) or n % 3 == 0 else f"a\nb{n}\nc\n") for n in ids]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = rows_of_duckdb(connect(tmp_path), oracles.SQL[name])
+    assert rows_of_spark(catalogue.QUERIES[name](spark, str(tmp_path))) == want
+
+
 def test_bases_that_are_not_text(spark):
     raw = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "change_id string, text string")
     assert refusals(spark, raw, [("a", "x", False, None)]) == {"a": "NOT_UTF8"}
